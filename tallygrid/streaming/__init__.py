@@ -1,0 +1 @@
+"""Empty on purpose: every operation of the profiler takes one finite table."""
