@@ -23,11 +23,11 @@ def fmt_int(value: Column) -> Column:
 
 
 def fmt_pct(fraction: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", fraction * 100.0)
+    return F.when(fraction.isNotNull(), F.format_string(f"%.{digits}f%%", fraction * 100.0))
 
 
 def fmt_fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
 
 
 def fmt_number(value: Column) -> Column:
@@ -55,7 +55,9 @@ def fmt_precision(value: Column, digits: int = 8) -> Column:
     plain = F.lit(None).cast("string")
     for e in range(-6, digits):
         plain = F.when(exponent == e, F.format_string(f"%.{digits - 1 - e}f", value)).otherwise(plain)
-    return F.when(value == 0, "0." + "0" * (digits - 1)).otherwise(F.coalesce(plain, _exponent_text(scientific)))
+    text = F.when(value == 0, "0." + "0" * (digits - 1)).otherwise(F.coalesce(plain, _exponent_text(scientific)))
+    # format_string prints NULL as a word.
+    return F.when(value.isNotNull(), text)
 
 
 def fmt_datetime(value: Column) -> Column:

@@ -25,7 +25,7 @@ def _present(g: Grid, positions, options: ProfileOptions):
 
 def _distinct(parts: list[DataFrame]) -> DataFrame:
     """``pos, distinct``. Grouping by value first leaves one row per value and task to move."""
-    return union([p.groupBy("pos", "key").agg().groupBy("pos").agg(F.count(F.lit(1)).alias("distinct")) for p in parts])
+    return union([p.distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("distinct")) for p in parts])
 
 
 def _beyond_cap(parts: list[DataFrame], cap: int) -> set[int]:
@@ -48,7 +48,7 @@ def _beyond_cap(parts: list[DataFrame], cap: int) -> set[int]:
     slices = []
     for part in parts:
         hashed = part.filter(F.col("pos").isin(*likely)).select("pos", F.xxhash64("key").alias("h"))
-        slices.append(hashed.filter(F.col("h") <= F.element_at(bounds, F.col("pos"))).groupBy("pos", "h").agg())
+        slices.append(hashed.filter(F.col("h") <= F.element_at(bounds, F.col("pos"))).distinct())
     proved = union(slices).groupBy("pos").agg(F.count(F.lit(1)).alias("hashes")).filter(F.col("hashes") > cap)
     return {r["pos"] for r in proved.collect()}
 
@@ -119,7 +119,7 @@ def top_categories(
 def category_summary(
     g: Grid, positions, options: ProfileOptions = DEFAULT, top: int = TOP_CATEGORIES, freq: DataFrame | None = None
 ) -> DataFrame:
-    """``pos, name, valid, cardinality, truncated, top_value, top_n, top_share``.
+    """``pos, name, valid, distinct, cardinality, truncated, top_value, top_n, top_share``.
 
     Counts stay exact for any number of values; the tracking cap only bounds the reported
     cardinality. The share divides by the present cells.
@@ -136,6 +136,7 @@ def category_summary(
         "pos",
         g.name_of(F.col("pos")).alias("name"),
         "valid",
+        "distinct",
         F.least("distinct", F.lit(CATEGORY_CAP).cast("bigint")).alias("cardinality"),
         (F.col("distinct") > min(top, CATEGORY_CAP)).alias("truncated"),
         "top_value",

@@ -59,8 +59,11 @@ def count_bins(numbers: DataFrame, bins: list[Bins]) -> DataFrame:
         group = bins[start : start + _GROUP]
         pairs = []
         for b in group:
-            place = F.floor((F.col(f"n{b.pos}") - F.lit(b.low)) / F.lit(b.width))
-            pairs += [F.lit(b.pos), F.least(F.greatest(place, F.lit(0)), F.lit(b.count - 1)).cast("int")]
+            value = F.col(f"n{b.pos}")
+            place = F.floor((value - F.lit(b.low)) / F.lit(b.width))
+            # least and greatest skip NULL, so NULL values need a guard of their own.
+            inside = F.least(F.greatest(place, F.lit(0)), F.lit(b.count - 1)).cast("int")
+            pairs += [F.lit(b.pos), F.when(value.isNotNull(), inside)]
         stacked = numbers.select(F.stack(F.lit(len(group)), *pairs).alias("pos", "bin"))
         parts.append(stacked.filter(F.col("bin").isNotNull()))
     counted = union(parts).groupBy("pos", "bin").agg(F.count(F.lit(1)).alias("n"))

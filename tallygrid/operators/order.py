@@ -38,7 +38,7 @@ def running_total(df: DataFrame, group: list[str], keys: list[str], weight: str,
     )
 
 
-def _keyed(g: Grid) -> tuple[DataFrame, list[str]]:
+def keyed(g: Grid) -> tuple[DataFrame, list[str]]:
     """The table and the keys that order it.
 
     Rows that may share an order key are told apart by a hash of their cells, so a key that
@@ -53,7 +53,7 @@ def _keyed(g: Grid) -> tuple[DataFrame, list[str]]:
 
 def _row_keys(g: Grid) -> DataFrame:
     """Distinct keys with ``start``, the position of their first row, and ``copies``."""
-    frame, keys = _keyed(g)
+    frame, keys = keyed(g)
     if not g.distinct_order:
         counted = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
         return running_total(counted, [], keys, "copies", "start")
@@ -78,7 +78,7 @@ def _fetch(g: Grid, wanted: DataFrame) -> DataFrame:
     ``wanted`` holds at most a few thousand rows by construction, so it is broadcast and the
     table is read once without moving.
     """
-    frame, keys = _keyed(g)
+    frame, keys = keyed(g)
     cells = [f"c{p}" for p in range(g.width)]
     small = wanted.select(*(F.col(k).alias(f"w_{k}") for k in keys), "start", "rids")
     match = F.lit(True)
@@ -130,7 +130,7 @@ def row_range(g: Grid, offset: int, limit: int) -> DataFrame:
 
 
 def _number_small(g: Grid) -> DataFrame:
-    frame, keys = _keyed(g)
+    frame, keys = keyed(g)
     position = F.row_number().over(Window.orderBy(*keys)) - 1
     cells = [f"c{p}" for p in range(g.width)]
     return frame.select(position.cast("bigint").alias("rid"), *g.order, *cells)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallygrid.grid import Grid
 from tallygrid.operators.missing import mask_missing
-from tallygrid.operators.order import row_range
+from tallygrid.operators.order import keyed, row_range
 from tallygrid.options import DEFAULT, PAGE_SIZE, ProfileOptions
 
 #: Pages ending beyond this row are found by key position instead of a top-n heap.
@@ -17,9 +17,9 @@ DEEP_PAGE = 20_000
 
 def preview(g: Grid, options: ProfileOptions = DEFAULT) -> DataFrame:
     """The first ``options.preview_rows`` rows as stored."""
-    keys = g.require_order()
-    rows = g.frame.orderBy(*keys).limit(max(0, options.preview_rows))
-    return rows.select(*(g.cell(p).shown.alias(f"c{p}") for p in range(g.width)))
+    frame, keys = keyed(g)
+    first = frame.orderBy(*keys).limit(max(0, options.preview_rows))
+    return first.select(*(g.cell(p).shown.alias(f"c{p}") for p in range(g.width)))
 
 
 def rows(g: Grid, offset: int, limit: int, deep: int = DEEP_PAGE) -> DataFrame:
@@ -28,16 +28,16 @@ def rows(g: Grid, offset: int, limit: int, deep: int = DEEP_PAGE) -> DataFrame:
     A page near the start is a top-n over the table. For one deep inside, only the order keys
     are sorted and the page's rows are fetched by key.
     """
-    keys = g.require_order()
+    frame, keys = keyed(g)
     cells = [f"c{p}" for p in range(g.width)]
     if limit <= 0:
         return g.frame.limit(0).select(F.lit(0).cast("bigint").alias("rid"), *cells)
     if offset + limit > deep:
         return row_range(g, offset, limit).select("rid", *cells)
-    page = g.frame.orderBy(*keys).offset(offset).limit(limit).select(*keys, *cells)
-    numbered = page.orderBy(*keys).coalesce(1)
-    rid = F.monotonically_increasing_id() + F.lit(offset)
-    return numbered.select(rid.alias("rid"), *cells)
+    shown = frame.orderBy(*keys).offset(offset).limit(limit)
+    # At most ``limit`` rows are numbered.
+    rid = F.row_number().over(Window.orderBy(*keys)) - 1 + F.lit(offset)
+    return shown.select(rid.cast("bigint").alias("rid"), *cells)
 
 
 def page(g: Grid, number: int, options: ProfileOptions = DEFAULT, masked: bool = True) -> DataFrame:
