@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,15 @@ def freeze(df: DataFrame) -> DataFrame:
     """
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a parquet table in the checkpoint folder and read it back.
+
+    For parsed sources: the parsing happens once, later scans read only their columns, and
+    row keys no longer depend on how the source was split into tasks.
+    """
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
