@@ -627,19 +627,17 @@ def _(spark, sf_dir):
     return categories.top_categories(p.grid, few, OPTIONS)
 
 
-_LOW_CARD = [(3, "l_linenumber"), (4, "l_quantity"), (6, "l_discount"), (7, "l_tax")]
-
-
 @_register(
     "low_card_typed",
     "WITH freq AS ("
     + _frequency(
-        _LOW_CARD,
+        list(enumerate(LINEITEM_NUMBERS)),
         "lineitem",
         lambda c: f"regexp_replace(CAST({c} AS VARCHAR), '\\.0$', '')",
         lambda c: f"({c} IS NULL)",
     )
-    + f"), {_RANKED} SELECT pos, name, CAST(rank AS INTEGER) AS rank, value, n FROM ranked WHERE rank <= 500",
+    + f"), {_RANKED} SELECT pos, name, CAST(rank AS INTEGER) AS rank, value, n FROM ranked "
+    "WHERE rank <= 500 AND distinct_values <= 50",
 )
 def _(spark, sf_dir):
     p = tg.profile(_grid(spark, sf_dir, "lineitem"), OPTIONS)

@@ -28,8 +28,8 @@ def number_text(value: Column) -> Column:
     return (
         F.when(F.isnan(value), "NaN")
         .when(size == float("inf"), F.concat(sign, F.lit("Infinity")))
-        .when((size < 1e18) & (value == F.floor(value)), F.floor(value).cast("string"))
-        .when((size < 1e21) & (size >= 1e18), F.format_string("%.0f", value))
+        .when((size < 2.0**53) & (value == F.floor(value)), F.floor(value).cast("string"))
+        .when((size >= 2.0**53) & (size < 1e21), F.format_string("%.0f", value))
         .when(~F.contains(raw, F.lit("E")), raw)
         .when((size >= 1e7) & (size < 1e21), large)
         .when((size >= 1e-6) & (size < 1e-3), small)

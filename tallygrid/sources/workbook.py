@@ -7,6 +7,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -81,9 +82,13 @@ def _number(text: str, is_date: bool, base: dt.datetime) -> str:
     if is_date:
         moment = base + dt.timedelta(seconds=round(value * 86400))
         return moment.strftime("%Y-%m-%d" if moment.time() == dt.time() else "%Y-%m-%d %H:%M:%S")
-    if value == int(value) and abs(value) < 1e21:
-        return str(int(value))
-    return re.sub(r"e([+-])0*(\d)", r"e\1\2", repr(value)) if abs(value) < 1e-6 else f"{value:.17f}".rstrip("0") if abs(value) < 1e-4 else repr(value)
+    shortest = Decimal(repr(value))
+    if value == 0:
+        return "0"
+    if 1e-6 <= abs(value) < 1e21:
+        plain = format(shortest, "f")
+        return plain.rstrip("0").rstrip(".") if "." in plain else plain
+    return re.sub(r"e([+-])0(\d)$", r"e\1\2", repr(value))
 
 
 def _cell(c, strings: list[str], dates: set[int], base: dt.datetime) -> str:
