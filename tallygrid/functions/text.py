@@ -7,9 +7,20 @@ from pyspark.sql import Column, functions as F, types as T
 from tallygrid.options import BLANKS
 
 
+def _no_blank(char: Column) -> Column:
+    """Whether a cell starts with a character that is surely no blank (see ``BLANKS``)."""
+    code = F.ascii(char)
+    return code.between(0x21, 0x7E) | ((code > 0x3000) & (code != 0xFEFF))
+
+
 def trim_cell(cell: Column) -> Column:
-    """Strip all Unicode blanks of the profiler (SQL ``trim`` strips U+0020 only)."""
-    return F.btrim(cell, F.lit(BLANKS))
+    """Strip all Unicode blanks of the profiler (SQL ``trim`` strips U+0020 only).
+
+    Searching a set of blanks at both ends is slow, so cells that start and end with an
+    ordinary character are passed through.
+    """
+    clean = _no_blank(cell) & _no_blank(F.right(cell, F.lit(1)))
+    return F.when(clean, cell).otherwise(F.btrim(cell, F.lit(BLANKS)))
 
 
 def number_text(value: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -34,12 +34,14 @@ class Cell:
 
     raw: Column
     storage: str
+    #: Whether a string was trimmed in an earlier projection.
+    trimmed: bool = False
 
     @property
     def text(self) -> Column:
         """Trimmed cell text; NULL stays NULL."""
         if self.storage == STRING:
-            return trim_cell(self.raw)
+            return self.raw if self.trimmed else trim_cell(self.raw)
         if self.storage == INTEGRAL:
             return self.raw.cast("string")
         if self.storage == DOUBLE:
@@ -65,7 +67,9 @@ class Cell:
     def missing(self, tokens: frozenset[str]) -> Column:
         if self.storage == STRING:
             text = F.coalesce(self.text, F.lit(""))
-            return F.lower(text).isin("", *sorted(tokens))
+            # No case mapping shrinks text to less than a third of its bytes.
+            longest = 3 * max((len(t.encode()) for t in tokens), default=0)
+            return (F.octet_length(text) <= longest) & F.lower(text).isin("", *sorted(tokens))
         absent = self.raw.isNull()
         if self.storage == DOUBLE and "nan" in tokens:
             absent = absent | F.isnan(self.raw)
@@ -94,7 +98,7 @@ class Cell:
     def number(self) -> Column:
         """The finite double in the cell, or NULL. Missing tokens are not consulted."""
         if self.storage == STRING:
-            return parse_number(self.raw)
+            return parse_number(self.raw, self.trimmed)
         if self.storage == INTEGRAL:
             return self.raw.cast("double")
         if self.storage == DOUBLE:
@@ -105,7 +109,7 @@ class Cell:
     def instant(self) -> Column:
         """The date or date-time in the cell to the second, or NULL."""
         if self.storage == STRING:
-            return parse_date(self.raw)
+            return parse_date(self.raw, self.trimmed)
         if self.storage in (DATE, TIMESTAMP):
             value = self.raw.cast("timestamp_ntz")
             value = F.date_trunc("second", value).cast("timestamp_ntz")
@@ -115,13 +119,13 @@ class Cell:
     @property
     def is_boolean(self) -> Column:
         if self.storage == STRING:
-            return parse_boolean(self.raw).isNotNull()
+            return parse_boolean(self.raw, self.trimmed).isNotNull()
         return F.lit(self.storage == BOOLEAN)
 
     @property
     def is_integer(self) -> Column:
         if self.storage == STRING:
-            return parse_integer(self.raw).isNotNull()
+            return parse_integer(self.raw, self.trimmed).isNotNull()
         if self.storage == DOUBLE:
             # Doubles from 1e21 on print with an exponent, which is not an integer.
             return F.coalesce((F.abs(self.raw) < 1e21) & (self.raw == F.rint(self.raw)), F.lit(False))
@@ -133,7 +137,8 @@ class Grid:
     """Cells ``c0..cn`` plus order keys ``k0..km`` in ``frame``.
 
     Internal names are positional because display names may repeat or differ only in case.
-    ``distinct_order`` says that no two rows share an order key.
+    ``distinct_order`` says that no two rows share an order key. ``by_file`` says that the
+    keys are a file path and the row's place in that file, so positions need no sort.
     """
 
     frame: DataFrame
@@ -141,6 +146,9 @@ class Grid:
     storage: tuple[str, ...]
     order: tuple[str, ...] = ()
     distinct_order: bool = False
+    by_file: bool = False
+    #: Whether the order keys hold every cell, so that rows with equal keys are copies.
+    keys_cover_cells: bool = False
 
     @property
     def width(self) -> int:
@@ -164,14 +172,17 @@ class Grid:
         return F.get(F.array(*map(F.lit, self.names)), pos)
 
     def with_frame(self, frame: DataFrame) -> Grid:
-        return Grid(frame, self.names, self.storage, self.order, self.distinct_order)
+        return replace(self, frame=frame)
 
     def numbers(self, positions: Sequence[int], tokens: frozenset[str] | None) -> DataFrame:
         """Finite doubles ``n<pos>``; NULL where missing or not a number.
 
         ``tokens=None`` leaves the missing-value tokens out of it.
         """
-        return self.frame.select(*(self.cell(p).number_unless(tokens or ()).alias(f"n{p}") for p in positions))
+        # Trimming in a projection of its own evaluates it once per cell.
+        raw = [(F.col(f"c{p}") if self.storage[p] != STRING else trim_cell(F.col(f"c{p}"))).alias(f"c{p}") for p in positions]
+        cells = {p: Cell(F.col(f"c{p}"), self.storage[p], True) for p in positions}
+        return self.frame.select(*raw).select(*(c.number_unless(tokens or ()).alias(f"n{p}") for p, c in cells.items()))
 
     def long(self, positions: Sequence[int], fields: dict, keep: Sequence[str] = ()) -> DataFrame:
         """One row per cell: ``pos`` plus each of ``fields`` (name -> function of a Cell)."""
@@ -191,7 +202,9 @@ class Grid:
                 pairs += [F.lit(p), raw.cast("bigint") if storage == INTEGRAL else raw]
             raw = self.frame.select(*keep, F.stack(F.lit(len(group)), *pairs).alias("pos", "raw"))
             kind = storage.split(":")[0]
-            cell = Cell(F.col("raw"), kind)
+            if kind == STRING:
+                raw = raw.select(*keep, "pos", trim_cell(F.col("raw")).alias("raw"))
+            cell = Cell(F.col("raw"), kind, True)
             yield kind, raw.select(*keep, "pos", *(make(cell).alias(name) for name, make in fields.items()))
 
     def _by_storage(self, positions: Sequence[int]) -> dict[str, list[int]]:
@@ -217,6 +230,7 @@ def grid(
     order_by: Sequence[str] = (),
     *,
     distinct_order: bool = False,
+    by_file: bool = False,
     columns: Sequence[str] | None = None,
     names: Sequence[str] | None = None,
 ) -> Grid:
@@ -224,11 +238,16 @@ def grid(
 
     ``order_by`` names the columns that define row order; rows with equal keys are ordered
     by nothing else, so use a unique key where order matters and pass ``distinct_order=True``
-    if it is known to be one (saves a shuffle).
+    if it is known to be one (saves a shuffle). ``by_file=True`` takes the rows of a parquet
+    table in stored order instead: files by path, rows by their place in the file.
     """
     # Names may repeat or differ only in case, so the input is addressed by position.
     fields = df.schema.fields
-    plain = df.toDF(*(f"u{i}" for i in range(len(fields))))
+    if by_file:
+        place = [F.col("_metadata.file_path").alias("k0"), F.col("_metadata.row_index").alias("k1")]
+        plain = df.select(*place, "*").toDF("k0", "k1", *(f"u{i}" for i in range(len(fields))))
+    else:
+        plain = df.toDF(*(f"u{i}" for i in range(len(fields))))
     index = {f.name: i for i, f in reversed(list(enumerate(fields)))}
     picked = range(len(fields)) if columns is None else [index[c] for c in columns]
     cells, storage = [], []
@@ -242,12 +261,17 @@ def grid(
             raw = raw.cast("double")
         cells.append(raw.alias(f"c{p}"))
         storage.append(kind)
-    keys = [F.col(f"u{index[name]}").alias(f"k{i}") for i, name in enumerate(order_by)]
+    if by_file:
+        keys = [F.col("k0"), F.col("k1")]
+    else:
+        keys = [F.col(f"u{index[name]}").alias(f"k{i}") for i, name in enumerate(order_by)]
     return Grid(
         plain.select(*keys, *cells),
         tuple(names if names is not None else (fields[i].name for i in picked)),
         tuple(storage),
         tuple(f"k{i}" for i in range(len(keys))),
-        distinct_order,
+        distinct_order or by_file,
+        by_file,
+        set(picked) <= {index[name] for name in order_by},
     )
 

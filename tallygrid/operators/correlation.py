@@ -17,7 +17,7 @@ from tallygrid.grid import Grid, union
 from tallygrid.operators.numeric import spans
 from tallygrid.operators.order import running_total
 from tallygrid.options import DEFAULT, MAX_CORRELATION_COLUMNS, ProfileOptions
-from tallygrid.session import freeze
+from tallygrid.session import store
 
 # Fixed value: rows of the list of strongest pairs.
 STRONGEST = 15
@@ -142,8 +142,8 @@ def rank_frame(
     positions = list(positions)
     rows = numbers.count()
     # Frozen: the row number must mean the same row in every later read.
-    narrow = freeze(numbers.select(F.monotonically_increasing_id().alias("row"), *(f"n{p}" for p in positions)))
-    ranks = freeze(average_ranks(_unpivot(narrow, positions)))
+    narrow = store(numbers.select(F.monotonically_increasing_id().alias("row"), *(f"n{p}" for p in positions)))
+    ranks = store(average_ranks(_unpivot(narrow, positions)), "pos")
     distinct = {r["pos"]: r["count"] for r in ranks.groupBy("pos").count().collect()}
     few = [p for p in positions if distinct.get(p, 0) <= small]
     many = [p for p in positions if p not in few]
@@ -186,7 +186,7 @@ def pair_table(g: Grid, positions, method: str = "pearson", options: ProfileOpti
     if method == "pearson":
         triangle = _upper_triangle(numbers, positions, "n")
     elif method == "spearman":
-        triangle = _upper_triangle(freeze(rank_frame(numbers, positions)), positions, "r")
+        triangle = _upper_triangle(store(rank_frame(numbers, positions)), positions, "r")
     else:
         raise ValueError(f"unknown method {method!r}")
     return _matrix(g, positions, method, triangle).select(

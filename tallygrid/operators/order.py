@@ -45,7 +45,7 @@ def keyed(g: Grid) -> tuple[DataFrame, list[str]]:
     holds a third of all rows still spreads; only exact copies stay together, as counts.
     """
     keys = g.require_order()
-    if g.distinct_order:
+    if g.distinct_order or g.keys_cover_cells:
         return g.frame, keys
     tie = F.xxhash64(*(f"c{p}" for p in range(g.width)))
     return g.frame.withColumn("_tie", tie), [*keys, "_tie"]
@@ -78,6 +78,8 @@ def _fetch(g: Grid, wanted: DataFrame) -> DataFrame:
     ``wanted`` holds at most a few thousand rows by construction, so it is broadcast and the
     table is read once without moving.
     """
+    if g.by_file:
+        return _fetch_from_files(g, wanted)
     frame, keys = keyed(g)
     cells = [f"c{p}" for p in range(g.width)]
     small = wanted.select(*(F.col(k).alias(f"w_{k}") for k in keys), "start", "rids")
@@ -109,7 +111,7 @@ def spaced_rows(g: Grid, rows: int, spacing: tuple[int, int], limit: int) -> Dat
     if rows <= limit and a == b:
         # Every row is wanted: a table this small is numbered by one bounded window.
         return _number_small(g)
-    keys = _row_keys(g)
+    keys = _file_starts(g) if g.by_file else _row_keys(g)
 
     def first_index(position: Column) -> Column:
         """Smallest i with floor(i * a / b) >= position."""
@@ -117,16 +119,42 @@ def spaced_rows(g: Grid, rows: int, spacing: tuple[int, int], limit: int) -> Dat
 
     low = first_index(F.col("start"))
     high = F.least(first_index(F.col("start") + F.col("copies")), F.lit(limit).cast("bigint")) - 1
-    rids = F.transform(F.sequence(low, high), lambda i: _div(i * F.lit(a), b))
+    rids = F.transform(_ascending(low, high), lambda i: _div(i * F.lit(a), b))
     return _fetch(g, keys.filter(low <= high).select("*", rids.alias("rids")))
 
 
+def _file_starts(g: Grid) -> DataFrame:
+    """One row per file: ``k0``, ``start`` and ``copies``, here the rows of the file."""
+    sizes = g.frame.groupBy("k0").agg(F.count(F.lit(1)).alias("copies"))
+    earlier = Window.orderBy("k0").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per file.
+    return sizes.withColumn("start", F.coalesce(F.sum("copies").over(earlier), F.lit(0)))
+
+
+def _fetch_from_files(g: Grid, wanted: DataFrame) -> DataFrame:
+    """Rows by file and place; only the files that hold a wanted row are opened."""
+    places = freeze(
+        wanted.select("k0", "start", F.explode("rids").alias("rid")).select(
+            F.col("k0").alias("w_k0"), (F.col("rid") - F.col("start")).alias("w_k1"), "rid"
+        )
+    )
+    files = [r[0] for r in places.select("w_k0").distinct().collect()]
+    match = (F.col("k0") == F.col("w_k0")) & (F.col("k1") == F.col("w_k1"))
+    hits = g.frame.filter(F.col("k0").isin(*files)).join(F.broadcast(places), match)
+    return hits.select("rid", *g.order, *(f"c{p}" for p in range(g.width)))
+
+
 def row_range(g: Grid, offset: int, limit: int) -> DataFrame:
     """Rows ``offset .. offset+limit-1`` with their ``rid``, for pages deep inside a table."""
-    keys = _row_keys(g)
+    keys = _file_starts(g) if g.by_file else _row_keys(g)
     low = F.greatest(F.col("start"), F.lit(offset).cast("bigint"))
     high = F.least(F.col("start") + F.col("copies"), F.lit(offset + limit).cast("bigint")) - 1
-    return _fetch(g, keys.filter(low <= high).select("*", F.sequence(low, high).alias("rids")))
+    return _fetch(g, keys.filter(low <= high).select("*", _ascending(low, high).alias("rids")))
+
+
+def _ascending(low: Column, high: Column) -> Column:
+    """``low..high``, empty if there is nothing between; a bare sequence would count down."""
+    return F.when(low <= high, F.sequence(low, high))
 
 
 def _number_small(g: Grid) -> DataFrame:

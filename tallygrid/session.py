@@ -33,13 +33,13 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a parquet table in the checkpoint folder and read it back.
 
-    For parsed sources: the parsing happens once, later scans read only their columns, and
-    row keys no longer depend on how the source was split into tasks.
+    Like :func:`freeze`, for frames that are read by column or partition more than once:
+    parsed sources, whose row keys depend on how the source was split into tasks, and ranks.
     """
     spark = prepare(df.sparkSession)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
