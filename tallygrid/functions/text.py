@@ -7,19 +7,24 @@ from pyspark.sql import Column, functions as F, types as T
 from tallygrid.options import BLANKS
 
 
-def _no_blank(char: Column) -> Column:
-    """Whether a cell starts with a character that is surely no blank (see ``BLANKS``)."""
-    code = F.ascii(char)
-    return code.between(0x21, 0x7E) | ((code > 0x3000) & (code != 0xFEFF))
+def last_char(cell: Column) -> Column:
+    return F.right(cell, F.lit(1))
 
 
-def trim_cell(cell: Column) -> Column:
+def _no_blank(text: Column) -> Column:
+    """Whether text surely starts with no blank: from ``!`` to ``~``, or beyond U+3000 and
+    before U+FEFF. Comparing whole strings compares their first characters first."""
+    return ((text >= "!") & (text < "\x7f")) | ((text >= "\u3001") & (text < "\ufeff"))
+
+
+def trim_cell(cell: Column, last: Column | None = None) -> Column:
     """Strip all Unicode blanks of the profiler (SQL ``trim`` strips U+0020 only).
 
     Searching a set of blanks at both ends is slow, so cells that start and end with an
-    ordinary character are passed through.
+    ordinary character are passed through. ``last`` is the cell's last character where an
+    earlier projection holds it.
     """
-    clean = _no_blank(cell) & _no_blank(F.right(cell, F.lit(1)))
+    clean = _no_blank(cell) & _no_blank(last_char(cell) if last is None else last)
     return F.when(clean, cell).otherwise(F.btrim(cell, F.lit(BLANKS)))
 
 

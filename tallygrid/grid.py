@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallygrid.functions.parse import finite, parse_boolean, parse_date, parse_integer, parse_number
-from tallygrid.functions.text import number_text, render_cell, timestamp_text, trim_cell
+from tallygrid.functions.text import last_char, number_text, render_cell, timestamp_text, trim_cell
 
 #: How a column is stored. Typed columns skip the string grammars.
 STRING, INTEGRAL, DOUBLE, BOOLEAN, DATE, TIMESTAMP = "string", "integral", "double", "boolean", "date", "timestamp"
@@ -174,15 +174,30 @@ class Grid:
     def with_frame(self, frame: DataFrame) -> Grid:
         return replace(self, frame=frame)
 
+    def _trimmed(self, positions: Sequence[int], keep: Sequence[Column] = ()) -> tuple[DataFrame, dict[int, Cell]]:
+        """The cells with strings trimmed, in a projection of its own: expressions on a cell
+        read it several times, and this way they all share one trimming."""
+        kept = [f"_keep{i}" for i in range(len(keep))]
+        keep = [k.alias(n) for k, n in zip(keep, kept)]
+        text = [p for p in positions if self.storage[p] == STRING]
+        cells = [f"c{p}" for p in positions]
+        frame = self.frame.select(*keep, *cells, *(last_char(F.col(f"c{p}")).alias(f"e{p}") for p in text))
+        trimmed = {p: trim_cell(F.col(f"c{p}"), F.col(f"e{p}")).alias(f"c{p}") for p in text}
+        frame = frame.select(*kept, *(trimmed.get(p, F.col(f"c{p}")) for p in positions))
+        return frame, {p: Cell(F.col(f"c{p}"), self.storage[p], True) for p in positions}
+
     def numbers(self, positions: Sequence[int], tokens: frozenset[str] | None) -> DataFrame:
         """Finite doubles ``n<pos>``; NULL where missing or not a number.
 
         ``tokens=None`` leaves the missing-value tokens out of it.
         """
-        # Trimming in a projection of its own evaluates it once per cell.
-        raw = [(F.col(f"c{p}") if self.storage[p] != STRING else trim_cell(F.col(f"c{p}"))).alias(f"c{p}") for p in positions]
-        cells = {p: Cell(F.col(f"c{p}"), self.storage[p], True) for p in positions}
-        return self.frame.select(*raw).select(*(c.number_unless(tokens or ()).alias(f"n{p}") for p, c in cells.items()))
+        frame, cells = self._trimmed(positions)
+        return frame.select(*(c.number_unless(tokens or ()).alias(f"n{p}") for p, c in cells.items()))
+
+    def missing_flags(self, tokens: frozenset[str], positions: Sequence[int], keep: Sequence[Column] = ()) -> DataFrame:
+        """Booleans ``m<pos>``, after the columns ``keep`` as ``_keep0``, ``_keep1`` and so on."""
+        frame, cells = self._trimmed(positions, keep)
+        return frame.select(*frame.columns[: len(keep)], *(c.missing(tokens).alias(f"m{p}") for p, c in cells.items()))
 
     def long(self, positions: Sequence[int], fields: dict, keep: Sequence[str] = ()) -> DataFrame:
         """One row per cell: ``pos`` plus each of ``fields`` (name -> function of a Cell)."""
@@ -203,7 +218,8 @@ class Grid:
             raw = self.frame.select(*keep, F.stack(F.lit(len(group)), *pairs).alias("pos", "raw"))
             kind = storage.split(":")[0]
             if kind == STRING:
-                raw = raw.select(*keep, "pos", trim_cell(F.col("raw")).alias("raw"))
+                raw = raw.select(*keep, "pos", "raw", last_char(F.col("raw")).alias("last"))
+                raw = raw.select(*keep, "pos", trim_cell(F.col("raw"), F.col("last")).alias("raw"))
             cell = Cell(F.col("raw"), kind, True)
             yield kind, raw.select(*keep, "pos", *(make(cell).alias(name) for name, make in fields.items()))
 

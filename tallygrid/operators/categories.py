@@ -17,15 +17,18 @@ _ESTIMATE_ERROR = 0.02
 
 
 def _present(g: Grid, positions, options: ProfileOptions):
-    """Per storage kind: ``pos, key`` of the present cells."""
-    fields = {"key": lambda c: c.key, "absent": lambda c: c.missing(options.tokens)}
-    for storage, part in g.long_parts(positions, fields):
-        yield storage, part.filter(~F.col("absent")).select("pos", "key")
+    """Per storage kind: ``pos, key``, one row per cell, with NULL for a missing one.
+
+    NULLs go through the grouping instead of a filter: Spark would push a filter below the
+    projections and evaluate the trimming once more.
+    """
+    for storage, part in g.long_parts(positions, {"key": lambda c: F.when(~c.missing(options.tokens), c.key)}):
+        yield storage, part
 
 
 def _distinct(parts: list[DataFrame]) -> DataFrame:
     """``pos, distinct``. Grouping by value first leaves one row per value and task to move."""
-    return union([p.distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("distinct")) for p in parts])
+    return union([p.distinct().groupBy("pos").agg(F.count("key").alias("distinct")) for p in parts])
 
 
 def _beyond_cap(parts: list[DataFrame], cap: int) -> set[int]:
@@ -47,7 +50,8 @@ def _beyond_cap(parts: list[DataFrame], cap: int) -> set[int]:
     )
     slices = []
     for part in parts:
-        hashed = part.filter(F.col("pos").isin(*likely)).select("pos", F.xxhash64("key").alias("h"))
+        h = F.when(F.col("key").isNotNull(), F.xxhash64("key"))
+        hashed = part.filter(F.col("pos").isin(*likely)).select("pos", h.alias("h"))
         slices.append(hashed.filter(F.col("h") <= F.element_at(bounds, F.col("pos"))).distinct())
     proved = union(slices).groupBy("pos").agg(F.count(F.lit(1)).alias("hashes")).filter(F.col("hashes") > cap)
     return {r["pos"] for r in proved.collect()}
@@ -91,7 +95,7 @@ def frequencies(g: Grid, positions, options: ProfileOptions = DEFAULT) -> DataFr
     """``pos, value, n``: how often each trimmed, case-sensitive value occurs."""
     parts = []
     for storage, part in _present(g, positions, options):
-        counted = part.groupBy("pos", "key").agg(F.count(F.lit(1)).alias("n"))
+        counted = part.groupBy("pos", "key").agg(F.count("key").alias("n")).filter("n > 0")
         # Typed values are counted as they are and spelled once per distinct value.
         value = F.col("key") if storage in (STRING, TIMESTAMP) else Cell(F.col("key"), storage).text
         parts.append(counted.select("pos", value.alias("value"), "n"))

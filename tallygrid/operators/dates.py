@@ -64,9 +64,10 @@ def date_buckets(
     bucket = F.when(unit == "day", F.date_trunc("day", ts)).otherwise(F.date_trunc("month", ts))
     counted = (
         _instants(g, positions, options)
-        .filter(ts.isNotNull())
         .select("pos", bucket.alias("ts"))
         .groupBy("pos", "ts")
-        .agg(F.count(F.lit(1)).alias("n"))
+        # Cells without a date form a group of their own; filtering them first would parse twice.
+        .agg(F.count("ts").alias("n"))
+        .filter("n > 0")
     )
     return counted.select("pos", g.name_of(F.col("pos")).alias("name"), unit.alias("unit"), label.alias("label"), "n")

@@ -22,8 +22,8 @@ def missing_by_column(g: Grid, options: ProfileOptions = DEFAULT) -> DataFrame:
     parts = []
     for start in range(0, g.width, _COLUMNS_PER_AGG):
         group = range(start, min(start + _COLUMNS_PER_AGG, g.width))
-        counts = [F.count_if(g.cell(p).missing(options.tokens)).alias(f"m{p}") for p in group]
-        wide = g.frame.agg(F.count(F.lit(1)).alias("n_rows"), *counts)
+        counts = [F.count_if(f"m{p}").alias(f"m{p}") for p in group]
+        wide = g.missing_flags(options.tokens, group).agg(F.count(F.lit(1)).alias("n_rows"), *counts)
         pairs = [x for p in group for x in (F.lit(p), F.col(f"m{p}"))]
         parts.append(wide.select("n_rows", F.stack(F.lit(len(group)), *pairs).alias("pos", "missing")))
     return union(parts).select(
@@ -41,10 +41,10 @@ def missing_summary(g: Grid, options: ProfileOptions = DEFAULT) -> DataFrame:
     for start in range(0, g.width, _COLUMNS_PER_AGG):
         word = F.lit(0).cast("bigint")
         for p in range(start, min(start + _COLUMNS_PER_AGG, g.width)):
-            word = word + g.cell(p).missing(options.tokens).cast("bigint")
+            word = word + F.col(f"m{p}").cast("bigint")
         words.append(word)
     per_row = sum(words, F.lit(0).cast("bigint"))
-    counted = g.frame.select(per_row.alias("m")).agg(
+    counted = g.missing_flags(options.tokens, range(g.width)).select(per_row.alias("m")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.coalesce(F.sum("m"), F.lit(0)).alias("missing_cells"),
         F.count_if(F.col("m") == 0).alias("complete_rows"),
@@ -96,11 +96,13 @@ def missing_patterns(
     """
     keys = g.require_order()
     rows = g.frame.count() if rows is None else rows
+    # The minimum of one number aggregates by hash; that of several keys or of text by sort.
+    at = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
     words, names = [], []
     for start in range(0, g.width, _COLUMNS_PER_AGG):
         word = F.lit(0).cast("bigint")
         for bit, p in enumerate(range(start, min(start + _COLUMNS_PER_AGG, g.width))):
-            word = word.bitwiseOR(F.when(g.cell(p).missing(options.tokens), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
+            word = word.bitwiseOR(F.when(F.col(f"m{p}"), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
         names.append(f"w{len(words)}")
         words.append(word.alias(names[-1]))
     absent = [
@@ -108,10 +110,12 @@ def missing_patterns(
         for p, name in enumerate(g.names)
     ]
     best = (
-        g.frame.select(F.struct(*keys).alias("at"), *words)
-        .filter(" OR ".join(f"{w} <> 0" for w in names))
+        g.missing_flags(options.tokens, range(g.width), [at])
+        .select(F.col("_keep0").alias("at"), *words)
         .groupBy(*names)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max(sum(map(F.col, names), F.lit(0))).alias("_any"))
+        # A filter on the masks would be pushed below the grouping and compute them twice.
+        .filter("_any <> 0")
         .orderBy(F.desc("n"), "first_at", *names)
         .limit(top)
     )
