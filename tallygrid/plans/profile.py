@@ -132,10 +132,10 @@ class Profile:
         return histogram.count_bins(self.numbers, histogram.auto_bins(self.summaries))
 
     @cached_property
-    def frequencies(self) -> DataFrame | None:
+    def frequencies(self) -> categories.Frequencies | None:
         if not self.category_columns:
             return None
-        return categories.frequencies(self.grid, self.category_columns, self.options)
+        return categories.Frequencies(self.grid, self.category_columns, self.options)
 
     @cached_property
     def category_summary(self) -> DataFrame | None:

@@ -297,6 +297,23 @@ def test_top_categories(table):
     assert categories.category_summary(g, [0], top=4).first()["truncated"]
 
 
+@pytest.mark.parametrize("top", [1, 2, 3, 5, 100])
+def test_long_texts_are_counted_by_digest(table, top):
+    rng = random.Random(8)
+    long = [f"{rng.choice('abcdef')}{i % 37} " + "x" * 40 for i in range(90)] + ["NA", ""] * 5
+    once = [f"{rng.random()} " + "y" * 40 for _ in range(97)] + ["again " + "z" * 40] * 3
+    short = [str(i % 7) for i in range(100)]
+    g = table({"long": long, "once": once, "short": short})
+    plain = ProfileOptions(tie="binary")
+    by_digest = categories.Frequencies(g, [0, 1, 2], plain, long_text=20)
+    by_value = categories.Frequencies(g, [0, 1, 2], plain)
+    assert (by_digest.long, by_value.long) == ([0, 1], [])
+    assert rows(by_digest.totals(), "pos") == rows(by_value.totals(), "pos")
+    assert rows(by_digest.top(top), "pos", "rank") == rows(by_value.top(top), "pos", "rank")
+    uniques = [rows(categories.unique_counts(g, long_text=n), "pos") for n in (20, 10**6)]
+    assert uniques[0] == uniques[1]
+
+
 def test_share_table(table):
     g = table({"a": ["x"] * 3 + ["y"]})
     assert rows(categories.category_table(g, [0]).select("value", "n", "share"), "rank") == [("x", 3, 0.75), ("y", 1, 0.25)]
