@@ -825,11 +825,12 @@ def _(spark, sf_dir):
 
 
 _WINDOW = """SELECT o_custkey, o_orderkey, place FROM (
-  SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place
+  SELECT o_custkey, o_orderkey,
+         CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place
   FROM orders) t WHERE place <= 2"""
 
 
-@_register("sql_source_window", _WINDOW.replace("AS place\n", "AS place\n"))
+@_register("sql_source_window", _WINDOW)
 def _(spark, sf_dir):
     return _source(spark, sf_dir, _WINDOW)
 
@@ -964,7 +965,7 @@ def _(spark, sf_dir):
 FROM (SELECT count(*) AS n, sum(m) AS m, count(*) FILTER (WHERE m = 0) AS f FROM (SELECT {_ROW_MISSING} AS m FROM dirty) c) s""",
 )
 def _(spark, sf_dir):
-    return report.report_sections(tg.profile(_dirty(spark, sf_dir), OPTIONS))["summary"]
+    return report.report_section(tg.profile(_dirty(spark, sf_dir), OPTIONS), "summary")
 
 
 @_register(
@@ -973,12 +974,53 @@ def _(spark, sf_dir):
 SELECT pos, name, CAST(rank AS INTEGER) AS rank, value, {_fmt_int('n')} AS n FROM ranked WHERE rank <= 5""",
 )
 def _(spark, sf_dir):
-    return report.report_sections(tg.profile(_dirty(spark, sf_dir), OPTIONS))["category_tables"]
+    return report.report_section(tg.profile(_dirty(spark, sf_dir), OPTIONS), "category_tables")
 
 
-@_register("report_distributions")
+@_register(
+    "report_patterns",
+    f"""{_WITH_DIRTY} SELECT CAST(row_number() OVER (ORDER BY n DESC, first_rid) AS INTEGER) AS rank, columns, {_fmt_int('n')} AS n,
+  {_fmt_pct('n / total')} AS pct
+FROM (SELECT {_PATTERN} AS columns, count(*) AS n, min(rid) AS first_rid FROM dirty GROUP BY 1) p,
+     (SELECT count(*) AS total FROM dirty) t WHERE columns <> '' QUALIFY rank <= 12""",
+)
+def _(spark, sf_dir):
+    return report.report_section(tg.profile(_dirty(spark, sf_dir), OPTIONS), "patterns")
+
+
+@_register(
+    "report_histograms",
+    f"{_WITH_DIRTY} SELECT pos, name, bin, label, n FROM ({_histogram_rows(_dirty_numbers(), None)}) r",
+)
+def _(spark, sf_dir):
+    return report.report_section(tg.profile(_dirty(spark, sf_dir), OPTIONS), "histograms")
+
+
+@_register(
+    "report_date_series",
+    f"{_WITH_DIRTY} SELECT pos, name, label, n FROM ({_bucket_rows(_col('odate'), 'odate', _DIRTY_DATE, 'dirty', 'month')}) b",
+)
+def _(spark, sf_dir):
+    return report.report_section(tg.profile(_dirty(spark, sf_dir), OPTIONS), "date_series")
+
+
+@_register(
+    "report_pearson",
+    f"{_WITH_DIRTY}, {_pairs(_dirty_numbers(), False, '')} SELECT a, b, round(r, 3) AS r FROM "
+    "(SELECT a, b, r FROM pairs UNION ALL SELECT b, a, r FROM pairs UNION ALL SELECT 'price', 'price', 1.0 "
+    "UNION ALL SELECT 'qty', 'qty', 1.0) m",
+)
+def _(spark, sf_dir):
+    return report.report_section(tg.profile(_dirty(spark, sf_dir), OPTIONS), "pearson")
+
+
+@_register(
+    "report_distributions",
+    f"{_WITH_DIRTY} SELECT pos, name, type, CASE WHEN type IN ('integer', 'number') THEN 'numeric' WHEN type = 'date' THEN 'date' "
+    f"ELSE 'category' END AS shape FROM ({_dirty_types()}) t",
+)
 def _(spark, sf_dir):
-    return report.report_sections(tg.profile(_dirty(spark, sf_dir), OPTIONS))["distributions"]
+    return report.report_section(tg.profile(_dirty(spark, sf_dir), OPTIONS), "distributions")
 
 
 @_register("lineitem_profile")

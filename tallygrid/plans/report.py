@@ -32,14 +32,25 @@ CHART_LABEL = 14
 OVERVIEW_LABEL = 16
 
 
+def _shapes(p: Profile) -> dict[int, str]:
+    """What each column's distribution is drawn as, by position; columns without one are left out."""
+    shapes = {pos: "category" for pos in p.category_columns}
+    shapes |= {pos: "date" for pos in p.date_units}
+    shapes |= {pos: "numeric" for pos in p.summaries}
+    return dict(sorted(shapes.items()))
+
+
 def distributions(p: Profile) -> DataFrame:
     """``pos, name, type, shape``: the columns that have a distribution to show."""
-    shape = (
-        F.when(F.col("count").isNotNull(), "numeric")
-        .when(F.col("date_count").isNotNull(), "date")
-        .when(F.col("cardinality").isNotNull(), "category")
+    shapes = _shapes(p)
+    listed = p.grid.frame.sparkSession.range(p.grid.width, numPartitions=1).select(F.col("id").cast("int").alias("pos"))
+    pos = F.col("pos")
+    return listed.filter(pos.isin(*shapes)).select(
+        "pos",
+        p.grid.name_of(pos).alias("name"),
+        F.get(F.array(*map(F.lit, p.types)), pos).alias("type"),
+        F.get(F.array(*(F.lit(shapes.get(i, "")) for i in range(p.grid.width))), pos).alias("shape"),
     )
-    return p.columns.select("pos", "name", "type", shape.alias("shape")).filter(F.col("shape").isNotNull())
 
 
 def column_overview(p: Profile) -> DataFrame:
@@ -107,69 +118,139 @@ def write_column_stats(p: Profile, path: str) -> None:
     column_stats_lines(p).coalesce(1).write.option("lineSep", "\r\n").text(path)
 
 
+def _picked(p: Profile, frame: DataFrame | None, shape: str | None = None) -> DataFrame | None:
+    """Rows of ``frame`` for the first columns that have a distribution, of one shape if given."""
+    if frame is None:
+        return None
+    shown = list(_shapes(p).items())[:MAX_DISTRIBUTIONS]
+    named = frame.withColumn("name", p.grid.name_of(F.col("pos")))
+    return named.filter(F.col("pos").isin(*(pos for pos, s in shown if shape in (None, s))))
+
+
+def _distributions(p: Profile) -> DataFrame:
+    return _picked(p, distributions(p))
+
+
+def _summary(p: Profile) -> DataFrame:
+    counts = ("total_cells", "missing_cells", "complete_rows", "any_missing_rows")
+    return p.missing_summary.select(
+        fmt_int(F.col("n_rows")).alias("rows"),
+        fmt_int(F.lit(p.grid.width)).alias("columns"),
+        *(fmt_int(F.col(c)).alias(c) for c in counts),
+        fmt_pct(F.col("missing_pct")).alias("missing_pct"),
+    )
+
+
+def _columns(p: Profile) -> DataFrame:
+    return p.columns.select(
+        (F.col("pos") + 1).alias("no"),
+        "name",
+        type_label(F.col("type")).alias("type"),
+        fmt_int(F.col("missing")).alias("missing"),
+        fmt_pct(F.col("missing_pct")).alias("missing_pct"),
+        fmt_int(F.col("unique")).alias("unique"),
+    )
+
+
+def _missing_rates(p: Profile) -> DataFrame:
+    return missing.missing_rank(p.grid, p.options).select("rank", "name", "pct")
+
+
+def _missing_map(p: Profile) -> DataFrame | None:
+    return None if p.missing_map is None else p.missing_map.filter("is_missing").select("rid", "col_pos", "name")
+
+
+def _patterns(p: Profile) -> DataFrame:
+    names = F.concat_ws("、", "columns").alias("columns")
+    return p.patterns.select("rank", names, fmt_int(F.col("n")).alias("n"), fmt_pct(F.col("pct")).alias("pct"))
+
+
+def _numeric(p: Profile) -> DataFrame | None:
+    shown = _picked(p, p.numeric, "numeric")
+    if shown is None:
+        return None
+    stats = ("mean", "std", "median", "min", "q1", "q3", "max", "skew", "kurt")
+    counts = ("count", "iqr_outliers", "z_outliers")
+    return shown.select(
+        "pos", "name", *(fmt_int(F.col(c)).alias(c) for c in counts), *(fmt_number(F.col(c)).alias(c) for c in stats)
+    )
+
+
+def _histograms(p: Profile) -> DataFrame | None:
+    shown = _picked(p, p.histograms, "numeric")
+    label = range_label(F.col("lo"), F.col("hi")).alias("label")
+    return None if shown is None else shown.select("pos", "name", "bin", label, "n")
+
+
+def _dates(p: Profile) -> DataFrame | None:
+    shown = _picked(p, p.dates, "date")
+    if shown is None:
+        return None
+    counts = ("count", "unparseable")
+    return shown.select(
+        "pos",
+        "name",
+        *(fmt_int(F.col(c)).alias(c) for c in counts),
+        fmt_datetime(F.col("min")).alias("first"),
+        fmt_datetime(F.col("max")).alias("last"),
+        "unit",
+    )
+
+
+def _date_series(p: Profile) -> DataFrame | None:
+    shown = _picked(p, p.date_buckets, "date")
+    return None if shown is None else shown.select("pos", "name", "label", "n")
+
+
+def _category_series(p: Profile) -> DataFrame | None:
+    shown = _picked(p, p.top_categories, "category")
+    label = shorten(F.col("value"), CHART_LABEL).alias("label")
+    return None if shown is None else shown.filter(F.col("rank") <= CHART_CATEGORIES).select("pos", "name", "rank", label, "n")
+
+
+def _category_tables(p: Profile) -> DataFrame | None:
+    shown = _picked(p, p.top_categories, "category")
+    if shown is None:
+        return None
+    top = shown.filter(F.col("rank") <= TABLE_CATEGORIES)
+    value = F.when(F.col("value") == "", BLANK_VALUE).otherwise(F.col("value")).alias("value")
+    return top.select("pos", "name", "rank", value, fmt_int(F.col("n")).alias("n"))
+
+
+def _pearson(p: Profile) -> DataFrame | None:
+    if p.pearson is None:
+        return None
+    cells = correlation.full_matrix(p.grid, p.candidates.positions, p.pearson)
+    return cells.filter(F.col("r").isNotNull()).select("a", "b", F.col("shown").alias("r"))
+
+
+#: Tables and chart series by section. A numeric column shows its histogram, not its values.
+SECTIONS = {
+    "summary": _summary,
+    "columns": _columns,
+    "missing_rates": _missing_rates,
+    "missing_map": _missing_map,
+    "patterns": _patterns,
+    "distributions": _distributions,
+    "numeric": _numeric,
+    "histograms": _histograms,
+    "dates": _dates,
+    "date_series": _date_series,
+    "category_series": _category_series,
+    "category_tables": _category_tables,
+    "pearson": _pearson,
+}
+
+
+def report_section(p: Profile, name: str) -> DataFrame | None:
+    """One section of the report; None if the table has nothing to show in it."""
+    return SECTIONS[name](p)
+
+
 def report_sections(p: Profile) -> dict[str, DataFrame]:
-    """The tables and chart series of the report, by section. Absent parts have no entry."""
-    g = p.grid
-    columns = p.columns
-    shown = distributions(p).orderBy("pos").limit(MAX_DISTRIBUTIONS)
-    summary = p.missing_summary
-    sections = {
-        "summary": summary.select(
-            fmt_int(F.col("n_rows")).alias("rows"),
-            fmt_int(F.lit(g.width)).alias("columns"),
-            fmt_int(F.col("total_cells")).alias("total_cells"),
-            fmt_int(F.col("missing_cells")).alias("missing_cells"),
-            fmt_pct(F.col("missing_pct")).alias("missing_pct"),
-            fmt_int(F.col("complete_rows")).alias("complete_rows"),
-            fmt_int(F.col("any_missing_rows")).alias("any_missing_rows"),
-        ),
-        "columns": columns.select(
-            (F.col("pos") + 1).alias("no"),
-            "name",
-            type_label(F.col("type")).alias("type"),
-            fmt_int(F.col("missing")).alias("missing"),
-            fmt_pct(F.col("missing_pct")).alias("missing_pct"),
-            fmt_int(F.col("unique")).alias("unique"),
-        ),
-        "missing_rates": missing.missing_rank(g, p.options).select("rank", "name", "pct"),
-        "patterns": p.patterns.select(
-            "rank", F.concat_ws("、", "columns").alias("columns"), fmt_int(F.col("n")).alias("n"), fmt_pct(F.col("pct")).alias("pct")
-        ),
-        "distributions": shown,
-    }
-    if p.missing_map is not None:
-        sections["missing_map"] = p.missing_map.filter("is_missing").select("rid", "col_pos", "name")
-    # At most MAX_DISTRIBUTIONS rows.
-    picked = F.broadcast(shown.select("pos", "name", "shape"))
-    if p.numeric is not None:
-        stats = ("mean", "std", "median", "min", "q1", "q3", "max", "skew", "kurt")
-        counts = ("count", "iqr_outliers", "z_outliers")
-        sections["numeric"] = p.numeric.join(picked, "pos").select(
-            "pos", "name", *(fmt_int(F.col(c)).alias(c) for c in counts), *(fmt_number(F.col(c)).alias(c) for c in stats)
-        )
-        sections["histograms"] = p.histograms.join(picked, "pos").select(
-            "pos", "name", "bin", range_label(F.col("lo"), F.col("hi")).alias("label"), "n"
-        )
-    if p.date_buckets is not None:
-        sections["dates"] = p.dates.join(picked.select("pos"), "pos").select(
-            "pos", "name", fmt_int(F.col("count")).alias("count"), fmt_datetime(F.col("min")).alias("first"),
-            fmt_datetime(F.col("max")).alias("last"), fmt_int(F.col("unparseable")).alias("unparseable"), "unit",
-        )
-        sections["date_series"] = p.date_buckets.join(picked.select("pos"), "pos").select("pos", "name", "label", "n")
-    if p.top_categories is not None:
-        # A numeric column shows its histogram instead.
-        top = p.top_categories.drop("name").join(picked.filter("shape = 'category'"), "pos")
-        sections["category_series"] = top.filter(F.col("rank") <= CHART_CATEGORIES).select(
-            "pos", "name", "rank", shorten(F.col("value"), CHART_LABEL).alias("label"), "n"
-        )
-        value = F.when(F.col("value") == "", BLANK_VALUE).otherwise(F.col("value"))
-        sections["category_tables"] = top.filter(F.col("rank") <= TABLE_CATEGORIES).select(
-            "pos", "name", "rank", value.alias("value"), fmt_int(F.col("n")).alias("n")
-        )
-    if p.pearson is not None:
-        cells = correlation.full_matrix(g, p.candidates.positions, p.pearson)
-        sections["pearson"] = cells.filter(F.col("r").isNotNull()).select("a", "b", F.col("shown").alias("r"))
-    return sections
+    """All sections of the report that the table has something to show in."""
+    made = {name: make(p) for name, make in SECTIONS.items()}
+    return {name: frame for name, frame in made.items() if frame is not None}
 
 
 def write_report(p: Profile, path: str) -> None:

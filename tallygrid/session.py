@@ -33,6 +33,9 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_stored: dict[str, list[str]] = {}
+
+
 def store(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a parquet table in the checkpoint folder and read it back.
 
@@ -41,5 +44,20 @@ def store(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     spark = prepare(df.sparkSession)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Delete the tables that :func:`store` wrote for this application; returns how many.
+
+    Frames and profiles built on them can no longer be used. Checkpoints are removed by
+    Spark itself if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    paths = _stored.pop(spark.sparkContext.applicationId, [])
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)

@@ -164,6 +164,19 @@ def test_positions_with_repeated_keys(spark):
     assert sum(1 for r in whole.collect() if r["c0"] == "copy") in (399, 400)
 
 
+def test_stored_order(spark, tmp_path):
+    n = 5000
+    path = str(tmp_path / "table")
+    spark.range(0, n, 1, 7).selectExpr("cast(id * 31 % 5000 AS string) AS v", "id").write.parquet(path)
+    g = tg.grid(spark.read.parquet(path), by_file=True)
+    stored = [r["v"] for r in spark.read.parquet(path).orderBy("id").collect()]
+    found = rows(order.spaced_rows(g, n, (n, 300), 300).select("rid", "c0"), "rid")
+    assert found == [(i * n // 300, stored[i * n // 300]) for i in range(300)]
+    assert rows(paging.rows(g, 1425, 10, deep=10).select("c0"), "rid") == [(v,) for v in stored[1425:1435]]
+    assert rows(paging.rows(g, 3, 4).select("c0"), "rid") == [(v,) for v in stored[3:7]]
+    assert infer.column_types(g) == ["integer", "integer"]
+
+
 def test_running_total(spark):
     data = [(g, k, (g * 7 + k * 3) % 5 + 1) for g in range(3) for k in range(200)]
     df = spark.createDataFrame(data, "g int, k int, n bigint").repartition(6)
