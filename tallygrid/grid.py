@@ -149,6 +149,9 @@ class Grid:
     by_file: bool = False
     #: Whether the order keys hold every cell, so that rows with equal keys are copies.
     keys_cover_cells: bool = False
+    #: Whether all keys but the last take few values, as files and their blocks do, and the
+    #: last one is a number.
+    nested_order: bool = False
 
     @property
     def width(self) -> int:
@@ -289,5 +292,6 @@ def grid(
         distinct_order or by_file,
         by_file,
         set(picked) <= {index[name] for name in order_by},
+        by_file,
     )
 

@@ -96,8 +96,11 @@ def missing_patterns(
     """
     keys = g.require_order()
     rows = g.frame.count() if rows is None else rows
-    # The minimum of one number aggregates by hash; that of several keys or of text by sort.
-    at = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    # The minimum of a number aggregates by hash, that of text or of several keys by sort. So
+    # where files and blocks lead the order, rows meet per block first.
+    outer = keys[:-1] if g.nested_order else []
+    inner = [k for k in keys if k not in outer]
+    at = F.col(inner[0]) if len(inner) == 1 else F.struct(*inner)
     words, names = [], []
     for start in range(0, g.width, _COLUMNS_PER_AGG):
         word = F.lit(0).cast("bigint")
@@ -109,13 +112,17 @@ def missing_patterns(
         F.when(F.col(names[p // _COLUMNS_PER_AGG]).bitwiseAND(F.lit(1 << (p % _COLUMNS_PER_AGG))) != 0, F.lit(name))
         for p, name in enumerate(g.names)
     ]
+    flags = g.missing_flags(options.tokens, range(g.width), [at, *map(F.col, outer)])
+    kept = [F.col(f"_keep{i}").alias(k) for i, k in enumerate(["at", *outer])]
+    grouped = flags.select(*kept, *words).groupBy(*names, *outer).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    if outer:
+        first = F.min(F.struct(*outer, "at"))
+        grouped = grouped.groupBy(*names).agg(F.sum("n").alias("n"), first.alias("at"))
+    # A filter on the masks would be pushed below the grouping and compute them twice.
+    missing_somewhere = F.when(F.col("n") > 0, sum(map(F.col, names), F.lit(0))) > 0
     best = (
-        g.missing_flags(options.tokens, range(g.width), [at])
-        .select(F.col("_keep0").alias("at"), *words)
-        .groupBy(*names)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max(sum(map(F.col, names), F.lit(0))).alias("_any"))
-        # A filter on the masks would be pushed below the grouping and compute them twice.
-        .filter("_any <> 0")
+        grouped.withColumnRenamed("at", "first_at")
+        .filter(missing_somewhere)
         .orderBy(F.desc("n"), "first_at", *names)
         .limit(top)
     )

@@ -145,7 +145,7 @@ def read_delimited(
         frame = store(parsed)
     labels = sorted({f.label for f in files})
     shown = name or (paths[0].rstrip("/").rsplit("/", 1)[-1])
-    g = Grid(frame, tuple(names), (STRING,) * len(names), ("k0", "k1", "k2"), True)
+    g = Grid(frame, tuple(names), (STRING,) * len(names), ("k0", "k1", "k2"), True, nested_order=True)
     return Source(g, shown, "csv", ", ".join(labels))
 
 

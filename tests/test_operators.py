@@ -48,6 +48,15 @@ def test_patterns_break_ties_by_first_row(table):
     assert (s["complete_rows"], s["any_missing_rows"], s["missing_cells"]) == (2, 2, 3)
 
 
+def test_patterns_in_stored_order(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(0, 900, 1, 4).selectExpr(
+        "CASE WHEN id = 899 OR id % 9 = 4 THEN '' ELSE 'x' END AS a", "CASE WHEN id % 9 = 2 OR id = 899 THEN 'NA' ELSE 'y' END AS b", "id"
+    ).write.parquet(path)
+    g = tg.grid(spark.read.parquet(path), by_file=True)
+    assert rows(missing.missing_patterns(g).select("columns", "n")) == [(["b"], 100), (["a"], 100), (["a", "b"], 1)]
+
+
 def test_patterns_of_a_wide_table(table):
     g = table({f"c{i}": ["", "1", ""] for i in range(130)} | {"last": ["1", "", "1"]})
     found = rows(missing.missing_patterns(g).select("columns", "n"))
