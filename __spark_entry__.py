@@ -1029,6 +1029,28 @@ def _(spark, sf_dir):
     return tg.profile(_grid(spark, sf_dir, "lineitem", by_file=True), OPTIONS).columns
 
 
+# ---------------------------------------------------------------------------
+# Training-data operators, present only with their own folders
+# ---------------------------------------------------------------------------
+
+try:
+    from tallygrid.llm import registry as _llm
+except ModuleNotFoundError as gone:
+    if gone.name != "tallygrid.llm":
+        raise
+else:
+    _QUERIES.update(_llm.queries())
+    _SQL.update(_llm.oracle_sql())
+try:
+    import corpus_pipeline as _pipeline
+except ModuleNotFoundError as gone:
+    if gone.name not in ("corpus_pipeline", "tallygrid.llm"):
+        raise
+else:
+    _QUERIES["pipeline"] = _pipeline.run
+    if _pipeline.ORACLE_SQL:
+        _SQL["pipeline"] = _pipeline.ORACLE_SQL
+
 # ---------------------------------------------------------------------------
 # Contract
 # ---------------------------------------------------------------------------
