@@ -233,8 +233,9 @@ def near_duplicates(
 
     text = F.col(text_col).cast("string")
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("thash"), text.alias("text"))
+    # The plan must not turn on how many members there are: their number grows with the table.
     held = texts.join(
-        members, texts["id"].eqNullSafe(members["id"]) & (texts["thash"] == members["thash"])
+        members.hint("merge"), texts["id"].eqNullSafe(members["id"]) & (texts["thash"] == members["thash"])
     ).select("root", "h1", "h2", "n_copies", "k", "block", "text")
     paired = held.withColumn(
         "other", F.explode(F.when(F.col("k") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
