@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrid.llm import decontaminate, jaccard, quality, secrets
+from tallygrid.llm import decontaminate, jaccard, packing, quality, secrets, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_metrics(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("blob")
 
@@ -32,12 +36,18 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("thash")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_tokens(spark, tokenfile.write_tokens(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_quality_rules": op2_quality_rules,
+        "op3_packing": op3_packing,
         "op5_secret_scan": op5_secret_scan,
         "op7_jaccard_join": op7_jaccard_join,
+        "op10_token_files": op10_token_files,
     }
 
 

@@ -2,7 +2,8 @@
 
 The vocabulary's pre-tokenizer cuts a text into pieces (letter runs, single digits, runs of
 other marks) that never cross white space and are encoded apart from each other. So a
-worker encodes each distinct piece once with the library, keeps its ids, and joins them.
+worker encodes each distinct piece once with the library, keeps the ids of each distinct
+white-space run under its 64-bit hash, and puts texts together in numpy.
 Only characters whose normal form, case and class are beyond doubt (Latin letters, digits
 and marks below U+0250) are cut here; a white-space run with anything else in it goes to
 the library as it is. ``tests/llm/test_tokens.py`` compares both ways.
@@ -12,15 +13,15 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import unicodedata
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-#: Pieces whose ids a worker keeps; beyond it the store is emptied and fills anew.
-KEPT_PIECES = 500_000
+from tallygrid.llm.textblock import prefix_hash, runs, spaces, span_hash
+
+#: Distinct white-space runs whose ids a worker keeps; beyond it the store is emptied and fills anew.
+KEPT_RUNS = 600_000
 #: Appended to every document.
 END_ID = 2
 
@@ -39,15 +40,13 @@ def _latin(kind: str) -> str:
 
 
 _LETTER, _DIGIT, _MARK = _latin("L"), _latin("N"), _latin("PS")
-_WHITE = " \t\n\r\f\v"
-#: Fixed by the vocabulary file: its pre-tokenizer's pattern.
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[{_MARK}]+")
+#: Fixed by the vocabulary file: its pre-tokenizer's pattern; the last space ends a run.
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[{_MARK}]+| ")
 #: Bytes as the characters that byte-level vocabularies show for them: a printable byte as itself,
 #: the others as the characters from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_pack = struct.Struct("<I").pack
-_PLAIN = re.compile(rf"[{_LETTER.replace('İ', '')}{_DIGIT}{_MARK}{_WHITE}]*")
+_PLAIN = re.compile(rf"[{_LETTER.replace('İ', '')}{_DIGIT}{_MARK}]*")
 
 
 class Encoder:
@@ -61,41 +60,69 @@ class Encoder:
         self._library.no_truncation()
         self._library.no_padding()
         self.size = max(self._library.get_vocab(with_added_tokens=True).values()) + 1
-        self._kept: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[str]:
-        if "<|" not in text and _PLAIN.fullmatch(text):
-            return _PIECE.findall(text.lower())
-        out = []
-        for chunk in re.split(r"[ \t\n\r\f\v]+", text):
-            if "<|" not in chunk and _PLAIN.fullmatch(chunk):
-                out += _PIECE.findall(chunk.lower())
-            elif chunk:
-                out.append(" " + chunk)
-        return out
-
-    def encode(self, texts: list[str | None], end: int | None = END_ID) -> list[bytes]:
-        """Ids of each text (None: empty), then ``end``."""
-        cut = [self._pieces(t) if t else [] for t in texts]
-        missing = set(chain.from_iterable(cut)).difference(self._kept)
-        if len(self._kept) + len(missing) > KEPT_PIECES:
-            self._kept.clear()
-            missing = set(chain.from_iterable(cut))
-        self._learn(missing)
-        last = b"" if end is None else int(end).to_bytes(4, "little")
-        kept = self._kept.__getitem__
-        return [b"".join(map(kept, pieces)) + last for pieces in cut]
-
-    def _learn(self, pieces: set[str]) -> None:
-        odd = [p for p in pieces if p[0] == " "]
-        for piece, code in zip(odd, self._library.encode_batch_fast([p[1:] for p in odd], add_special_tokens=False)):
-            self._kept[piece] = np.asarray(code.ids, "<u4").tobytes()
-        tokenize, kept = self._library.model.tokenize, self._kept
-        for piece in pieces:
-            if piece[0] != " ":
-                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
-                ids = [token.id for token in tokenize(shown)]
-                kept[piece] = _pack(*ids) if len(ids) == 1 else struct.pack(f"<{len(ids)}I", *ids)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._place: dict[int, int] = {}  # hash of a white-space run -> its place below
+        self._pieces: dict[str, list[int]] = {" ": []}  # the end of a run, not a piece
+        self._ids = np.zeros(0, np.uint32)
+        self._at = np.zeros(1, np.int64)
+
+    def _piece(self, piece: str) -> list[int]:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
+        return [token.id for token in self._library.model.tokenize(shown)]
+
+    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Keep the ids of white-space runs that are new."""
+        raw = data.tobytes()
+        pairs = zip(hashes.tolist(), [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist())])
+        plain, odd = [], []
+        for key, run in pairs:
+            text = run.decode()
+            ((odd if "<|" in text or not _PLAIN.fullmatch(text) else plain).append((key, text)))
+        known, ids, stops = self._pieces, [], []
+        found = _PIECE.findall("".join(text.lower() + " " for _, text in plain))
+        for piece in set(found).difference(known):
+            known[piece] = self._piece(piece)
+        for piece in found:
+            if piece == " ":
+                stops.append(len(ids))
+            else:
+                ids += known[piece]
+        for _, text in odd:
+            ids += self._library.encode(text, add_special_tokens=False).ids
+            stops.append(len(ids))
+        first = len(self._place)
+        self._place.update(zip((key for key, _ in plain + odd), range(first, first + len(stops))))
+        self._ids = np.concatenate([self._ids, np.asarray(ids, np.uint32)])
+        self._at = np.concatenate([self._at, self._at[-1] + np.asarray(stops, np.int64)])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a block one after the other, each followed by ``end``, and n+1 offsets."""
+        n = len(offsets) - 1
+        starts, ends, texts = runs(~spaces(data), offsets)
+        hashes, first, inverse = np.unique(
+            span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True
+        )
+        keys = hashes.tolist()
+        if len(self._place) + len(keys) > KEPT_RUNS or len(self._pieces) > KEPT_RUNS:
+            self._forget()
+        new = [i for i, key in enumerate(keys) if key not in self._place]
+        self._learn(data, hashes[new], starts[first[new]], ends[first[new]])
+        places = np.fromiter(map(self._place.__getitem__, keys), np.int64, len(keys))[inverse]
+        begin, length = self._at[places], self._at[places + 1] - self._at[places]
+        per_text = np.bincount(texts, length, minlength=n).astype(np.int64)
+        last = int(end is not None)
+        out_at = np.concatenate(([0], np.cumsum(per_text + last)))
+        out = np.empty(out_at[-1], np.uint32)
+        # Ids go where their text begins, shifted by one for every text before it.
+        to = np.cumsum(length) - length + texts * last
+        total = int(length.sum())
+        step = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
+        out[np.repeat(to, length) + step] = self._ids[np.repeat(begin, length) + step]
+        if last:
+            out[out_at[1:] - 1] = end
+        return out, out_at
 
 
 @lru_cache(maxsize=2)
