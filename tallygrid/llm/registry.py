@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrid.llm import decontaminate, jaccard, packing, quality, secrets, tokenfile
+from tallygrid.llm import decontaminate, jaccard, lattice, packing, quality, secrets, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
 
+def op4_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lattice_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("blob")
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Query]:
         "op1_decontamination": op1_decontamination,
         "op2_quality_rules": op2_quality_rules,
         "op3_packing": op3_packing,
+        "op4_lattice_scores": op4_lattice_scores,
         "op5_secret_scan": op5_secret_scan,
         "op7_jaccard_join": op7_jaccard_join,
         "op10_token_files": op10_token_files,
