@@ -7,9 +7,12 @@ begins at a shingle of such an item. No start is lost by that: moving a window t
 shingle of the item keeps all shared ones. A document holds an item if the weighted Jaccard
 similarity, sum of the lesser weights over sum of the greater, is 0.8 or more.
 
-1. One narrow pass hashes shingles and looks them up in a bitmap of the benchmark's shingles
-   inside the expression, so only windows around possible hits become rows. The bitmap has a
-   bounded size, and what passes it by chance is removed by the exact join that follows.
+1. One narrow pass looks shingles up in a bitmap of the benchmark's shingles inside the
+   expression, so only windows around possible hits become rows. A window similar enough
+   lacks at most one in nine of its shingles, so every few places are enough to find out
+   whether a text has any; only then all places are looked up. The bitmap has a bounded size,
+   and what passes it by chance is removed by the exact join that follows. Windows with too few
+   benchmark shingles to reach the threshold go before they are fingerprinted.
 2. Every window and item gets a 128-bit SimHash. Its 16 blocks of eight bits are indexed with
    all values at most one bit away, for items only. Two fingerprints at most RADIUS = 31 bits
    apart differ by at most one bit in some block, so no pair within the radius is missed;
@@ -26,6 +29,8 @@ the named columns are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrid.session import store
@@ -40,16 +45,38 @@ MAX_BITMAP_WORDS = 1 << 19
 MAX_BROADCAST_ROWS = 500_000
 
 
-def _with_hashes(df: DataFrame, text: Column) -> DataFrame:
-    """``df`` with the hashes of its text's shingles, in order, as ``sh``; texts without any go.
+def _words(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with the hashes of its text's words, in order, as ``short``; texts without a shingle go.
 
-    Word hashes are a column of their own: inside the lambda they would be made anew each time.
+    They are a column of their own: inside a lambda they would be made anew each time.
     """
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
-    df = df.withColumn("short", F.transform(words, lambda w: F.xxhash64(w))).filter(F.size("short") >= WORDS)
-    starts = F.sequence(F.lit(1), F.size("short") - (WORDS - 1))
-    whole = lambda i: F.xxhash64(*[F.element_at("short", i + k) for k in range(WORDS)])
-    return df.withColumn("sh", F.transform(starts, whole))
+    return df.withColumn("short", F.transform(words, lambda w: F.xxhash64(w))).filter(F.size("short") >= WORDS)
+
+
+def _shingle(i: Column) -> Column:
+    """Hash of the shingle that begins at word ``i`` of ``short``."""
+    return F.xxhash64(*[F.element_at("short", i + k) for k in range(WORDS)])
+
+
+def _shingles(df: DataFrame) -> DataFrame:
+    return df.withColumn("sh", F.transform(F.sequence(F.lit(1), F.size("short") - (WORDS - 1)), _shingle))
+
+
+def _stride(least: int, threshold: float) -> int:
+    """Places between two look-ups that no window over the threshold can slip through."""
+    lacking = (1 - threshold) / (1 + threshold)
+    for step in (4, 3, 2):
+        sizes = range(max(1, math.ceil(threshold * least - 1e-9)), 1000)
+        if all(w // step > math.floor(w * lacking + 1e-9) for w in sizes):
+            return step
+    return 1
+
+
+def _probes(h: Column, n_bits: int) -> list[Column]:
+    """The two places of a hash in a bitmap of ``n_bits``, a power of two up to 2^25."""
+    last = F.lit(n_bits - 1).cast("long")
+    return [h.bitwiseAND(last), F.call_function("shiftrightunsigned", h, F.lit(25)).bitwiseAND(last)]
 
 
 def _bit(shingles: Column, seed: int) -> Column:
@@ -94,29 +121,47 @@ def benchmark_leaks(
 ) -> DataFrame:
     """(id, item, similarity): each document with each item it holds, and its best window's similarity."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    items = store(_with_hashes(items, F.col("text")).select("item", "sh").distinct())
+    items = store(_shingles(_words(items, F.col("text"))).select("item", "sh").distinct())
     shingles = store(items.select(F.size("sh").alias("m"), F.explode("sh").alias("h")).distinct())
-    n_shingles, longest = shingles.agg(F.count("*"), F.max("m")).first()
-    longest = longest or 1
-
-    # The bitmap: a power of two of 64-bit words, about 64 bits a shingle while that is allowed.
-    n_words = 1 << max(6, min(MAX_BITMAP_WORDS.bit_length() - 1, n_shingles.bit_length()))
-    word = lambda h: F.pmod(F.call_function("shiftrightunsigned", h, F.lit(6)), F.lit(n_words))
-    single = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))
-    set_words = shingles.select(word(F.col("h")).alias("w"), single.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    n_shingles, least, longest = shingles.agg(F.count("*"), F.min("m"), F.max("m")).first()
+    least, longest = least or 1, longest or 1
+
+    # The bitmap: a power of two of 64-bit words, two or more a shingle while that is allowed.
+    n_words = 1 << max(6, min(MAX_BITMAP_WORDS.bit_length() - 1, n_shingles.bit_length() + 1))
+    word = lambda place: F.call_function("shiftrightunsigned", place, F.lit(6))
+    inside = lambda place: place.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    places = shingles.select(F.explode(F.array(*_probes(F.col("h"), 64 * n_words))).alias("p"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), inside(F.col("p")))
+    set_words = places.select(word(F.col("p")).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     every = docs.sparkSession.range(n_words).withColumnRenamed("id", "w").join(set_words, "w", "left")
     bitmap = every.agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))).alias("x"))
     bitmap = store(bitmap.select(F.col("x.b").alias("bits")))
 
+    def likely(h: Column) -> Column:
+        first, second = _probes(h, 64 * n_words)
+        test = lambda p: F.getbit(F.element_at("bits", word(p).cast("int") + 1), inside(p)) == 1
+        return test(first) & test(second)
+
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    hashed = _with_hashes(texts, F.col("text")).select("id", "sh").join(F.broadcast(bitmap))
-    maybe = F.filter(
-        F.transform("sh", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"))),
-        lambda x: F.getbit(F.element_at("bits", word(x["h"]).cast("int") + 1), F.pmod(x["h"], F.lit(64)).cast("int")) == 1,
+    hashed = _words(texts, F.col("text")).select("id", "short").join(F.broadcast(bitmap))
+    some = F.sequence(F.lit(1), F.size("short") - (WORDS - 1), F.lit(_stride(least, threshold)))
+    hashed = _shingles(hashed.filter(F.exists(some, lambda i: likely(_shingle(i)))))
+    hashed = hashed.withColumn(
+        "hits", F.filter(F.sequence(F.lit(1), F.size("sh")), lambda i: likely(F.element_at("sh", i)))
+    )
+    around = F.transform(
+        "hits",
+        lambda at, k: F.struct(
+            at.alias("at"),
+            F.slice("sh", at, longest).alias("sh"),
+            F.transform(F.slice("hits", k + 1, longest), lambda other: other - at).alias("near"),
+        ),
     )
-    around = F.transform(maybe, lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.slice("sh", x["at"], longest).alias("sh")))
-    hits = hashed.select("id", F.explode(around).alias("x")).select("id", "x.h", "x.at", "x.sh")
-    windows = hits.join(_sized(shingles, n_shingles), "h").select("id", "at", "m", F.slice("sh", F.lit(1), F.col("m")).alias("sh"))
+    hits = hashed.select("id", F.explode(around).alias("x")).select("id", "x.at", "x.sh", "x.near")
+    hits = hits.withColumn("h", F.element_at("sh", 1)).join(_sized(shingles, n_shingles), "h")
+    windows = hits.select("id", "at", "m", "near", F.slice("sh", F.lit(1), F.col("m")).alias("sh"))
+    enough = F.size(F.filter("near", lambda d: d < F.col("m"))) >= threshold / (1 + threshold) * (F.size("sh") + F.col("m")) - 1e-9
+    windows = windows.filter(enough)
     # Copies of one window in one text are one window: rows that repeat a long passage stay few.
     windows = windows.groupBy("id", "m", "sh").agg(F.min("at").alias("at"))
 
