@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrid.llm import decontaminate, jaccard, lattice, packing, quality, secrets, tokenfile
+from tallygrid.llm import decontaminate, jaccard, lattice, packing, quality, secrets, suffixes, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("blob")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("thash")
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Query]:
         "op3_packing": op3_packing,
         "op4_lattice_scores": op4_lattice_scores,
         "op5_secret_scan": op5_secret_scan,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_jaccard_join": op7_jaccard_join,
         "op10_token_files": op10_token_files,
     }
