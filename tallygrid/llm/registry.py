@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrid.llm import decontaminate, jaccard, lattice, packing, quality, secrets, suffixes, tokenfile
+from tallygrid.llm import decontaminate, jaccard, lattice, maintext, packing, quality, secrets, suffixes, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("thash")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, tokenfile.write_tokens(table(spark, sf_dir, "documents")))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op5_secret_scan": op5_secret_scan,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_main_text": op8_main_text,
         "op10_token_files": op10_token_files,
     }
 
