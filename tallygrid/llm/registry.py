@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrid.llm import decontaminate, jaccard, lattice, maintext, packing, quality, secrets, suffixes, tokenfile
+from tallygrid.llm import decontaminate, jaccard, lattice, maintext, packing, quality, secrets, suffixes, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,10 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, tokenfile.write_tokens(table(spark, sf_dir, "documents")))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_main_text": op8_main_text,
+        "op9_toxicity": op9_toxicity,
         "op10_token_files": op10_token_files,
     }
 
