@@ -1034,9 +1034,9 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 try:
-    from tallygrid.llm import registry as _llm
+    import tallygrid.llm.registry as _llm
 except ModuleNotFoundError as gone:
-    if gone.name != "tallygrid.llm":
+    if gone.name not in ("tallygrid.llm", "tallygrid.llm.registry"):
         raise
 else:
     _QUERIES.update(_llm.queries())
