@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,6 +24,8 @@ from tallygrid.operators import categories, correlation, dates, histogram, infer
 from tallygrid.options import BLANKS, DEFAULT_MISSING_TOKENS, ProfileOptions, token_set
 from tallygrid.plans import report
 from tallygrid.session import prepare
+from tallygrid.sources.delimited import parse_records, read_delimited
+from tallygrid.sources.encoding import java_charsets
 from tallygrid.sources.query import Param, query
 
 #: Counts tied by code point, which DuckDB can reproduce.
@@ -543,8 +546,8 @@ def _(spark, sf_dir):
 
 def _unique_rows(table: str, columns: list[str]) -> str:
     return _union(
-        f"SELECT {p} AS pos, '{c}' AS name, least(count(DISTINCT {c}), 200001) AS unique_values, "
-        f"count(DISTINCT {c}) > 200000 AS unique_truncated FROM {table}"
+        f"SELECT {p} AS pos, '{c}' AS name, count(DISTINCT {c}) AS unique_values, "
+        f"false AS unique_truncated FROM {table}"
         for p, c in enumerate(columns)
     )
 
@@ -598,7 +601,7 @@ _PART_TEXT = [(1, "p_name"), (2, "p_brand"), (3, "p_type")]
 @_register(
     "category_summary",
     f"WITH freq AS ({_frequency(_PART_TEXT, 'part')}), {_RANKED} "
-    "SELECT pos, name, CAST(valid AS BIGINT) AS valid, distinct_values, least(distinct_values, 50000) AS cardinality, "
+    "SELECT pos, name, CAST(valid AS BIGINT) AS valid, distinct_values, distinct_values AS cardinality, "
     "distinct_values > 500 AS truncated, value AS top_value, n AS top_n, round(n / valid, 6) AS top_share "
     "FROM ranked WHERE rank = 1",
 )
@@ -809,8 +812,8 @@ def _(spark, sf_dir):
 # Queries as sources
 
 
-def _source(spark: SparkSession, sf_dir: str, sql: str, params=(), max_rows: int = 100_000) -> DataFrame:
-    return query(_views(prepare(spark), sf_dir), sql, params, max_rows).rows
+def _source(spark: SparkSession, sf_dir: str, sql: str, params=()) -> DataFrame:
+    return query(_views(prepare(spark), sf_dir), sql, params).rows
 
 
 _JOIN = """SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total
@@ -897,7 +900,7 @@ def _dirty_profile_ctes() -> str:
     return f"""{_WITH_DIRTY}, types AS ({_dirty_types()}), counts AS ({counts}),
 uniques AS ({_union(f"SELECT {p} AS pos, count(DISTINCT {_trim(c)}) FILTER (WHERE NOT {_missing(c)}) AS uniq FROM dirty" for p, c in enumerate(DIRTY_COLUMNS))}),
 freq AS ({_frequency(cat_columns, 'dirty')}), {_RANKED},
-cats AS (SELECT pos, least(distinct_values, 50000) AS cardinality, value AS top_value, n AS top_n FROM ranked WHERE rank = 1),
+cats AS (SELECT pos, distinct_values AS cardinality, value AS top_value, n AS top_n FROM ranked WHERE rank = 1),
 stats AS ({_union(f"SELECT {p} AS pos, s.* FROM ({_stats(v, r)}) s" for p, v, r in _dirty_numbers().values())}),
 buckets AS (SELECT {_col('odate')} AS pos, count(DISTINCT strftime({_DIRTY_DATE}, '%Y-%m')) AS n_buckets,
             count({_DIRTY_DATE}) AS date_count FROM dirty),
@@ -1023,10 +1026,178 @@ def _(spark, sf_dir):
     return report.report_section(tg.profile(_dirty(spark, sf_dir), OPTIONS), "distributions")
 
 
-@_register("lineitem_profile")
+def _lineitem_profile() -> str:
+    """Every scalar of every column. The types come from the share of whole numbers in all rows."""
+    at = {c: p for p, c in enumerate(_LINEITEM)}
+    types = _union(
+        f"SELECT {p} AS pos, '{c}' AS name, "
+        + (f"CASE WHEN avg(CAST({c} = floor({c}) AS INTEGER)) >= 0.9 THEN 'integer' ELSE 'number' END" if c in LINEITEM_NUMBERS else f"'{'date' if c == 'l_shipdate' else 'text'}'")
+        + f" AS type, count(*) AS n_rows, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS uniq FROM lineitem"
+        for c, p in at.items()
+    )
+    freq = _frequency(
+        [(p, c) for c, p in at.items() if c != "l_shipdate"], "lineitem",
+        lambda c: f"regexp_replace(CAST({c} AS VARCHAR), '\\.0$', '')", lambda c: f"({c} IS NULL)",
+    )
+    numbers = _profile_rows(_numbers_of("lineitem", LINEITEM_NUMBERS))
+    return f"""WITH types AS ({types}), freq AS ({freq}), {_RANKED}, nums AS ({numbers}),
+cats AS (SELECT pos, distinct_values AS cardinality, distinct_values > 500 AS truncated, value AS top_value, n AS top_n,
+                round(n / valid, 6) AS top_share FROM ranked WHERE rank = 1 AND (distinct_values <= 50 OR pos >= 8)),
+days AS ({_date_rows(at['l_shipdate'], 'l_shipdate', 'l_shipdate', 'lineitem')}),
+buckets AS (SELECT pos, count(*) AS buckets FROM ({_bucket_rows(at['l_shipdate'], 'l_shipdate', 'l_shipdate', 'lineitem', 'month')}) b GROUP BY pos)
+SELECT t.pos, t.name, t.type, t.n_rows, t.missing, round(t.missing / t.n_rows, 6) AS missing_pct, t.uniq AS unique_values,
+  n.count, n.mean, n.std, n.min, n.q1, n.median, n.q3, n.max, n.skew, n.kurt, n.iqr_outliers, n.z_outliers,
+  c.cardinality, c.truncated, c.top_value, c.top_n, c.top_share,
+  d.count AS date_count, d.first AS date_first, d.last AS date_last, d.unparseable, d.unit, k.buckets
+FROM types t LEFT JOIN nums n USING (pos) LEFT JOIN cats c USING (pos) LEFT JOIN days d USING (pos) LEFT JOIN buckets k USING (pos)"""
+
+
+@_register("lineitem_profile", _lineitem_profile())
 def _(spark, sf_dir):
     # Rows in stored order: the table has no key of its own.
-    return tg.profile(_grid(spark, sf_dir, "lineitem", by_file=True), OPTIONS).columns
+    found = tg.profile(_grid(spark, sf_dir, "lineitem", by_file=True), OPTIONS).columns
+    six = ("mean", "std", "min", "q1", "median", "q3", "max", "top_share", "missing_pct")
+    for name in six:
+        found = found.withColumn(name, F.round(name, 6))
+    found = found.withColumns({n: F.round(n, 4) for n in ("skew", "kurt")})
+    return found.select(
+        "pos", "name", "type", "n_rows", "missing", "missing_pct", F.col("unique").alias("unique_values"), "count", "mean", "std",
+        "min", "q1", "median", "q3", "max", "skew", "kurt", "iqr_outliers", "z_outliers", "cardinality", "truncated", "top_value",
+        "top_n", "top_share", "date_count", fmt_datetime(F.col("date_min")).alias("date_first"),
+        fmt_datetime(F.col("date_max")).alias("date_last"), "unparseable", "unit", "buckets",
+    )
+
+
+# A SELECT as the profiled table
+
+
+_SELECTED = """SELECT o_orderkey, o_totalprice, c_acctbal, c_nationkey, c_mktsegment
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice >= {low} AND o_orderstatus <> {status}"""
+_SELECTED_NUMBERS = ["o_orderkey", "o_totalprice", "c_acctbal", "c_nationkey"]
+
+
+@_register(
+    "select_profile",
+    f"WITH picked AS ({_SELECTED.format(low='50000', status=chr(39) + 'P' + chr(39))}), "
+    f"nums AS ({_profile_rows(_numbers_of('picked', _SELECTED_NUMBERS))}), "
+    + "uniq AS ("
+    + _union(
+        f"SELECT {p} AS pos, '{c}' AS name, count(DISTINCT {c}) AS unique_values, count(*) AS n_rows FROM picked"
+        for p, c in enumerate([*_SELECTED_NUMBERS, "c_mktsegment"])
+    )
+    + ") SELECT u.pos, u.name, u.n_rows, u.unique_values, n.count, n.mean, n.std, n.median, n.iqr_outliers FROM uniq u LEFT JOIN nums n USING (pos)",
+)
+def _(spark, sf_dir):
+    params = [Param("low", "50000", "number"), Param("status", "P")]
+    result = query(_views(prepare(spark), sf_dir), _SELECTED.format(low=":low", status=":status"), params)
+    p = tg.profile(result.grid(["o_orderkey"]), OPTIONS)
+    return p.columns.select(
+        "pos", "name", "n_rows", F.col("unique").alias("unique_values"), "count", _r("mean"), _r("std"), _r("median"), "iqr_outliers"
+    )
+
+
+_WIDE = """SELECT CAST(l_orderkey AS DOUBLE) AS a0, CAST(l_partkey AS DOUBLE) AS a1, CAST(l_suppkey AS DOUBLE) AS a2,
+  CAST(l_linenumber AS DOUBLE) AS a3, l_quantity AS a4, l_extendedprice AS a5, l_discount AS a6, l_tax AS a7,
+  CAST(o_custkey AS DOUBLE) AS a8, o_totalprice AS a9, CAST(p_size AS DOUBLE) AS a10, p_retailprice AS a11,
+  CAST(s_nationkey AS DOUBLE) AS a12, s_acctbal AS a13, l_quantity * l_tax AS a14, l_extendedprice * l_discount AS a15,
+  o_totalprice - l_extendedprice AS a16
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"""
+_WIDE_NUMBERS = [f"a{i}" for i in range(17)]
+
+
+@_register(
+    "correlation_wide",
+    f"WITH wide AS ({_WIDE}), {_pairs(_numbers_of('wide', _WIDE_NUMBERS, lambda c: c), False, '')} SELECT i, j, a, b, round(r, 6) AS r, n FROM pairs",
+)
+def _(spark, sf_dir):
+    g = query(_views(prepare(spark), sf_dir), _WIDE).grid()
+    return _pair_result(correlation.pair_table(g, range(17), "pearson"))
+
+
+# Delimited records and files, written from every row of orders
+
+
+_RECORDS = """SELECT o_orderkey AS k, o_orderkey || ',"' || o_orderpriority || '",' || o_orderstatus AS line FROM orders
+UNION ALL SELECT -1, ' id , priority,state,state' UNION ALL SELECT -2, ' , ,' UNION ALL SELECT o_orderkey, ',,' FROM orders WHERE o_orderkey % 5 = 0"""
+_PARSED = "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS priority, o_orderstatus AS state, '' AS \"state (2)\" FROM orders"
+
+
+def _cells(source) -> DataFrame:
+    g = source.grid
+    return g.frame.select(*(g.cell(p).shown.alias(name) for p, name in enumerate(g.names)))
+
+
+@_register("records_parsed", _PARSED)
+def _(spark, sf_dir):
+    rows = spark.sql(_RECORDS.replace("FROM orders", "FROM {orders}"), orders=_table(prepare(spark), sf_dir, "orders"))
+    return _cells(parse_records(rows, "line", ["k"]))
+
+
+def _written(spark, sf_dir: str, encoding: str) -> str:
+    """Orders as delimited files in one encoding below the checkpoint folder, one header in each file."""
+    orders = _table(prepare(spark), sf_dir, "orders")
+    text = orders.select("o_orderkey", F.concat(F.lit("訂單"), F.col("o_orderpriority")).alias("名稱"), "o_totalprice")
+    path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    with java_charsets(spark):
+        text.repartition(3, "o_orderkey").write.options(header=True, sep=";", encoding=encoding, quote='"').csv(path)
+    return path
+
+
+_FILED = "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, '訂單' || o_orderpriority AS \"名稱\", CAST(o_totalprice AS VARCHAR) AS o_totalprice FROM orders"
+
+
+@_register("delimited_roundtrip", _FILED)
+def _(spark, sf_dir):
+    return _cells(read_delimited(spark, _written(spark, sf_dir, "UTF-8")))
+
+
+@_register("encoding_roundtrip", _FILED)
+def _(spark, sf_dir):
+    return _cells(read_delimited(spark, _written(spark, sf_dir, "Big5-HKSCS")))
+
+
+@_register(
+    "source_info",
+    "SELECT 'csv' AS kind, 'Big5' AS encoding, count(*) AS row_count, CAST(3 AS INTEGER) AS column_count FROM orders",
+)
+def _(spark, sf_dir):
+    return read_delimited(spark, _written(spark, sf_dir, "Big5-HKSCS")).info().select("kind", "encoding", "row_count", "column_count")
+
+
+# More report sections
+
+
+@_register(
+    "report_columns",
+    f"""{_dirty_profile_ctes()} SELECT pos + 1 AS no, name, {_TYPE_LABEL} AS type, {_fmt_int('missing')} AS missing,
+  {_fmt_pct('missing_pct')} AS missing_pct, {_fmt_int('uniq')} AS unique_values FROM joined""",
+)
+def _(spark, sf_dir):
+    return report.report_section(tg.profile(_dirty(spark, sf_dir), OPTIONS), "columns").withColumnRenamed("unique", "unique_values")
+
+
+@_register(
+    "report_missing_rates",
+    f"""{_WITH_DIRTY} SELECT CAST(row_number() OVER (ORDER BY missing / n_rows DESC, pos) AS INTEGER) AS rank, name,
+  round(missing / n_rows * 100, 2) AS pct FROM ({_missing_rows()}) m""",
+)
+def _(spark, sf_dir):
+    return report.report_section(tg.profile(_dirty(spark, sf_dir), OPTIONS), "missing_rates")
+
+
+@_register("report_missing_map", f"SELECT rid, col_pos, name FROM ({_SQL['missing_map']}) m WHERE is_missing")
+def _(spark, sf_dir):
+    return report.report_section(tg.profile(_dirty(spark, sf_dir), OPTIONS), "missing_map")
+
+
+@_register(
+    "report_category_series",
+    f"""{_WITH_DIRTY}, freq AS ({_frequency([(_col(c), c) for c in ('order_code', 'status', 'qty', 'urgent')], 'dirty')}), {_RANKED}
+SELECT pos, name, CAST(rank AS INTEGER) AS rank, CASE WHEN length(value) > 14 THEN value[:14] || '…' ELSE value END AS label, n
+FROM ranked WHERE rank <= 15 AND name <> 'qty'""",
+)
+def _(spark, sf_dir):
+    return report.report_section(tg.profile(_dirty(spark, sf_dir), OPTIONS), "category_series")
 
 
 # ---------------------------------------------------------------------------

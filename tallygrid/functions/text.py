@@ -92,9 +92,3 @@ def shorten(text: Column, length: int) -> Column:
 def csv_quote(text: Column) -> Column:
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(text.rlike('[",\n\r]'), quoted).otherwise(text)
-
-
-def html_escape(text: Column) -> Column:
-    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        text = F.replace(text, F.lit(mark), F.lit(entity))
-    return text

@@ -6,17 +6,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallygrid.functions.display import BLANK_VALUE
 from tallygrid.grid import STRING, TIMESTAMP, Cell, Grid, union
-from tallygrid.options import CATEGORY_CAP, DEFAULT, LOW_CARDINALITY, TOP_CATEGORIES, UNIQUE_CAP, ProfileOptions
+from tallygrid.options import DEFAULT, LOW_CARDINALITY, ProfileOptions
 from tallygrid.session import store
 
 # Fixed value: rows of a category table.
 TABLE_ROWS = 30
 
-#: Tables up to this many rows skip the estimate that precedes exact distinct counting.
-ESTIMATE_ABOVE_ROWS = 20_000_000
-_ESTIMATE_ERROR = 0.02
 #: Columns with cells of more bytes are grouped by digest, so that whole texts stay in place.
 LONG_TEXT = 512
+_EVERY = 2**31 - 1
 
 
 def _present(g: Grid, positions, options: ProfileOptions, digest: bool = False):
@@ -48,60 +46,25 @@ def _distinct(parts: list[DataFrame]) -> DataFrame:
     return union([p.distinct().groupBy("pos").agg(F.count("key").alias("distinct")) for p in parts])
 
 
-def _beyond_cap(parts: list[DataFrame], cap: int) -> set[int]:
-    """Columns proved to have more than ``cap`` distinct values without counting them all.
+def unique_counts(g: Grid, positions=None, options: ProfileOptions = DEFAULT, *, long_text: int = LONG_TEXT) -> DataFrame:
+    """``pos, name, unique, unique_truncated``: distinct present values, exact.
 
-    Different hashes mean different values, so more than ``cap`` distinct hashes in one part
-    of the hash range are a proof. A sketch of the whole column tells how much of the range
-    is worth looking at; columns that stay unproved are counted in full by the caller.
-    """
-    sketch = union(
-        [p.groupBy("pos").agg(F.approx_count_distinct("key", _ESTIMATE_ERROR).alias("estimate")) for p in parts]
-    )
-    likely = {r["pos"]: r["estimate"] for r in sketch.collect() if r["estimate"] > 1.25 * cap}
-    if not likely:
-        return set()
-    # The largest hash to look at: about twice the cap of distinct hashes lie below it.
-    bounds = F.create_map(
-        *(F.lit(x) for p, e in likely.items() for x in (p, int(-(2**63) + min(1.0, 2 * cap / e) * (2**64 - 1024))))
-    )
-    slices = []
-    for part in parts:
-        h = F.when(F.col("key").isNotNull(), F.xxhash64("key"))
-        hashed = part.filter(F.col("pos").isin(*likely)).select("pos", h.alias("h"))
-        slices.append(hashed.filter(F.col("h") <= F.element_at(bounds, F.col("pos"))).distinct())
-    proved = union(slices).groupBy("pos").agg(F.count(F.lit(1)).alias("hashes")).filter(F.col("hashes") > cap)
-    return {r["pos"] for r in proved.collect()}
-
-
-def unique_counts(
-    g: Grid,
-    positions=None,
-    options: ProfileOptions = DEFAULT,
-    *,
-    rows: int | None = None,
-    cap: int = UNIQUE_CAP,
-    estimate_above: int = ESTIMATE_ABOVE_ROWS,
-    long_text: int = LONG_TEXT,
-) -> DataFrame:
-    """``pos, name, unique, unique_truncated``: distinct present values, counted up to ``cap``.
-
-    A column with more values reports ``cap + 1`` and the flag.
+    With ``options.unique_cap`` a column with more values reports ``cap + 1`` and the flag.
     """
     positions = list(range(g.width) if positions is None else positions)
-    rows = g.frame.count() if rows is None else rows
     short, long = split_long(g, positions, long_text)
     parts = [p for _, p in _present(g, short, options)] + [p for _, p in _present(g, long, options, digest=True)]
-    over = _beyond_cap(parts, cap) if rows > estimate_above else set()
-    columns = _columns(g, positions)
-    if over:
-        parts = [p.filter(~F.col("pos").isin(*over)) for p in parts]
     # One row per column on both sides.
-    counted = columns.join(F.broadcast(_distinct(parts)), "pos", "left")
-    proved = F.col("pos").isin(*over) if over else F.lit(False)
-    exact = F.coalesce("distinct", F.lit(0).cast("bigint"))
-    full = F.when(proved, F.lit(cap + 1).cast("bigint")).otherwise(F.least(exact, F.lit(cap + 1).cast("bigint")))
-    return counted.select("pos", "name", full.alias("unique"), (full > cap).alias("unique_truncated"))
+    counted = _columns(g, positions).join(F.broadcast(_distinct(parts)), "pos", "left")
+    shown, cut = capped(F.coalesce("distinct", F.lit(0).cast("bigint")), options.unique_cap)
+    return counted.select("pos", "name", shown.alias("unique"), cut.alias("unique_truncated"))
+
+
+def capped(count: Column, cap: int | None) -> tuple[Column, Column]:
+    """A count as reported under a cap, and whether it exceeds it."""
+    if cap is None:
+        return count, F.lit(False)
+    return F.least(count, F.lit(cap + 1).cast("bigint")), count > cap
 
 
 def _columns(g: Grid, positions) -> DataFrame:
@@ -192,21 +155,28 @@ class Frequencies:
 
 
 def top_categories(
-    g: Grid, positions, options: ProfileOptions = DEFAULT, top: int = TOP_CATEGORIES, freq: Frequencies | None = None
+    g: Grid, positions, options: ProfileOptions = DEFAULT, top: int | None = None, freq: Frequencies | None = None
 ) -> DataFrame:
     """``pos, name, rank, value, n``: the ``top`` most frequent values of each column."""
     freq = Frequencies(g, positions, options) if freq is None else freq
-    return freq.top(top).select("pos", g.name_of(F.col("pos")).alias("name"), "rank", "value", "n")
+    top = options.top_categories if top is None else top
+    return freq.top(_EVERY if top is None else top).select("pos", g.name_of(F.col("pos")).alias("name"), "rank", "value", "n")
 
 
 def category_summary(
-    g: Grid, positions, options: ProfileOptions = DEFAULT, top: int = TOP_CATEGORIES, freq: Frequencies | None = None
+    g: Grid, positions, options: ProfileOptions = DEFAULT, top: int | None = None, freq: Frequencies | None = None
 ) -> DataFrame:
     """``pos, name, valid, distinct, cardinality, truncated, top_value, top_n, top_share``.
 
-    Counts stay exact for any number of values; the tracking cap only bounds the reported
-    cardinality. The share divides by the present cells.
+    Counts are exact for any number of values; ``options.category_cap`` bounds the reported
+    cardinality only. ``truncated`` tells that the ``top`` list leaves values out. The share
+    divides by the present cells.
     """
+    top = options.top_categories if top is None else top
+    listed = min((x for x in (top, options.category_cap) if x is not None), default=None)
+    cardinality = F.col("distinct")
+    if options.category_cap is not None:
+        cardinality = F.least("distinct", F.lit(options.category_cap).cast("bigint"))
     freq = Frequencies(g, positions, options) if freq is None else freq
     first = freq.top(1).select("pos", F.col("value").alias("top_value"), F.col("n").alias("top_n"))
     # One row per column on both sides.
@@ -216,8 +186,8 @@ def category_summary(
         g.name_of(F.col("pos")).alias("name"),
         "valid",
         "distinct",
-        F.least("distinct", F.lit(CATEGORY_CAP).cast("bigint")).alias("cardinality"),
-        (F.col("distinct") > min(top, CATEGORY_CAP)).alias("truncated"),
+        cardinality.alias("cardinality"),
+        (F.lit(False) if listed is None else F.col("distinct") > listed).alias("truncated"),
         "top_value",
         "top_n",
         (F.col("top_n") / F.col("valid")).alias("top_share"),

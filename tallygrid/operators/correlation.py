@@ -16,7 +16,7 @@ from tallygrid.functions.display import strength
 from tallygrid.grid import Grid, union
 from tallygrid.operators.numeric import spans
 from tallygrid.operators.order import running_total
-from tallygrid.options import DEFAULT, MAX_CORRELATION_COLUMNS, ProfileOptions
+from tallygrid.options import DEFAULT, ProfileOptions
 from tallygrid.session import store
 
 # Fixed value: rows of the list of strongest pairs.
@@ -38,11 +38,11 @@ class Candidates:
     truncated: bool
 
 
-def candidates(numeric: list[int]) -> Candidates | None:
-    """The first 15 numeric columns; None if there are fewer than two."""
+def candidates(numeric: list[int], limit: int | None = None) -> Candidates | None:
+    """The numeric columns, the first ``limit`` of them if one is given; None if fewer than two."""
     if len(numeric) < 2:
         return None
-    return Candidates(tuple(numeric[:MAX_CORRELATION_COLUMNS]), len(numeric) > MAX_CORRELATION_COLUMNS)
+    return Candidates(tuple(numeric[:limit]), limit is not None and len(numeric) > limit)
 
 
 def _pair_sums(frame: DataFrame, positions, prefix: str, rows: int, span: dict) -> dict[tuple[int, int], tuple]:

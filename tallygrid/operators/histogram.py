@@ -36,7 +36,8 @@ def auto_bin_count(n: int, low: float, high: float, q1: float, q3: float) -> int
     """Freedman-Diaconis; Sturges where the quartiles coincide."""
     iqr = q3 - q1
     if iqr > 0:
-        wanted = (high - low) / (2 * iqr / math.cbrt(n))
+        ranges = (high / 2 - low / 2) / (q3 / 2 - q1 / 2) if math.isinf(high - low) else (high - low) / iqr
+        wanted = ranges * math.cbrt(n) / 2
         return max(1, min(MAX_AUTO_BINS, math.ceil(min(wanted, MAX_AUTO_BINS))))
     return max(1, min(MAX_AUTO_BINS, math.ceil(math.log2(n)) + 1))
 

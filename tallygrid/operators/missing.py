@@ -7,11 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallygrid.functions.display import MISSING_MARK
 from tallygrid.grid import Grid, union
 from tallygrid.operators.order import spaced_rows
-from tallygrid.options import DEFAULT, TOP_PATTERNS, ProfileOptions
+from tallygrid.options import DEFAULT, ProfileOptions
 from tallygrid.session import freeze
 
-# Report limits and severity bounds in percent.
-RANKED_COLUMNS = 40
+# Bounds of the severity bands and of the warning, in percent.
 SEVERE_PCT, ELEVATED_PCT, WARN_TOTAL_PCT = 50, 10, 20
 
 _COLUMNS_PER_AGG = 60
@@ -59,8 +58,8 @@ def missing_summary(g: Grid, options: ProfileOptions = DEFAULT) -> DataFrame:
     )
 
 
-def missing_rank(g: Grid, options: ProfileOptions = DEFAULT, top: int | None = RANKED_COLUMNS) -> DataFrame:
-    """Columns by missing rate, highest first; ties keep column order."""
+def missing_rank(g: Grid, options: ProfileOptions = DEFAULT, top: int | None = None) -> DataFrame:
+    """Columns by missing rate, highest first; ties keep column order. All columns unless ``top`` is given."""
     counts = missing_by_column(g, options)
     # One row per column, so this window is small.
     order = Window.orderBy(F.desc("missing_pct"), "pos")
@@ -86,7 +85,7 @@ def warns(fraction: Column) -> Column:
 
 
 def missing_patterns(
-    g: Grid, options: ProfileOptions = DEFAULT, top: int = TOP_PATTERNS, rows: int | None = None
+    g: Grid, options: ProfileOptions = DEFAULT, top: int | None = None, rows: int | None = None
 ) -> DataFrame:
     """Which columns are missing together, most frequent first: ``rank, columns, n, pct``.
 
@@ -120,12 +119,13 @@ def missing_patterns(
         grouped = grouped.groupBy(*names).agg(F.sum("n").alias("n"), first.alias("at"))
     # A filter on the masks would be pushed below the grouping and compute them twice.
     missing_somewhere = F.when(F.col("n") > 0, sum(map(F.col, names), F.lit(0))) > 0
-    best = (
+    top = options.top_patterns if top is None else top
+    found = (
         grouped.withColumnRenamed("at", "first_at")
         .filter(missing_somewhere)
         .orderBy(F.desc("n"), "first_at", *names)
-        .limit(top)
     )
+    best = found if top is None else found.limit(top)
     place = Window.orderBy(F.desc("n"), "first_at", *names)
     return best.select(
         F.row_number().over(place).alias("rank"),
@@ -152,7 +152,7 @@ def missing_map(g: Grid, options: ProfileOptions = DEFAULT, rows: int | None = N
     for p in range(g.width):
         pairs += [F.lit(p), g.cell(p).missing(options.tokens)]
     cells = sample.select("rid", F.stack(F.lit(g.width), *pairs).alias("pos", "is_missing"))
-    ranks = missing_rank(g, options, top=None).select("pos", "name", (F.col("rank") - 1).alias("col_pos"))
+    ranks = missing_rank(g, options).select("pos", "name", (F.col("rank") - 1).alias("col_pos"))
     # At most heatmap_rows distinct positions, so numbering them is small work.
     numbered = sample.select("rid", (F.row_number().over(Window.orderBy("rid")) - 1).alias("sample_pos"))
     return (

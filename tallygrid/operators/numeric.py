@@ -59,19 +59,36 @@ def spans(numbers: DataFrame, positions) -> dict[int, tuple[int, float, float, f
             n, low, high, mean = row[4 * i : 4 * i + 4]
             if n:
                 out[p] = (n, low, high, mean)
+    vast = [p for p, s in out.items() if not math.isfinite(s[3])]
+    if vast:  # sums beyond the doubles: means of scaled values
+        scale = {p: max(abs(out[p][1]), abs(out[p][2])) for p in vast}
+        row = numbers.agg(*(F.avg(F.col(f"n{p}") / F.lit(scale[p])) for p in vast)).first()
+        out |= {p: (*out[p][:3], mean * scale[p]) for p, mean in zip(vast, row)}
     return out
 
 
 def _shape(n: int, d2: float, d3: float, d4: float) -> tuple[float, float, float]:
-    """Sample deviation, adjusted skewness and excess kurtosis from centred power sums."""
+    """Sample deviation, adjusted skewness and excess kurtosis from centred power sums.
+
+    Values come in units of their column's range, so no power leaves the range of doubles.
+    """
     m2, m3, m4 = d2 / n, d3 / n, d4 / n
-    if not m2 > 0:
+    if not m2 > 0 or not m2 * m2 > 0:
         return 0.0, 0.0, 0.0
     std = math.sqrt(d2 / (n - 1)) if n > 1 else 0.0
     skew = math.sqrt(n * (n - 1)) / ((n - 2) or 1) * (m3 / (m2 * math.sqrt(m2)))
     return std, skew if math.isfinite(skew) else 0.0, m4 / (m2 * m2) - 3
 
 
+def _in_ranges(value: Column, low: float, high: float, mean: float) -> Column:
+    """Distance from the mean in units of the range."""
+    if low == high:
+        return F.when(value.isNotNull(), F.lit(0.0))
+    if math.isinf(high - low):
+        return (value / 2 - F.lit(mean / 2)) / F.lit(high / 2 - low / 2)
+    return (value - F.lit(mean)) / F.lit(high - low)
+
+
 def summarize(numbers: DataFrame, positions, **limits) -> dict[int, NumericSummary]:
     """Everything but the outlier counts: one scan for the extremes and means, one for the
     power sums around those means, and the scans of the quantile search."""
@@ -80,13 +97,15 @@ def summarize(numbers: DataFrame, positions, **limits) -> dict[int, NumericSumma
     for group in _groups(span):
         sums = []
         for p in group:
-            d = F.col(f"n{p}") - F.lit(span[p][3])
+            d = _in_ranges(F.col(f"n{p}"), *span[p][1:])
             sums += [F.sum(d * d), F.sum(d * d * d), F.sum(d * d * d * d)]
         row = numbers.agg(*sums).first()
         for i, p in enumerate(group):
             n, low, high, _ = span[p]
             # Rounding noise around the mean of a constant is not a deviation.
-            shape[p] = _shape(n, *row[3 * i : 3 * i + 3]) if low < high else (0.0, 0.0, 0.0)
+            std, skew, kurt = _shape(n, *row[3 * i : 3 * i + 3]) if low < high else (0.0, 0.0, 0.0)
+            size = std * (high / 2 - low / 2) * 2 if math.isinf(high - low) else std * (high - low)
+            shape[p] = (size, skew, kurt)
     quartiles = quantiles(numbers, {p: s[:3] for p, s in span.items()}, **limits) if span else {}
     return {
         p: NumericSummary(p, n, mean, shape[p][0], low, *quartiles[p], high, *shape[p][1:])

@@ -14,6 +14,8 @@ from tallygrid.session import freeze
 
 #: Lower bits of ``monotonically_increasing_id``: the row number inside the partition.
 _IN_PARTITION = (1 << 33) - 1
+#: Wanted rows up to this many are broadcast.
+MAX_BROADCAST = 50_000
 
 
 def running_total(df: DataFrame, group: list[str], keys: list[str], weight: str, name: str = "before") -> DataFrame:
@@ -72,21 +74,21 @@ def _row_keys(g: Grid) -> DataFrame:
     )
 
 
-def _fetch(g: Grid, wanted: DataFrame) -> DataFrame:
+def _fetch(g: Grid, wanted: DataFrame, whole_files: bool, limit: int) -> DataFrame:
     """Rows of the grid for ``wanted`` keys, one per entry of their array ``rids``.
 
-    ``wanted`` holds at most a few thousand rows by construction, so it is broadcast and the
-    table is read once without moving.
+    ``wanted`` holds at most ``limit`` rows. Up to MAX_BROADCAST they are broadcast and the
+    table is read once without moving; more are joined by a shuffle.
     """
-    if g.by_file:
-        return _fetch_from_files(g, wanted)
+    if whole_files:
+        return _fetch_from_files(g, wanted, limit)
     frame, keys = keyed(g)
     cells = [f"c{p}" for p in range(g.width)]
     small = wanted.select(*(F.col(k).alias(f"w_{k}") for k in keys), "start", "rids")
     match = F.lit(True)
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"w_{k}"))
-    hits = frame.join(F.broadcast(small), match)
+    hits = frame.join(_sized(small, limit), match)
     if g.distinct_order:
         return hits.select(F.explode("rids").alias("rid"), *g.order, *cells)
     # Copies collapse on the map side; more than one row per key is left only where two
@@ -111,7 +113,7 @@ def spaced_rows(g: Grid, rows: int, spacing: tuple[int, int], limit: int) -> Dat
     if rows <= limit and a == b:
         # Every row is wanted: a table this small is numbered by one bounded window.
         return _number_small(g)
-    keys = _file_starts(g) if g.by_file else _row_keys(g)
+    keys, whole_files = _positions(g)
 
     def first_index(position: Column) -> Column:
         """Smallest i with floor(i * a / b) >= position."""
@@ -120,18 +122,34 @@ def spaced_rows(g: Grid, rows: int, spacing: tuple[int, int], limit: int) -> Dat
     low = first_index(F.col("start"))
     high = F.least(first_index(F.col("start") + F.col("copies")), F.lit(limit).cast("bigint")) - 1
     rids = F.transform(_ascending(low, high), lambda i: _div(i * F.lit(a), b))
-    return _fetch(g, keys.filter(low <= high).select("*", rids.alias("rids")))
+    return _fetch(g, keys.filter(low <= high).select("*", rids.alias("rids")), whole_files, limit)
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MAX_BROADCAST else df
+
+
+def _positions(g: Grid) -> tuple[DataFrame, bool]:
+    """Keys with ``start`` and ``copies``, and whether they are whole files.
+
+    Places in a file are positions only while no row of the file is filtered out; otherwise
+    the rows that are left are numbered by their keys.
+    """
+    if g.by_file:
+        sizes = g.frame.groupBy("k0").agg(F.count(F.lit(1)).alias("copies"), F.max("k1").alias("last"))
+        if sizes.filter("copies <> last + 1").isEmpty():
+            return _file_starts(sizes.drop("last")), True
+    return _row_keys(g), False
 
 
-def _file_starts(g: Grid) -> DataFrame:
+def _file_starts(sizes: DataFrame) -> DataFrame:
     """One row per file: ``k0``, ``start`` and ``copies``, here the rows of the file."""
-    sizes = g.frame.groupBy("k0").agg(F.count(F.lit(1)).alias("copies"))
     earlier = Window.orderBy("k0").rowsBetween(Window.unboundedPreceding, -1)
     # One row per file.
     return sizes.withColumn("start", F.coalesce(F.sum("copies").over(earlier), F.lit(0)))
 
 
-def _fetch_from_files(g: Grid, wanted: DataFrame) -> DataFrame:
+def _fetch_from_files(g: Grid, wanted: DataFrame, limit: int) -> DataFrame:
     """Rows by file and place; only the files that hold a wanted row are opened."""
     places = freeze(
         wanted.select("k0", "start", F.explode("rids").alias("rid")).select(
@@ -140,16 +158,16 @@ def _fetch_from_files(g: Grid, wanted: DataFrame) -> DataFrame:
     )
     files = [r[0] for r in places.select("w_k0").distinct().collect()]
     match = (F.col("k0") == F.col("w_k0")) & (F.col("k1") == F.col("w_k1"))
-    hits = g.frame.filter(F.col("k0").isin(*files)).join(F.broadcast(places), match)
+    hits = g.frame.filter(F.col("k0").isin(*files)).join(_sized(places, limit), match)
     return hits.select("rid", *g.order, *(f"c{p}" for p in range(g.width)))
 
 
 def row_range(g: Grid, offset: int, limit: int) -> DataFrame:
     """Rows ``offset .. offset+limit-1`` with their ``rid``, for pages deep inside a table."""
-    keys = _file_starts(g) if g.by_file else _row_keys(g)
+    keys, whole_files = _positions(g)
     low = F.greatest(F.col("start"), F.lit(offset).cast("bigint"))
     high = F.least(F.col("start") + F.col("copies"), F.lit(offset + limit).cast("bigint")) - 1
-    return _fetch(g, keys.filter(low <= high).select("*", _ascending(low, high).alias("rids")))
+    return _fetch(g, keys.filter(low <= high).select("*", _ascending(low, high).alias("rids")), whole_files, limit)
 
 
 def _ascending(low: Column, high: Column) -> Column:

@@ -26,14 +26,14 @@ def rows(g: Grid, offset: int, limit: int, deep: int = DEEP_PAGE) -> DataFrame:
     """``rid, c0..cn`` for the rows at ``offset .. offset+limit-1``; empty past the end.
 
     A page near the start is a top-n over the table. For one deep inside, only the order keys
-    are sorted and the page's rows are fetched by key.
+    are sorted and the page's rows are fetched by key. Both come in row order.
     """
     frame, keys = keyed(g)
     cells = [f"c{p}" for p in range(g.width)]
     if limit <= 0:
         return g.frame.limit(0).select(F.lit(0).cast("bigint").alias("rid"), *cells)
     if offset + limit > deep:
-        return row_range(g, offset, limit).select("rid", *cells)
+        return row_range(g, offset, limit).select("rid", *cells).orderBy("rid")
     shown = frame.orderBy(*keys).offset(offset).limit(limit)
     # At most ``limit`` rows are numbered.
     rid = F.row_number().over(Window.orderBy(*keys)) - 1 + F.lit(offset)

@@ -26,11 +26,8 @@ DEFAULT_MISSING_TOKENS = (
 HEATMAP_ROWS = 300
 PREVIEW_ROWS = 200
 PAGE_SIZE = 50
-UNIQUE_CAP = 200_000
-CATEGORY_CAP = 50_000
 TOP_CATEGORIES = 500
 TOP_PATTERNS = 12
-MAX_CORRELATION_COLUMNS = 15
 TYPE_SAMPLE = 2_000
 TYPE_THRESHOLD = 0.9
 LOW_CARDINALITY = 50
@@ -61,6 +58,16 @@ class ProfileOptions:
     preview_rows: int = PREVIEW_ROWS
     #: "unicode" orders equal counts by the Unicode collation, "binary" by code point.
     tie: str = "unicode"
+    #: Rows of results that list the first ones only; None lists all.
+    top_patterns: int | None = TOP_PATTERNS
+    top_categories: int | None = TOP_CATEGORIES
+    missing_rank_columns: int | None = 40
+    report_distributions: int | None = 24
+    #: Limits of what is computed or reported; None, the default, is no limit. A distinct count
+    #: above ``unique_cap`` is reported as one more than it, with a flag.
+    max_correlation_columns: int | None = None
+    unique_cap: int | None = None
+    category_cap: int | None = None
     tokens: frozenset[str] = field(init=False)
 
     def __post_init__(self):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallygrid.grid import STRING, Grid, grid as as_grid
 from tallygrid.operators import categories, correlation, dates, histogram, infer, missing, numeric, paging
-from tallygrid.options import DEFAULT, MAX_CORRELATION_COLUMNS, UNIQUE_CAP, ProfileOptions
+from tallygrid.options import DEFAULT, ProfileOptions
 
 
 class Profile:
@@ -78,7 +78,7 @@ class Profile:
         columns = self.numeric_columns + self.date_columns
         if not columns:
             return {}
-        counted = categories.unique_counts(self.grid, columns, self.options, rows=self.rows).collect()
+        counted = categories.unique_counts(self.grid, columns, self.options).collect()
         return {r["pos"]: (r["unique"], r["unique_truncated"]) for r in counted}
 
     @cached_property
@@ -92,13 +92,13 @@ class Profile:
 
     @cached_property
     def candidates(self) -> correlation.Candidates | None:
-        return correlation.candidates(self.numeric_columns)
+        return correlation.candidates(self.numeric_columns, self.options.max_correlation_columns)
 
     @property
     def warnings(self) -> list[str]:
         if self.candidates is None or not self.candidates.truncated:
             return []
-        limit = MAX_CORRELATION_COLUMNS
+        limit = self.options.max_correlation_columns
         return [f"數值欄超過 {limit} 個，相關性矩陣僅包含前 {limit} 欄"]
 
     # Frames
@@ -213,13 +213,15 @@ class Profile:
                 # One row per column on both sides.
                 small = frame.select("pos", *(n for n, _ in fields))
                 base = base.join(F.broadcast(small), "pos", "left")
-        exact = F.least(F.coalesce("distinct", F.lit(0).cast("bigint")), F.lit(UNIQUE_CAP + 1).cast("bigint"))
+        shown, cut = categories.capped(F.coalesce("distinct", F.lit(0).cast("bigint")), self.options.unique_cap)
         if known:
             lookup = F.create_map(*(F.lit(x) for p, (u, _) in known.items() for x in (p, u)))
-            exact = F.coalesce(F.element_at(lookup, F.col("pos")).cast("bigint"), exact)
+            flags = F.create_map(*(F.lit(x) for p, (_, t) in known.items() for x in (p, t)))
+            shown = F.coalesce(F.element_at(lookup, F.col("pos")).cast("bigint"), shown)
+            cut = F.coalesce(F.element_at(flags, F.col("pos")), cut)
         lead = ["pos", "name", "type", "n_rows", "missing", "missing_pct"]
         rest = [c for c in base.columns if c not in (*lead, "distinct")]
-        return base.select(*lead, exact.alias("unique"), (exact > UNIQUE_CAP).alias("unique_truncated"), *rest)
+        return base.select(*lead, shown.alias("unique"), cut.alias("unique_truncated"), *rest)
 
     @cached_property
     def _date_scalars(self) -> DataFrame | None:

@@ -25,7 +25,6 @@ STATS_HEADER = (
     "#", "欄位", "型別", "缺失數", "缺失率%", "不重複值", "平均數",
     "中位數", "標準差", "最小值", "最大值", "類別數", "最高類別",
 )
-MAX_DISTRIBUTIONS = 24
 CHART_CATEGORIES = 15
 TABLE_CATEGORIES = 5
 CHART_LABEL = 14
@@ -122,7 +121,7 @@ def _picked(p: Profile, frame: DataFrame | None, shape: str | None = None) -> Da
     """Rows of ``frame`` for the first columns that have a distribution, of one shape if given."""
     if frame is None:
         return None
-    shown = list(_shapes(p).items())[:MAX_DISTRIBUTIONS]
+    shown = list(_shapes(p).items())[: p.options.report_distributions]
     named = frame.withColumn("name", p.grid.name_of(F.col("pos")))
     return named.filter(F.col("pos").isin(*(pos for pos, s in shown if shape in (None, s))))
 
@@ -153,7 +152,7 @@ def _columns(p: Profile) -> DataFrame:
 
 
 def _missing_rates(p: Profile) -> DataFrame:
-    return missing.missing_rank(p.grid, p.options).select("rank", "name", "pct")
+    return missing.missing_rank(p.grid, p.options, p.options.missing_rank_columns).select("rank", "name", "pct")
 
 
 def _missing_map(p: Profile) -> DataFrame | None:

@@ -6,9 +6,10 @@ import csv
 import io
 import itertools
 import re
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tallygrid.functions.text import trim_cell
 from tallygrid.grid import STRING, Grid, union
@@ -18,14 +19,14 @@ from tallygrid.sources import encoding as enc
 from tallygrid.sources.info import Source
 from tallygrid.sources.names import dedupe_names
 
-# Delimiters tried in this order, rows looked at, messages and labels.
-DELIMITERS = (",", "\t", "|", ";", "\x1e", "\x1f")
-SAMPLE_ROWS = 10
+# Messages and labels.
 EMPTY = "檔案內容為空"
 PASTED = "剪貼簿"
 
-_HEAD_BYTES = 1 << 20
-_MAX_HEAD_BYTES = 1 << 26
+#: Cell separators that are looked for, the more usual first.
+SEPARATORS = (",", "\t", ";", "|")
+#: Filled lines of each file that the separator is judged on.
+HEAD_LINES = 12
 _BAD = "_bad"
 
 
@@ -38,31 +39,60 @@ def _head_rows(text: str, sep: str, limit: int | None = None) -> list[list[str]]
 
 
 def guess_delimiter(head: str) -> str:
-    """The delimiter that splits the first rows most evenly, and among those into most cells.
+    """The separator under which most rows have the same number of cells, two or more.
 
-    A delimiter needs about two cells per row to count; a comma is assumed otherwise.
+    Each separator is scored by the share of filled rows that have its most frequent width;
+    equal shares go to the greater width, then to the more usual separator. Comma if none fits.
     """
-    best, best_drift, best_cells = ",", None, 1.99
-    for sep in DELIMITERS:
-        sizes = [len(r) for r in _head_rows(head, sep, SAMPLE_ROWS) if not _blank(r)]
-        if not sizes:
-            continue
-        drift = sum(abs(a - b) for a, b in itertools.pairwise(sizes))
-        cells = sum(sizes) / len(sizes)
-        if cells > best_cells and (best_drift is None or drift <= best_drift):
-            best, best_drift, best_cells = sep, drift, cells
-    return best
+
+    def score(sep: str) -> tuple[float, int]:
+        widths = Counter(len(row) for row in _head_rows(head, sep, HEAD_LINES) if not _blank(row))
+        width, times = max(widths.items(), key=lambda x: (x[1], x[0]), default=(0, 0))
+        return (times / widths.total(), width) if width > 1 else (0.0, 0)
+
+    return max(SEPARATORS, key=score)  # the first of equals
+
+
+def _first_line(text: Column) -> Column:
+    """Whether a line has anything but blanks, separators and quotes."""
+    return trim_cell(F.translate(text, "".join(SEPARATORS) + '"', "")) != ""
 
 
-def _head(spark: SparkSession, f: enc.TextFile) -> str:
-    """Text from the start of a file that holds the header and the sampled rows."""
-    size = _HEAD_BYTES
-    while True:
-        data = enc.head_bytes(spark, f.path, size)
-        text = enc.decode(spark, data, f.charset)
-        if len(data) < size or size >= _MAX_HEAD_BYTES or len(text.split("\n")) > 4 * SAMPLE_ROWS:
-            return text
-        size *= 4
+def _heads(spark: SparkSession, files: Sequence[enc.TextFile]) -> dict[str, str]:
+    """Text of the first filled lines of each file, found in one distributed pass.
+
+    A file of two-byte text cannot be split into lines before it is decoded; its head is read
+    directly, in growing pieces until it has the lines.
+    """
+    out = {}
+    plain = [f for f in files if not f.charset.startswith("UTF-16")]
+    if plain:
+        lines = spark.read.text([f.path for f in plain]).select(
+            F.col("_metadata.file_path").alias("path"),
+            F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
+            "value",
+        )
+        place = F.row_number().over(Window.partitionBy("path").orderBy("at"))
+        first = lines.filter(_first_line(F.col("value"))).withColumn("place", place).filter(F.col("place") <= HEAD_LINES)
+        found: dict[str, list] = {}
+        for r in first.select("path", "place", F.col("value").cast("binary").alias("line")).collect():
+            found.setdefault(r["path"], []).append((r["place"], bytes(r["line"])))
+        for f in plain:
+            lines_of = b"\n".join(line for _, line in sorted(found.get(f.path, [])))
+            out[f.path] = enc.decode(spark, lines_of, f.charset)
+    for f in files:
+        if f.path in out:
+            continue
+        size = 1 << 16
+        while True:
+            data = enc.head_bytes(spark, f.path, size)
+            text = enc.decode(spark, data, f.charset)
+            filled = [r for r in _head_rows(text, "\0") if r and r[0].strip(BLANKS + '"' + "".join(SEPARATORS))]
+            if len(data) < size or len(filled) > HEAD_LINES:
+                break
+            size *= 4
+        out[f.path] = text
+    return out
 
 
 def _schema(width: int) -> T.StructType:
@@ -82,12 +112,12 @@ def _line_break(head: str) -> str | None:
     return next((b for b in ("\r\n", "\n", "\r") if b in head), None)
 
 
-def _read(spark: SparkSession, files: Sequence[enc.TextFile], sep: str, width: int, head: str, skip: bool) -> DataFrame:
-    """Rows of files that share an encoding and need the same kind of splitting."""
+def _read(spark: SparkSession, files: Sequence[enc.TextFile], sep: str, width: int, head: str) -> DataFrame:
+    """Rows after the header of files that share an encoding, a separator and the kind of splitting."""
     first = files[0]
     options = {
         "sep": sep, "quote": '"', "escape": '"', "encoding": first.charset, "mode": "PERMISSIVE",
-        "columnNameOfCorruptRecord": _BAD, "header": skip, "multiLine": first.open_quotes,
+        "columnNameOfCorruptRecord": _BAD, "header": False, "multiLine": first.open_quotes,
         "maxColumns": max(20480, width + 1),
     }
     if not first.open_quotes and first.charset.startswith("UTF-16") and _line_break(head):
@@ -100,9 +130,7 @@ def _read(spark: SparkSession, files: Sequence[enc.TextFile], sep: str, width: i
         F.monotonically_increasing_id().alias("k2"),
         *rows.columns,
     ).filter(_not_blank(width, sep))
-    if skip:
-        return keyed
-    # Rows of empty cells precede the header: drop the first filled row of each file.
+    # The first filled row of each file is its header, whatever precedes it.
     top = keyed.groupBy("k0").agg(F.min(F.struct("k1", "k2")).alias("top"))
     return keyed.join(top, "k0").filter(F.struct("k1", "k2") > F.col("top")).drop("top")
 
@@ -117,30 +145,35 @@ def read_delimited(
 ) -> Source:
     """Read CSV, TSV or TXT files that share one header row, every cell as text.
 
-    Encodings are detected file by file unless one is forced. Short rows are padded, cells
-    beyond the header are dropped, blank rows are skipped. Files without quoted line breaks
-    are split among tasks. The parsed rows are stored once as a columnar table.
+    Encoding and separator are found file by file unless forced. Files with another header
+    than the first one are refused. Short rows are padded, cells beyond the header are
+    dropped, blank rows are skipped, files without any row are left out. Files without quoted
+    line breaks are split among tasks. The parsed rows are stored once as a columnar table.
     """
     prepare(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = enc.inspect(spark, enc.list_files(spark, paths), encoding)
+    with enc.java_charsets(spark):
+        heads = _heads(spark, files)
+    seps, headers = {}, {}
     for f in files:
-        head = _head(spark, f)
-        sep = sep or guess_delimiter(head)
-        rows = _head_rows(head, sep)
-        header = next((i for i, row in enumerate(rows) if not _blank(row)), None)
+        seps[f.path] = sep or guess_delimiter(heads[f.path])
+        header = next((row for row in _head_rows(heads[f.path], seps[f.path]) if not _blank(row)), None)
         if header is not None:
-            break
-    else:
+            headers[f.path] = [cell.strip(BLANKS) for cell in header]
+    files = [f for f in files if f.path in headers]
+    if not files:
         raise ValueError(EMPTY)
-    names = dedupe_names(rows[header])
-    # Spark skips lines of control characters and spaces before a header, nothing else.
-    skip = all(len(row) == 0 or (len(row) == 1 and not re.search(r"[^\x00-\x20]", row[0])) for row in rows[:header])
+    common = headers[files[0].path]
+    others = [f.path for f in files if headers[f.path] != common]
+    if others:
+        raise ValueError(f"files with another header than {files[0].path}: {', '.join(others)}")
+    names = dedupe_names(common)
     groups: dict[tuple, list[enc.TextFile]] = {}
     for f in files:
-        groups.setdefault((f.charset, f.open_quotes), []).append(f)
+        groups.setdefault((f.charset, f.open_quotes, seps[f.path]), []).append(f)
     with enc.java_charsets(spark):
-        parts = [_read(spark, group, sep, len(names), head, skip) for group in groups.values()]
+        parts = [_read(spark, group, key[2], len(names), heads[group[0].path]) for key, group in groups.items()]
         parsed = union([p.drop(_BAD) for p in parts])
         frame = store(parsed)
     labels = sorted({f.label for f in files})
@@ -158,9 +191,11 @@ def parse_records(df: DataFrame, column: str, order_by: Sequence[str], *, sep: s
     """A text column with one delimited record per row; the first filled row is the header."""
     prepare(df.sparkSession)
     keys = [F.col(k).alias(f"k{i}") for i, k in enumerate(order_by)]
+    # Records with equal keys follow each other by their text.
+    keys.append(F.coalesce(F.col(column), F.lit("")).alias(f"k{len(keys)}"))
     key_names = [f"k{i}" for i in range(len(keys))]
     records = df.select(*keys, F.col(column).alias("record"))
-    first = [r["record"] or "" for r in records.orderBy(*key_names).limit(SAMPLE_ROWS * 2).collect()]
+    first = [r["record"] or "" for r in records.orderBy(*key_names).limit(HEAD_LINES * 2).collect()]
     sep = sep or guess_delimiter("\n".join(first))
     filled = trim_cell(F.translate(F.coalesce("record", F.lit("")), sep + '"', "")) != ""
     top = records.filter(filled).orderBy(*key_names).limit(1).collect()
@@ -170,12 +205,13 @@ def parse_records(df: DataFrame, column: str, order_by: Sequence[str], *, sep: s
     fields = ", ".join(f"c{p} string" for p in range(len(names)))
     options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     position = F.struct(*key_names)
-    header = F.struct(*(F.lit(top[0][k]).alias(k) for k in key_names))
-    cells = (
-        records.filter(filled & (position > header))
-        .select(*key_names, F.from_csv("record", fields, options).alias("cells"))
-        .select(*key_names, "cells.*")
-    )
+    header = F.struct(*(F.lit(top[0][k]).cast(records.schema[k].dataType).alias(k) for k in key_names))
+    later = records.filter(filled & (position > header))
+    # Exact copies of the header row are records.
+    copies = records.filter(filled & (position == header)).groupBy(*key_names, "record").count()
+    again = copies.select(*key_names, "record", F.explode(F.expr("sequence(1, greatest(1, int(count)))")).alias("i"))
+    later = later.union(again.filter("i > 1").drop("i"))
+    cells = later.select(*key_names, F.from_csv("record", fields, options).alias("cells")).select(*key_names, "cells.*")
     g = Grid(cells, tuple(names), (STRING,) * len(names), tuple(key_names))
     return Source(g, name, "text", PASTED)
 

@@ -20,8 +20,8 @@ FALSE_WORDS = ("false", "0", "no", "n")
 _INT64 = range(-(2**63), 2**63)
 #: Logical plans a query can start with. Anything else is a command or changes data.
 _QUERY_PLANS = frozenset(
-    """Aggregate Distinct Except Filter Generate GlobalLimit Intersect Join LocalLimit LocalRelation Offset
-    OneRowRelation Pivot Project Repartition RepartitionByExpression Sample Sort SubqueryAlias Tail
+    """Aggregate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset
+    OneRowRelation PipeOperator Pivot Project Repartition RepartitionByExpression Sample Sort SubqueryAlias Tail
     Unpivot UnresolvedHaving UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases
     UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedHint UnresolvedWith UnresolvedWithCTERelations
     Union View Window WithWindowDefinition""".split()
@@ -86,33 +86,42 @@ def check_select(spark: SparkSession, sql: str) -> None:
         todo += [children.apply(i) for i in range(children.size())]
 
 
-def clamp_rows(max_rows: int | None) -> int:
+def clamp_rows(max_rows: int | None = None) -> int:
+    """A row cap of at least 1 and at most 100 000, by default 10 000, for callers that want one."""
     return max(1, min(DEFAULT_MAX_ROWS if max_rows is None else max_rows, HARD_MAX_ROWS))
 
 
 @dataclass(frozen=True)
 class QueryResult:
-    """``rows`` has at most ``cap`` rows; the query itself may have more."""
+    """``rows`` has at most ``cap`` rows if there is a cap; the query itself may have more."""
 
     rows: DataFrame
     probe: DataFrame
-    cap: int
+    cap: int | None
+    label: str
 
     def truncated(self) -> bool:
         """Whether rows were cut off. Counts at most ``cap + 1`` rows."""
-        return self.probe.count() > self.cap
+        return self.cap is not None and self.probe.count() > self.cap
+
+    def row_count(self) -> int:
+        return self.rows.count()
 
     def grid(self, order_by=()) -> Grid:
         """The rows as a grid with unique names. Give ``order_by`` for order-dependent profiles."""
         return grid(self.rows, order_by, names=dedupe_names(self.rows.columns))
 
 
-def query(spark: SparkSession, sql: str, params=(), max_rows: int | None = None) -> QueryResult:
-    """Run one SELECT over the session's tables and views."""
+def query(spark: SparkSession, sql: str, params=(), max_rows: int | None = None, label: str = "spark") -> QueryResult:
+    """Run one SELECT over the session's tables and views; all its rows unless ``max_rows`` is given."""
     check_select(spark, sql)
-    cap = clamp_rows(max_rows)
-    result = spark.sql(sql, args=bind(params))
-    return QueryResult(result.limit(cap), result.limit(cap + 1), cap)
+    return _result(spark.sql(sql, args=bind(params)), max_rows, label)
+
+
+def _result(rows: DataFrame, max_rows: int | None, label: str) -> QueryResult:
+    if max_rows is None:
+        return QueryResult(rows, rows, None, label)
+    return QueryResult(rows.limit(max_rows), rows.limit(max_rows + 1), max_rows, label)
 
 
 def jdbc_query(spark: SparkSession, url: str, sql: str, max_rows: int | None = None, **options) -> QueryResult:
@@ -122,6 +131,5 @@ def jdbc_query(spark: SparkSession, url: str, sql: str, max_rows: int | None = N
     named parameters.
     """
     check_select(spark, sql)
-    cap = clamp_rows(max_rows)
     result = spark.read.format("jdbc").options(url=url, query=sql, **options).load()
-    return QueryResult(result.limit(cap), result.limit(cap + 1), cap)
+    return _result(result, max_rows, url)

@@ -148,7 +148,8 @@ def read_workbooks(spark: SparkSession, paths: str | Sequence[str], sheet: str |
 
     Blank rows are dropped and the first row left is the header. The table is as wide as its
     widest row; columns beyond the header are named by number. Files of one call share the
-    sheet name (the first sheet of each by default) and the header.
+    sheet name (the first sheet of each by default) and the header; a file without the sheet or
+    with another header is refused.
     """
     prepare(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -172,9 +173,17 @@ def read_workbooks(spark: SparkSession, paths: str | Sequence[str], sheet: str |
     if active not in names:
         raise ValueError(no_sheet(active))
     filled = parsed.filter("row >= 0")
+    described = parsed.filter("row = -1")
+    if sheet is not None and not (lacking := described.filter(~F.array_contains("sheets", sheet)).select("path").limit(20)).isEmpty():
+        raise ValueError(f"{no_sheet(sheet)}: {', '.join(r['path'] for r in lacking.collect())}")
     header = filled.orderBy("path", "row").limit(1).collect()
     if not header:
         raise ValueError(empty_sheet(active))
+    trimmed = lambda c: F.transform(c, lambda x: F.trim(x))
+    same = trimmed(F.col("cells")) == trimmed(F.array(*map(F.lit, header[0]["cells"])))
+    others = filled.filter(F.col("row") == 0).filter(~same).select("path").limit(20).collect()
+    if others:
+        raise ValueError(f"files with another header than {header[0]['path']}: {', '.join(r['path'] for r in others)}")
     width = filled.agg(F.max(F.size("cells"))).first()[0]
     columns = dedupe_names(header[0]["cells"])
     columns += [extra_name(i + 1) for i in range(len(columns), width)]

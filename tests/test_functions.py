@@ -93,7 +93,6 @@ def test_display(spark):
 
 def test_quoting(spark):
     assert values(spark, ['a,b', 'a"b', "plain", "x\ny"], text.csv_quote) == ['"a,b"', '"a""b"', "plain", '"x\ny"']
-    assert values(spark, ['<a href="x">&'], text.html_escape) == ["&lt;a href=&quot;x&quot;&gt;&amp;"]
     assert values(spark, ["12345", "1234"], lambda c: text.shorten(c, 4)) == ["1234…", "1234"]
 
 

@@ -9,7 +9,7 @@ import tallygrid as tg
 from tallygrid.operators import categories, correlation, dates, histogram, infer, missing, numeric, order, paging, quantiles
 from tallygrid.options import ProfileOptions
 
-TOKENS = ProfileOptions(missing_tokens=("NA", "N/A", "NULL", "NaN", "未知"))
+TOKENS = ProfileOptions(missing_tokens=("void", "n.d.", "Leer", "無值"))
 
 
 def rows(df, *sort):
@@ -20,16 +20,18 @@ def rows(df, *sort):
 
 
 def test_missing_cells(table):
-    cells = ["", "   ", "NA", " na ", "null", "未知", "0", "hello", "NBA", None, "　"]
-    g = table({"a": cells})
+    absent = ["", " \t ", "void", " VOID", "n.D. ", "leer", "無值", None, "\u3000"]
+    present = ["avoid", "n.d", "0", "-", "leer!"]
+    g = table({"a": [*present, *absent]})
     found = g.frame.select("k0", g.cell(0).missing(TOKENS.tokens)).orderBy("k0").collect()
-    assert [r[1] for r in found] == [True] * 6 + [False] * 3 + [True] * 2
+    assert [r[1] for r in found] == [False] * len(present) + [True] * len(absent)
 
 
 def test_missing_counts(table):
-    g = table({"a": ["1", "NA", "3", "", "5"]})
-    r = missing.missing_by_column(g, TOKENS).first()
-    assert (r["n_rows"], r["missing"], r["missing_pct"]) == (5, 2, 0.4)
+    cells = ["8", "leer", "", "15", "void", "4", "n.d.", "16"]
+    r = missing.missing_by_column(table({"a": cells}), TOKENS).first()
+    gone = sum(not c.isdigit() for c in cells)
+    assert (r["n_rows"], r["missing"], r["missing_pct"]) == (len(cells), gone, gone / len(cells))
 
 
 def test_no_rows(table):
@@ -41,11 +43,19 @@ def test_no_rows(table):
 
 
 def test_patterns_break_ties_by_first_row(table):
-    g = table({"a": ["1", "", "3", ""], "b": ["x", "NA", "z", "w"]})
+    flags = [(0, 0, 0), (0, 1, 0), (1, 0, 1), (0, 1, 0), (1, 1, 0), (1, 0, 1), (0, 0, 1)]
+    g = table({name: ["void" if row[i] else "v" for row in flags] for i, name in enumerate("xyz")})
+    counts, firsts = {}, {}
+    for at, row in enumerate(flags):
+        key = tuple(n for n, f in zip("xyz", row) if f)
+        counts[key] = counts.get(key, 0) + 1
+        firsts.setdefault(key, at)
+    want = sorted((k for k in counts if k), key=lambda k: (-counts[k], firsts[k]))
     found = rows(missing.missing_patterns(g, TOKENS).select("columns", "n"))
-    assert found == [(["a", "b"], 1), (["a"], 1)]
+    assert found == [(list(k), counts[k]) for k in want]
     s = missing.missing_summary(g, TOKENS).first()
-    assert (s["complete_rows"], s["any_missing_rows"], s["missing_cells"]) == (2, 2, 3)
+    complete = counts[()]
+    assert (s["complete_rows"], s["any_missing_rows"], s["missing_cells"]) == (complete, len(flags) - complete, sum(map(sum, flags)))
 
 
 def test_patterns_in_stored_order(spark, tmp_path):
@@ -66,7 +76,8 @@ def test_patterns_of_a_wide_table(table):
 
 def test_rank_is_stable_and_bounded(table):
     g = table({f"c{i}": ["", "x" if i % 2 else ""] for i in range(50)})
-    ranked = rows(missing.missing_rank(g).select("rank", "name"), "rank")
+    assert missing.missing_rank(g).count() == 50
+    ranked = rows(missing.missing_rank(g, top=40).select("rank", "name"), "rank")
     assert len(ranked) == 40 and ranked[0] == (1, "c0") and ranked[25] == (26, "c1")
 
 
@@ -186,6 +197,16 @@ def test_stored_order(spark, tmp_path):
     assert infer.column_types(g) == ["integer", "integer"]
 
 
+def test_filtered_files_keep_all_positions(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(0, 900, 1, 4).selectExpr("id", "id % 7 AS k").write.parquet(path)
+    g = tg.grid(spark.read.parquet(path).filter("k > 2"), by_file=True)
+    left = [i for i in range(900) if i % 7 > 2]
+    found = rows(order.spaced_rows(g, len(left), (len(left), 100), 100).select("rid", "c0"), "rid")
+    assert found == [(i * len(left) // 100, left[i * len(left) // 100]) for i in range(100)]
+    assert rows(paging.rows(g, 300, 20, deep=10).select("c0"), "rid") == [(v,) for v in left[300:320]]
+
+
 def test_running_total(spark):
     data = [(g, k, (g * 7 + k * 3) % 5 + 1) for g in range(3) for k in range(200)]
     df = spark.createDataFrame(data, "g int, k int, n bigint").repartition(6)
@@ -206,9 +227,12 @@ def stats(table, cells, **limits):
 
 
 def test_basic_statistics(table):
-    r = stats(table, [1, 2, 3, 4, 5])
-    assert (r["count"], r["mean"], r["median"], r["min"], r["max"], r["q1"], r["q3"]) == (5, 3.0, 3.0, 1.0, 5.0, 2.0, 4.0)
-    assert math.isclose(r["std"], math.sqrt(2.5), rel_tol=1e-10)
+    data = [41, 7, 19, 3, 88, 26, 54, 12, 65]
+    r = stats(table, data)
+    q1, median, q3 = statistics.quantiles(data, n=4, method="inclusive")
+    found = (r["count"], r["mean"], r["min"], r["q1"], r["median"], r["q3"], r["max"])
+    assert found == (len(data), statistics.fmean(data), min(data), q1, median, q3, max(data))
+    assert math.isclose(r["std"], statistics.stdev(data), rel_tol=1e-10)
 
 
 def test_statistics_ignore_what_is_not_a_number(table):
@@ -218,14 +242,19 @@ def test_statistics_ignore_what_is_not_a_number(table):
 
 
 def test_outliers_and_shape(table):
-    assert stats(table, [10, 11, 12, 13, 14, 15, 100])["iqr_outliers"] == 1
-    assert abs(stats(table, range(-3, 4))["skew"]) < 0.01
-    r = stats(table, [0.1] * 7)
+    data = [22, 25, 24, 27, 23, 26, 25, 24, -90, 400]
+    q1, _, q3 = statistics.quantiles(data, n=4, method="inclusive")
+    fences = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    assert stats(table, data)["iqr_outliers"] == sum(not fences[0] <= x <= fences[1] for x in data)
+    assert abs(stats(table, [-9, -4, -1, 0, 1, 4, 9])["skew"]) < 1e-9
+    r = stats(table, [2.7] * 9)
     assert (r["std"], r["skew"], r["kurt"], r["z_outliers"]) == (0.0, 0.0, 0.0, 0)
-    single = stats(table, [42])
-    assert (single["std"], single["median"], single["skew"]) == (0.0, 42.0, 0.0)
-    assert stats(table, [0] * 30 + [100])["z_outliers"] == 1
-    two = stats(table, [1, 2])
+    single = stats(table, [-3.5])
+    assert (single["std"], single["median"], single["skew"]) == (0.0, -3.5, 0.0)
+    spiked = [6, 7] * 20 + [90]
+    far = 3 * statistics.stdev(spiked)
+    assert stats(table, spiked)["z_outliers"] == sum(abs(x - statistics.fmean(spiked)) > far for x in spiked)
+    two = stats(table, [5, 9])
     assert (two["skew"], two["kurt"]) == (0.0, -2.0)
 
 
@@ -270,19 +299,24 @@ def bins(df):
 
 
 def test_histogram(table):
-    h = bins(histogram.histogram(table({"a": [str(i) for i in range(100)]}), 0, 10))
-    assert len(h) == 10 and sum(n for *_, n in h) == 100 and h[0][0] == 0.0 and h[-1][1] == 99.0
-    assert bins(histogram.histogram(table({"a": ["5"] * 3}), 0)) == [(5.0, 6.0, 3)]
-    assert len(bins(histogram.histogram(table({"a": [str(i) for i in range(50)]}), 0, 99999))) == 200
-    assert bins(histogram.histogram(table({"a": ["x"]}), 0)) == [(0.0, 1.0, 0)]
+    data = [(7 * i) % 83 + 0.5 for i in range(140)]
+    h = bins(histogram.histogram(table({"a": [str(x) for x in data]}), 0, 8))
+    width = (max(data) - min(data)) / 8
+    want = [0] * 8
+    for x in data:
+        want[min(7, int((x - min(data)) / width))] += 1
+    assert [n for *_, n in h] == want and h[0][0] == min(data) and h[-1][1] == max(data)
+    assert bins(histogram.histogram(table({"a": ["-2"] * 6}), 0)) == [(-2.0, -1.0, 6)]
+    assert len(bins(histogram.histogram(table({"a": [str(i) for i in range(61)]}), 0, 10**6))) == 200
+    assert bins(histogram.histogram(table({"a": ["none"]}), 0)) == [(0.0, 1.0, 0)]
 
 
 def test_rebin_ignores_tokens(table):
-    g = table({"value": ["1", "2", "3", "4", "NA", "", "invalid"], "label": list("abcdefg")})
-    assert bins(histogram.histogram(g, 0, 2, None)) == [(1.0, 2.5, 2), (2.5, 4.0, 2)]
-    keep = ProfileOptions(missing_tokens=("4",))
-    assert sum(n for *_, n in bins(histogram.histogram(g, 0, 2, None))) == 4
-    assert sum(n for *_, n in bins(histogram.histogram(g, 0, 2, keep))) == 3
+    g = table({"value": ["12", "30", "18", "24", "void", "", "wrong", "6"], "label": list("stuvwxyz")})
+    assert bins(histogram.histogram(g, 0, 3, None)) == [(6.0, 14.0, 2), (14.0, 22.0, 1), (22.0, 30.0, 2)]
+    keep = ProfileOptions(missing_tokens=("30",))
+    assert sum(n for *_, n in bins(histogram.histogram(g, 0, 3, None))) == 5
+    assert sum(n for *_, n in bins(histogram.histogram(g, 0, 3, keep))) == 4
     with pytest.raises(ValueError, match="欄位不存在"):
         histogram.histogram(g, 20, 2)
 
@@ -302,11 +336,12 @@ def test_unique_counts_values_not_missing(table):
     assert rows(categories.unique_counts(g).select("unique", "unique_truncated")) == [(2, False)]
 
 
-@pytest.mark.parametrize("estimate_above", [0, 10**9])
-def test_unique_cap(table, estimate_above):
+def test_unique_cap(table):
     g = table({"a": [str(i) for i in range(900)], "b": [str(i % 250) for i in range(900)], "c": [str(i % 300) for i in range(900)]})
-    got = rows(categories.unique_counts(g, cap=250, estimate_above=estimate_above).select("unique", "unique_truncated"), "pos")
-    assert got == [(251, True), (250, False), (251, True)]
+    exact = rows(categories.unique_counts(g).select("unique", "unique_truncated"), "pos")
+    assert exact == [(900, False), (250, False), (300, False)]
+    capped = categories.unique_counts(g, options=ProfileOptions(unique_cap=250))
+    assert rows(capped.select("unique", "unique_truncated"), "pos") == [(251, True), (250, False), (251, True)]
 
 
 def test_top_categories(table):
@@ -378,21 +413,36 @@ def coefficient(table, x, y, method):
 
 @pytest.mark.parametrize("method", ["pearson", "spearman"])
 def test_perfect_correlation(table, method):
-    x = list("12345")
-    assert math.isclose(coefficient(table, x, ["2", "4", "6", "8", "10"], method), 1)
-    assert math.isclose(coefficient(table, x, ["10", "8", "6", "4", "2"], method), -1)
-    assert coefficient(table, ["1", "2"], ["1", "2"], method) is None
-    assert coefficient(table, ["1"] * 4, list("1234"), method) is None
+    xs = [14, -3, 22, 8, 0, 31]
+    x = [str(v) for v in xs]
+    assert math.isclose(coefficient(table, x, [str(3 * v + 11) for v in xs], method), 1)
+    assert math.isclose(coefficient(table, x, [str(5 - v / 4) for v in xs], method), -1)
+    assert coefficient(table, ["6", "9"], ["2", "7"], method) is None
+    assert coefficient(table, ["0.3"] * 5, ["9", "1", "4", "4", "8"], method) is None
 
 
 def test_pairs_with_gaps(table):
-    assert math.isclose(coefficient(table, ["1", "2", "", "4", "5"], ["2", "4", "999", "8", "10"], "pearson"), 1)
-    assert math.isclose(coefficient(table, list("12345"), ["1", "4", "9", "16", "25"], "spearman"), 1)
+    x, y = ["5", "", "17", "9", "2", "x"], ["11", "800", "35", "", "5", "44"]
+    assert math.isclose(coefficient(table, x, y, "pearson"), 1)  # y = 2x + 1 wherever both are present
+    assert math.isclose(coefficient(table, ["2", "7", "4", "9"], [str(v**3) for v in (2, 7, 4, 9)], "spearman"), 1)
+
+
+def test_pairs_with_gaps_over_many_columns(table):
+    rng = random.Random(12)
+    data = {f"n{i}": [rng.choice(["", f"{rng.gauss(i, 2):.4f}", f"{rng.gauss(0, 5):.4f}"]) for _ in range(160)] for i in range(11)}
+    found = {(r["i"], r["j"]): (r["r"], r["n"]) for r in correlation.pair_table(table(data), range(11), "pearson").collect()}
+    columns = list(data.values())
+    for (i, j), (r, n) in found.items():
+        both = [(float(a), float(b)) for a, b in zip(columns[i], columns[j]) if a and b]
+        assert n == len(both) and math.isclose(r, statistics.correlation(*map(list, zip(*both))), abs_tol=1e-9)
+    assert len(found) == 55
 
 
 def test_average_ranks(spark):
-    df = spark.createDataFrame([(0, v) for v in (10.0, 20.0, 20.0, 30.0)], "pos int, v double")
-    assert rows(correlation.average_ranks(df).select("v", "rank"), "v") == [(10.0, 1.0), (20.0, 2.5), (30.0, 4.0)]
+    values = [4.0, -1.0, 4.0, 9.0, 0.5, 4.0, 0.5]
+    df = spark.createDataFrame([(0, v) for v in values], "pos int, v double")
+    want = {v: sum(x < v for x in values) + (values.count(v) + 1) / 2 for v in values}
+    assert rows(correlation.average_ranks(df).select("v", "rank"), "v") == sorted(want.items())
 
 
 @pytest.mark.parametrize("small, hot_share", [(10**5, 1000), (0, 3), (0, 10**6), (40, 3)])
@@ -400,13 +450,17 @@ def test_ranks_by_every_route(spark, small, hot_share):
     # One value fills a third of the second column.
     rng = random.Random(2)
     data = [(rng.choice([None, rng.random()]), 1.0 if i % 3 == 0 else float(rng.randint(0, 30)), float(i)) for i in range(300)]
+    # The third column is the row itself, so every rank is held against its own row.
     df = spark.createDataFrame(data, "n0 double, n1 double, n2 double").repartition(4)
     got = correlation.rank_frame(df, [0, 1, 2], small=small, hot_share=hot_share)
     assert got.count() == 300
     for p in range(3):
         column = [r[p] for r in data if r[p] is not None]
-        want = sorted((sum(v < x for v in column) + (sum(v == x for v in column) + 1) / 2) for x in column)
-        assert sorted(r[0] for r in got.select(f"r{p}").collect() if r[0] is not None) == want
+        want = {
+            i: None if r[p] is None else sum(v < r[p] for v in column) + (sum(v == r[p] for v in column) + 1) / 2
+            for i, r in enumerate(data)
+        }
+        assert {int(r[0]) - 1: r[1] for r in got.select("r2", f"r{p}").collect()} == want
 
 
 def test_spearman_ranks_columns_before_dropping_pairs(table):
@@ -428,7 +482,8 @@ def test_matrix_and_strongest(table):
     best = rows(correlation.strongest_pairs(pairs).select("a", "b", "strength"))
     assert best[0] == ("a", "b", "極強") and len(best) == 3
     assert correlation.candidates([3]) is None
-    assert correlation.candidates(list(range(20))) == correlation.Candidates(tuple(range(15)), True)
+    assert correlation.candidates(list(range(20))) == correlation.Candidates(tuple(range(20)), False)
+    assert correlation.candidates(list(range(20)), 15) == correlation.Candidates(tuple(range(15)), True)
 
 
 # Pages
