@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrid.llm import decontaminate, jaccard, lattice, maintext, packing, quality, secrets, suffixes, tokenfile, toxicity
+from tallygrid.llm import decontaminate, jaccard, lattice, maintext, oracle, packing, quality, secrets, suffixes, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,4 +72,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries are tested against brute force, exact round trips or held-out accuracy."""
+    return {
+        "op1_decontamination": oracle.decontamination_sql(),
+        "op2_quality_rules": oracle.quality_sql(),
+        "op5_secret_scan": oracle.secrets_sql(),
+        "op7_jaccard_join": oracle.jaccard_sql(),
+    }
