@@ -160,7 +160,7 @@ def page_text(page: str, weights: dict[str, float]) -> str:
             if name in _INLINE:
                 score = TAG
             else:
-                score = min(TAG, weights.get("t:" + value, LEAST / 2 if name in _BOILERPLATE else TAG))
+                score = min(TAG, weights.get("t:" + value, LEAST / 8 if name in _BOILERPLATE else TAG))
         else:
             n = len(value.split())
             score = n * word_weight(around) if n else 0.0

@@ -35,7 +35,7 @@ WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 14
 PREFIXES = (4, 5, 6, 7, 8)
 #: Labelled rows of either label that the network is fitted on, and bytes of such a text.
 SAMPLE, SAMPLE_BYTES = 1_500, 12_000
-EPOCHS, BATCH_DOCS, RATE, SHARP = 8, 32, 0.01, 3.0
+STEPS, BATCH_DOCS, RATE, SHARP = 750, 32, 0.01, 3.0
 _CHUNK = 2_048
 _CLASS = np.zeros(256, bool)
 _CLASS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -209,8 +209,9 @@ def _pooled(logits: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.bincount(owner, share * logits, minlength=n), share
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
-    """Parameters fitted by Adam on whole labelled texts."""
+def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
+    """Parameters fitted by Adam on whole labelled texts, in about ``steps`` batches whatever their number."""
+    epochs = max(1, round(steps / -(-len(texts) // BATCH_DOCS)))
     p = initial(seed)
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
