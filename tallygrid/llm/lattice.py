@@ -266,6 +266,22 @@ def fit(words: DataFrame, docs: int, pieces: Pieces, rounds: int = ROUNDS) -> Mo
     return Model(pieces, np.log(p), total, distinct, docs)
 
 
+def _head(scored: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, at most ``most`` of them, without sorting the words.
+
+    Counts are put in sixteenths of a power of two, so at most about a thousand sizes are added up.
+    """
+    step = F.floor(F.log2("c") * 16)
+    sizes = scored.filter("c > 0").groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for row in sizes:
+        total += row["count"]
+        if total > most:
+            break
+        least = row["step"]
+    return scored.limit(0) if least is None else scored.filter((F.col("c") > 0) & (step >= least))
+
+
 def lattice_scores(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, folds: int = 7, held_fold: int = 2
 ) -> DataFrame:
@@ -283,7 +299,7 @@ def lattice_scores(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lp)], names=["h", "c", "lp"])
 
     scored = store(words.mapInArrow(score, "h long, c long, lp double"))
-    head = scored.orderBy(F.desc("c"), "h").limit(HEAD).toArrow()
+    head = _head(scored, HEAD).toArrow()
     order = np.argsort(head["h"].to_numpy())
     head_h, head_c, head_lp = (head[k].to_numpy()[order] for k in ("h", "c", "lp"))
     log_end, known_end = model.log_end, int(model.docs > 0)
