@@ -281,7 +281,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``df`` without near duplicates: of each group the row with the least id stays.
 
     Rows that repeat both id and text are one document, of which one row stays. Texts
-    without words are no duplicates of each other and stay.
+    without words are no duplicates of each other and stay. Rows without an id stay too, of
+    rows equal in all columns one.
     """
     found = near_duplicates(df, id_col, text_col)
     key = F.xxhash64(F.col(text_col).cast("string"))

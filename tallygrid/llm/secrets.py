@@ -22,9 +22,8 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrid.llm.links import join_sized
 from tallygrid.llm.textblock import BLOCK_BYTES
@@ -167,15 +166,24 @@ def mask(text: str, spans: str) -> str:
 def mask_secrets(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``df``, with every secret in the text replaced by MASK."""
     paths, found = scan_blobs(df, ledger, id_col, text_col)
-
-    @F.pandas_udf("string")
-    def masked(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([mask(t, s) for t, s in zip(text, spans)], dtype=object)
-
     places = [f"c{i}" for i in range(len(df.columns))]
-    text = F.col(places[df.columns.index(text_col)]).cast("string")
+    name = places[df.columns.index(text_col)]
+    text = F.col(name).cast("string")
     plain = df.toDF(*places).withColumn("blob", F.sha2(F.coalesce(text, F.lit("")), 256))
     joined = join_sized(plain, found.select("blob", "spans", "n"), ["blob"], "n", paths.count())
-    hit = joined.filter("spans IS NOT NULL").withColumn(places[df.columns.index(text_col)], masked(text, F.col("spans")))
-    clean = joined.filter("spans IS NULL")
-    return hit.unionByName(clean).select(*places).toDF(*df.columns)
+    masked = F.when(F.col("spans").isNull(), text).otherwise(_masked(text, F.split("spans", ",")))
+    return joined.withColumn(name, masked).select(*places).toDF(*df.columns)
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """:func:`mask` as an expression: ``spans`` are ordered by their starts."""
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("done"))
+
+    def step(so_far: Column, span: Column) -> Column:
+        first, last = (F.split_part(span, F.lit(":"), F.lit(k)).cast("int") for k in (2, 3))
+        before = F.substring(text, so_far["done"] + 1, first - so_far["done"])
+        out = F.when(first >= so_far["done"], F.concat(so_far["out"], before, F.lit(MASK))).otherwise(so_far["out"])
+        return F.struct(out.alias("out"), F.greatest(so_far["done"], last).alias("done"))
+
+    finish = lambda x: F.concat(x["out"], F.substring(text, x["done"] + 1, F.length(text)))
+    return F.aggregate(spans, begin, step, finish)

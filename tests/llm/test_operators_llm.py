@@ -386,6 +386,14 @@ def test_masks_and_fixed_rules():
     assert secrets.mask("a token=abcdefgh, b", "assign:2:16") == "a [SECRET], b"
 
 
+def test_masked_texts(spark):
+    texts = ["é😀 token = \"" + "0a" * 20 + "\" and AKIA" + "Q" * 16, "clean", "", None, "secret:abcdefgh" + "\n" + "f" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanner = secrets.Scanner()
+    want = {i: t if not t or not (s := scanner.spans(t)) else secrets.mask(t, secrets._written(s)) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["text"] for r in secrets.mask_secrets(df).collect()} == want
+
+
 # Quality
 
 
