@@ -18,11 +18,13 @@ matter leave first, without loss:
    longer ties by precomputed ranks of the positions in a difference cover modulo 7: from
    any two suffixes both reach a cover position within six bytes. So a suffix needs two
    integers, however long the tie.
-4. Runs to remove meet their documents by id.
+4. Runs to remove meet their documents by key. Whole copies of a text with a smaller id are
+   found by a 128-bit hash before step 2 and go as one run.
 
 Defined results: a null text is empty; a text under ``length`` bytes keeps all; a null id comes after all
 others; rows with one id do not precede each other, and a text that repeats within itself or
-under its own id keeps it; an empty table gives an empty table. Ids are integers. Only the
+under its own id keeps it; an empty table gives an empty table. Ids are integers within 2^46 of
+zero, and one stands for at most 65,536 different texts; otherwise an error says so. Only the
 named columns are read, so other columns cannot clash. Repeated rows are each reported.
 Equal 64-bit hashes stand for equal strings where strings are not compared.
 """
@@ -34,8 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
+from tallygrid.llm.links import join_sized
 from tallygrid.llm.textblock import blocks, mix, prefix_hash, span_hash, text_bytes
 from tallygrid.session import store
 
@@ -49,7 +53,11 @@ BUCKET = 1_500_000
 #: Surroundings sorted at a time, and about how many a bucket gets.
 BLOCK = 20_000
 CONTEXTS = 300_000
-_LAST = np.iinfo(np.int64).max
+#: Texts under ids that stand for several, up to which their list is broadcast.
+MAX_VARIANTS = 200_000
+#: A document's key is its id and, in so many low bits, which of the texts under that id it is.
+VARIANT_BITS = 16
+_LAST = 1 << 46
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -91,8 +99,18 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of values by significance: high bytes, mostly zero, stand together and compress away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _unplanes(data, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
+    return column.to_numpy(zero_copy_only=False)
 
 
 def _send_anchors(buckets: int, length: int, gram: int):
@@ -110,7 +128,7 @@ def _send_anchors(buckets: int, length: int, gram: int):
         for i, j in zip(edges.tolist(), stops.tolist()):
             heads = np.flatnonzero(np.diff(docs[i:j], prepend=docs[i] - 1))
             counts = np.diff(np.append(heads, j - i)).astype(np.uint32)
-            rows.append((int(bucket[i]), docs[i:j][heads].tobytes(), counts.tobytes(), short[i:j].tobytes(), at[i:j].tobytes()))
+            rows.append((int(bucket[i]), _planes(docs[i:j][heads]), _planes(counts), short[i:j].tobytes(), _planes(at[i:j])))
         columns = [pa.array(list(c)) for c in zip(*rows)]
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "docs", "counts", "hashes", "places"])
 
@@ -130,14 +148,15 @@ def _send_anchors(buckets: int, length: int, gram: int):
     return work
 
 
-def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column] or [np.zeros(0, kind)])
+def _joined(column: pa.ChunkedArray, kind, planes: bool = True) -> np.ndarray:
+    read = _unplanes if planes else np.frombuffer
+    return np.concatenate([read(x.as_buffer(), kind) for x in column] or [np.zeros(0, kind)])
 
 
 def _shared_anchors(group: pa.Table) -> pa.Table:
     """Of a bucket's anchors, those that more than one document has: (id, positions)."""
     docs = np.repeat(_joined(group["docs"], np.int64), _joined(group["counts"], np.uint32))
-    hashes, at = _joined(group["hashes"], np.uint32), _joined(group["places"], np.uint32)
+    hashes, at = _joined(group["hashes"], np.uint32, False), _joined(group["places"], np.uint32)
     order, heads = _grouped(hashes)
     least, most = np.minimum.reduceat(docs[order], heads), np.maximum.reduceat(docs[order], heads)
     sizes = np.diff(np.append(heads, len(order)))
@@ -156,7 +175,7 @@ def _by_doc(docs: np.ndarray, values: np.ndarray) -> pa.Table:
 
 
 def _send_contexts(buckets: int, length: int, gram: int):
-    """Pass 2: the surroundings of shared anchors, per bucket; bucket -1 holds runs already settled."""
+    """Pass 2: the surroundings of shared anchors, per bucket, and runs already settled (``found``), anywhere."""
     side, width = length - gram, 2 * (length - gram) + gram
 
     def out(found: list) -> Iterator[pa.RecordBatch]:
@@ -166,7 +185,7 @@ def _send_contexts(buckets: int, length: int, gram: int):
         same = np.zeros(len(order), bool)
         same[1:] = key[order][1:] == key[order][:-1]
         heads = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        settled = docs[order] > docs[order][heads]  # a smaller id here has the same surroundings
+        settled = docs[order] >> VARIANT_BITS > docs[order][heads] >> VARIANT_BITS  # a smaller id here has the same surroundings
         gone, sent = order[settled], order[~same]
         if len(gone):
             runs = np.stack([at[gone] - before[gone], at[gone] + gram + after[gone]], axis=1).astype("<u4")
@@ -174,7 +193,7 @@ def _send_contexts(buckets: int, length: int, gram: int):
             n = table.num_rows
             blank = pa.array([None] * n, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, -1)), table["id"].combine_chunks(), table["found"].combine_chunks(), blank, blank],
+                [pa.array(np.arange(n) % buckets), table["id"].combine_chunks(), table["found"].combine_chunks(), blank, blank],
                 names=["bucket", "id", "found", "heads", "around"],
             )
         bucket = ((hashes[sent] >> np.uint64(34)) % np.uint64(buckets)).astype(np.int64)
@@ -185,8 +204,8 @@ def _send_contexts(buckets: int, length: int, gram: int):
         rows = []
         for i, j in zip(edges.tolist(), stops.tolist()):
             some = sent[i:j]
-            head = np.stack([hashes[some].view(np.int64), docs[some], at[some], before[some] << 8 | after[some]], axis=1)
-            rows.append((int(bucket[i]), None, None, head.astype("<i8").tobytes(), around[some].tobytes()))
+            head = np.stack([hashes[some].view(np.int64), docs[some], at[some], before[some] << 8 | after[some]])
+            rows.append((int(bucket[i]), None, None, _planes(head.ravel()), around[some].tobytes()))
         types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "found", "heads", "around"])
@@ -276,9 +295,13 @@ def _repeated(length: int, gram: int):
     side, width = length - gram, 2 * (length - gram) + gram
 
     def work(group: pa.Table) -> pa.Table:
-        head = np.concatenate([np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 4) for x in group["heads"]])
+        past = group.filter(pc.is_valid(group["found"])).select(["id", "found"])
+        group = group.filter(pc.is_null(group["found"]))
+        if not group.num_rows:
+            return past
+        head = np.concatenate([_unplanes(x.as_buffer(), np.int64).reshape(4, -1).T for x in group["heads"]])
         around = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width) for x in group["around"]])
-        hashes, docs, at = head[:, 0].view(np.uint64), head[:, 1], head[:, 2]
+        hashes, docs, at = head[:, 0].copy().view(np.uint64), head[:, 1], head[:, 2]
         before, after = head[:, 3] >> 8, head[:, 3] & 255
         runs, owners = [], []
 
@@ -291,7 +314,7 @@ def _repeated(length: int, gram: int):
         new = np.ones(len(order), bool)
         new[1:] = key[order][1:] != key[order][:-1]
         heads = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        gone = order[docs[order] > docs[order][heads]]
+        gone = order[docs[order] >> VARIANT_BITS > docs[order][heads] >> VARIANT_BITS]
         remove(gone, -before[gone], gram + after[gone])
 
         # One row for each kind of surroundings, of the least id, where an anchor has several kinds.
@@ -321,12 +344,12 @@ def _repeated(length: int, gram: int):
                 by, first = _grouped(tie)
                 least = np.minimum.reduceat(docs[rows[some]][by], first)
                 least = np.repeat(least, np.diff(np.append(first, len(by))))
-                hit = some[by[docs[rows[some]][by] > least]]
+                hit = some[by[docs[rows[some]][by] >> VARIANT_BITS > least >> VARIANT_BITS]]
                 hit = rows[hit]
                 begin = np.full(len(hit), start - side)
                 remove(hit, begin, begin + length)
         found = np.concatenate(runs)
-        return _by_doc(np.concatenate(owners), found.astype("<u4"))
+        return pa.concat_tables([past, _by_doc(np.concatenate(owners), found.astype("<u4"))])
 
     return work
 
@@ -372,27 +395,65 @@ def remove_repeats(
 
     Kept bytes need not be valid UTF-8: a removed run may end inside a character.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    hashes = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")]
+    rows = store(docs.select("id", *hashes, F.octet_length("text").alias("n")))
+    count, total, low, high = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.min("id"), F.max("id")).first()
+    if count and max(-(low or 0), high or 0) >= _LAST:
+        raise ValueError(f"ids must lie within {_LAST} of zero")
+    with_key = _keys(rows)
+    docs, rows = with_key(docs.select("*", *hashes)).select("id", "key", "text"), store(with_key(rows))
+
+    # Whole texts that a smaller id has too go as one run, and need no sorting.
+    first = rows.groupBy("t1", "t2").agg(F.min("key").alias("first"), F.count("*").alias("m")).filter("m > 1")
+    copies = join_sized(rows.filter(F.col("n") >= length), first, ["t1", "t2"], "m", count, "inner")
+    copies = store(copies.filter(F.shiftright("key", VARIANT_BITS) > F.shiftright("first", VARIANT_BITS)).select("key").distinct())
+
     density = 2 / (length - gram + 2)
     buckets = max(1, round(total * density / BUCKET))
     schema = "bucket long, docs binary, counts binary, hashes binary, places binary"
-    sent = docs.mapInArrow(_send_anchors(buckets, length, gram), schema)
-    shared = sent.groupBy("bucket").applyInArrow(_shared_anchors, "id long, found binary")
-    shared = store(shared)
+    sent = docs.select("key", "text").mapInArrow(_send_anchors(buckets, length, gram), schema)
+    shared = store(sent.groupBy("bucket").applyInArrow(_shared_anchors, "id long, found binary"))
 
     # Lists of one document are no longer than its text.
-    by_doc = shared.groupBy("id").agg(F.collect_list("found").alias("found")).withColumnRenamed("id", "key")
-    key = F.coalesce("id", F.lit(int(_LAST)))
-    held = docs.join(by_doc.hint("merge"), key == F.col("key")).select(F.col("key").alias("id"), "text", "found")
+    by_doc = shared.groupBy(F.col("id").alias("key")).agg(F.collect_list("found").alias("found"))
+    by_doc = by_doc.join(copies, "key", "left_anti")
+    held = docs.join(by_doc.hint("merge"), "key").select("key", "text", "found")
     anchors_left = shared.agg(F.coalesce(F.sum(F.octet_length("found")) / 4, F.lit(0))).first()[0]
     buckets = max(1, round(anchors_left / CONTEXTS))
     schema = "bucket long, id long, found binary, heads binary, around binary"
-    around = store(held.mapInArrow(_send_contexts(buckets, length, gram), schema))
-    settled = around.filter("bucket < 0").select("id", "found")
-    repeated = around.filter("bucket >= 0").select("bucket", "heads", "around").groupBy("bucket")
-    repeated = repeated.applyInArrow(_repeated(length, gram), "id long, found binary")
-    runs = settled.unionByName(repeated).groupBy("id").agg(F.collect_list("found").alias("found")).withColumnRenamed("id", "key")
-    rows = docs.join(runs.hint("merge"), key == F.col("key"), "left").select("id", "text", "found")
-    out = rows.mapInArrow(_apply(keep_bytes), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    around = held.mapInArrow(_send_contexts(buckets, length, gram), schema)
+    runs = around.groupBy("bucket").applyInArrow(_repeated(length, gram), "id long, found binary")
+    runs = runs.unionByName(copies.select(F.col("key").alias("id"), F.unhex(F.lit("00000000FFFFFFFF")).alias("found")))
+    runs = runs.groupBy(F.col("id").alias("key")).agg(F.collect_list("found").alias("found"))
+    joined = docs.join(runs.hint("merge"), "key", "left").select("id", "text", "found")
+    out = joined.mapInArrow(_apply(keep_bytes), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return (out if keep_bytes else out.drop("kept")).withColumnRenamed("id", id_col)
+
+
+def _keys(rows: DataFrame):
+    """A function that adds ``key`` to rows of id, t1, t2: the id, and which of its texts it is.
+
+    Nearly always an id stands for one text. Others are numbered, and their list is broadcast
+    up to MAX_VARIANTS rows and joined beyond that.
+    """
+    several = rows.groupBy("id").agg(F.min(F.struct("t1", "t2")).alias("a"), F.max(F.struct("t1", "t2")).alias("b")).filter("a <> b")
+    several = store(several.select(F.col("id").alias("vid")))
+    whole = F.shiftleft(F.coalesce("id", F.lit(_LAST).cast("long")), VARIANT_BITS)
+    if several.isEmpty():
+        return lambda df: df.withColumn("key", whole)
+    variants = rows.join(several, rows["id"].eqNullSafe(F.col("vid")), "left_semi").select("id", "t1", "t2").distinct()
+    number = F.row_number().over(Window.partitionBy("id").orderBy("t1", "t2")) - 1
+    variants = store(variants.select(F.col("id").alias("vid"), F.col("t1").alias("v1"), F.col("t2").alias("v2"), number.alias("variant")))
+    n, most = variants.agg(F.count("*"), F.max("variant")).first()
+    if most >= 1 << VARIANT_BITS:
+        raise ValueError(f"an id stands for more than {1 << VARIANT_BITS} different texts")
+    small = F.broadcast(variants) if n <= MAX_VARIANTS else variants
+
+    def add(df: DataFrame) -> DataFrame:
+        same = df["id"].eqNullSafe(F.col("vid")) & (F.col("t1") == F.col("v1")) & (F.col("t2") == F.col("v2"))
+        found = df.join(small, same, "left").withColumn("key", whole + F.coalesce("variant", F.lit(0)))
+        return found.drop("vid", "v1", "v2", "variant")
+
+    return add

@@ -205,6 +205,24 @@ def test_repeated_bytes(spark, documents, texts):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in rows)
 
 
+def test_repeats_under_shared_ids(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 20) for _ in range(3))
+    rows = [(1, a), (2, b + " and " + a), (2, c), (2, c), (3, c + a), (None, b), (None, "x" + c), (-4, "y " + b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    order = lambda k: 10**6 if k is None else k
+
+    def want(doc, text):
+        gone = np.zeros(len(text), bool)
+        for i in range(len(text) - 49):
+            if any(order(d) < order(doc) and text[i : i + 50] in t for d, t in rows):
+                gone[i : i + 50] = True
+        return int(gone.sum())
+
+    found = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixes.remove_repeats(df).collect())
+    assert found == Counter((d, len(t), want(d, t)) for d, t in rows)
+
+
 def test_suffix_classes_equal_strings():
     rng = np.random.default_rng(4)
     around = rng.integers(97, 99, (60, 80)).astype(np.uint8)
