@@ -42,7 +42,7 @@ from tallygrid.llm.tokens import vocabulary_path
 from tallygrid.session import store
 
 START = "▁"
-ROUNDS = 3
+ROUNDS = 1
 #: Words whose counts travel with the tasks (24 bytes each).
 HEAD = 300_000
 #: Distinct words that a task counts before it hands them on.
