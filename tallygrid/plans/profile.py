@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -83,7 +84,8 @@ class Profile:
 
     @cached_property
     def category_columns(self) -> list[int]:
-        few = categories.low_cardinality({p: u for p, (u, _) in self._parsed_uniques.items()}, self.numeric_columns)
+        uniques = {p: math.inf if cut else u for p, (u, cut) in self._parsed_uniques.items()}
+        few = categories.low_cardinality(uniques, self.numeric_columns)
         return sorted(self.text_columns + few)
 
     @cached_property
