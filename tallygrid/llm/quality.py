@@ -10,7 +10,7 @@ blank text has no words, fails the base rule and is not kept; a text shorter tha
 covers nothing for it; null ids pass through; repeated rows are judged one by one; an empty
 table gives an empty table. Only the named id and text columns are read, so other columns
 cannot clash. A text of any length is judged whole; a task holds one block of about
-2 MB of texts, or one longer text.
+1 MB of texts, or one longer text.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -20,8 +21,9 @@ import numpy as np
 
 from tallygrid.llm.textblock import prefix_hash, runs, spaces, span_hash
 
-#: Distinct white-space runs whose ids a worker keeps; beyond it the store is emptied and fills anew.
-KEPT_RUNS = 600_000
+#: Distinct white-space runs, and pieces, whose ids a worker keeps (about 100 MB); beyond it the
+#: store is emptied and fills anew.
+KEPT_RUNS, KEPT_PIECES = 400_000, 250_000
 #: Appended to every document.
 END_ID = 2
 
@@ -64,13 +66,14 @@ class Encoder:
 
     def _forget(self) -> None:
         self._place: dict[int, int] = {}  # hash of a white-space run -> its place below
-        self._pieces: dict[str, list[int]] = {" ": []}  # the end of a run, not a piece
+        self._pieces: dict[str, bytes] = {" ": b""}  # the end of a run, not a piece
         self._ids = np.zeros(0, np.uint32)
         self._at = np.zeros(1, np.int64)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
-        return [token.id for token in self._library.model.tokenize(shown)]
+        ids = [token.id for token in self._library.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Keep the ids of white-space runs that are new."""
@@ -80,22 +83,25 @@ class Encoder:
         for key, run in pairs:
             text = run.decode()
             ((odd if "<|" in text or not _PLAIN.fullmatch(text) else plain).append((key, text)))
-        known, ids, stops = self._pieces, [], []
+        known, parts, stops, size = self._pieces, [], [], 0
         found = _PIECE.findall("".join(text.lower() + " " for _, text in plain))
         for piece in set(found).difference(known):
             known[piece] = self._piece(piece)
         for piece in found:
             if piece == " ":
-                stops.append(len(ids))
+                stops.append(size)
             else:
-                ids += known[piece]
+                parts.append(known[piece])
+                size += len(parts[-1])
         for _, text in odd:
-            ids += self._library.encode(text, add_special_tokens=False).ids
-            stops.append(len(ids))
+            ids = self._library.encode(text, add_special_tokens=False).ids
+            parts.append(struct.pack(f"<{len(ids)}I", *ids))
+            size += len(parts[-1])
+            stops.append(size)
         first = len(self._place)
         self._place.update(zip((key for key, _ in plain + odd), range(first, first + len(stops))))
-        self._ids = np.concatenate([self._ids, np.asarray(ids, np.uint32)])
-        self._at = np.concatenate([self._at, self._at[-1] + np.asarray(stops, np.int64)])
+        self._ids = np.concatenate([self._ids, np.frombuffer(b"".join(parts), "<u4")])
+        self._at = np.concatenate([self._at, self._at[-1] + np.asarray(stops, np.int64) // 4])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of a block one after the other, each followed by ``end``, and n+1 offsets."""
@@ -105,7 +111,7 @@ class Encoder:
             span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True
         )
         keys = hashes.tolist()
-        if len(self._place) + len(keys) > KEPT_RUNS or len(self._pieces) > KEPT_RUNS:
+        if len(self._place) + len(keys) > KEPT_RUNS or len(self._pieces) > KEPT_PIECES:
             self._forget()
         new = [i for i, key in enumerate(keys) if key not in self._place]
         self._learn(data, hashes[new], starts[first[new]], ends[first[new]])
