@@ -39,7 +39,7 @@ RECALL = 0.9999
 MAX_BANDS = 32
 #: Shingles and texts in one block of a component; a task holds two blocks.
 BLOCK_SHINGLES = 1_000_000
-BLOCK_TEXTS = 1_500
+BLOCK_TEXTS = 1_000
 #: Shingles in more texts than this are counted by matrix products, the others pair by pair.
 DENSE_ABOVE = 12
 
