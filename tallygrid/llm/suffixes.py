@@ -32,6 +32,7 @@ Equal 64-bit hashes stand for equal strings where strings are not compared.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +53,7 @@ SENT = 1_000_000
 BUCKET = 1_500_000
 #: Surroundings sorted at a time, and about how many a bucket gets.
 BLOCK = 20_000
-CONTEXTS = 300_000
+CONTEXTS = 150_000
 #: Texts under ids that stand for several, up to which their list is broadcast.
 MAX_VARIANTS = 200_000
 #: A document's key is its id and, in so many low bits, which of the texts under that id it is.
@@ -164,9 +165,20 @@ def _shared_anchors(group: pa.Table) -> pa.Table:
     return _by_doc(docs[taken], at[taken].astype("<u4"))
 
 
+def _merged(docs: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of each document as maximal runs."""
+    names, number = np.unique(docs, return_inverse=True)
+    shift = number.astype(np.int64) << 33  # no run reaches into the next document's range
+    whole = merged_runs(runs.astype(np.int64) + shift[:, None])
+    number = whole[:, 0] >> 33
+    return names[number], (whole - (number << 33)[:, None]).astype("<u4")
+
+
 def _by_doc(docs: np.ndarray, values: np.ndarray) -> pa.Table:
     if not len(docs):
         return pa.table({"id": pa.array([], pa.int64()), "found": pa.array([], pa.binary())})
+    if values.ndim == 2:
+        docs, values = _merged(docs, values)
     order, heads = _grouped(docs)
     values = values[order]
     stops = np.append(heads[1:], len(order))
@@ -205,7 +217,7 @@ def _send_contexts(buckets: int, length: int, gram: int):
         for i, j in zip(edges.tolist(), stops.tolist()):
             some = sent[i:j]
             head = np.stack([hashes[some].view(np.int64), docs[some], at[some], before[some] << 8 | after[some]])
-            rows.append((int(bucket[i]), None, None, _planes(head.ravel()), around[some].tobytes()))
+            rows.append((int(bucket[i]), None, None, _planes(head.ravel()), zlib.compress(around[some].tobytes(), 1)))
         types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "found", "heads", "around"])
@@ -300,7 +312,7 @@ def _repeated(length: int, gram: int):
         if not group.num_rows:
             return past
         head = np.concatenate([_unplanes(x.as_buffer(), np.int64).reshape(4, -1).T for x in group["heads"]])
-        around = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width) for x in group["around"]])
+        around = np.concatenate([np.frombuffer(zlib.decompress(x.as_buffer()), np.uint8).reshape(-1, width) for x in group["around"]])
         hashes, docs, at = head[:, 0].copy().view(np.uint64), head[:, 1], head[:, 2]
         before, after = head[:, 3] >> 8, head[:, 3] & 255
         runs, owners = [], []
