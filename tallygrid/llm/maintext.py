@@ -205,7 +205,10 @@ def fit_weights(pages: DataFrame, page_col: str = "html", sample: int = SAMPLE)
     """Log odds of features inside the article, from at most ``sample`` labelled pages, drawn by content hash."""
     text = F.col(page_col).cast("string")
     labelled = pages.select(text.alias("page")).filter(F.lower("page").rlike(r"<article[\s>]"))
-    drawn = labelled.orderBy(F.xxhash64("page"), "page").limit(sample)
+    # The bound comes from hashes alone, so that no task gathers pages; only equal pages tie.
+    place = F.xxhash64("page")
+    bound = labelled.select(place.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    drawn = labelled.filter(place <= F.lit(bound).cast("long")).limit(sample)
     counts = drawn.mapInArrow(_counts, "feature string, inside boolean, n long")
     rows = counts.groupBy("feature").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("o")
