@@ -12,7 +12,8 @@ matter leave first, without loss:
    document set they hold; anchors that only one document has go no further.
 2. The other anchors come back to their texts, which send the 80 bytes around each to the
    bucket of its full hash: they hold all suffixes, at least 50 bytes long, that begin up to 30
-   bytes before it. Within a task equal surroundings are sent once, with the least id.
+   bytes before it. Within a task equal surroundings are sent once, with the least id and all
+   their positions in its texts.
 3. A bucket is sorted one block of suffixes at a time. Equal surroundings settle all their
    suffixes at once. Where surroundings differ, suffixes are ordered by their first bytes, and
    longer ties by precomputed ranks of the positions in a difference cover modulo 7: from
@@ -100,6 +101,12 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of every size, one after the other."""
+    stops = np.cumsum(sizes)
+    return np.arange(stops[-1] if len(stops) else 0) + np.repeat(first - (stops - sizes), sizes)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of values by significance: high bytes, mostly zero, stand together and compress away."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
@@ -198,29 +205,35 @@ def _send_contexts(buckets: int, length: int, gram: int):
         same[1:] = key[order][1:] == key[order][:-1]
         heads = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         settled = docs[order] >> VARIANT_BITS > docs[order][heads] >> VARIANT_BITS  # a smaller id here has the same surroundings
-        gone, sent = order[settled], order[~same]
+        gone, left = order[settled], np.flatnonzero(~settled)
         if len(gone):
             runs = np.stack([at[gone] - before[gone], at[gone] + gram + after[gone]], axis=1).astype("<u4")
             table = _by_doc(docs[gone], runs)
             n = table.num_rows
             blank = pa.array([None] * n, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(n) % buckets), table["id"].combine_chunks(), table["found"].combine_chunks(), blank, blank],
-                names=["bucket", "id", "found", "heads", "around"],
+                [pa.array(np.arange(n) % buckets), table["id"].combine_chunks(), table["found"].combine_chunks(), blank, blank, blank],
+                names=["bucket", "id", "found", "heads", "places", "around"],
             )
+        # One row for each text of the least id, with all positions that have these surroundings.
+        new = ~same[left]
+        new[1:] |= docs[order[left[1:]]] != docs[order[left[:-1]]]
+        left, first = order[left], np.flatnonzero(new)
+        sent, times = left[first], np.diff(np.append(first, len(left)))
         bucket = ((hashes[sent] >> np.uint64(34)) % np.uint64(buckets)).astype(np.int64)
-        sent = sent[np.argsort(bucket, kind="stable")]
-        bucket = np.sort(bucket)
+        by = np.argsort(bucket, kind="stable")
+        sent, times, first, bucket = sent[by], times[by], first[by], bucket[by]
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
         stops = np.append(edges[1:], len(bucket))
         rows = []
         for i, j in zip(edges.tolist(), stops.tolist()):
             some = sent[i:j]
-            head = np.stack([hashes[some].view(np.int64), docs[some], at[some], before[some] << 8 | after[some]])
-            rows.append((int(bucket[i]), None, None, _planes(head.ravel()), zlib.compress(around[some].tobytes(), 1)))
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            head = np.stack([hashes[some].view(np.int64), docs[some], times[i:j], before[some] << 8 | after[some]])
+            places = at[left[_spread(first[i:j], times[i:j])]].astype(np.uint32)
+            rows.append((int(bucket[i]), None, None, _planes(head.ravel()), _planes(places), zlib.compress(around[some].tobytes(), 1)))
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "found", "heads", "around"])
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "found", "heads", "places", "around"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
@@ -313,39 +326,49 @@ def _repeated(length: int, gram: int):
             return past
         head = np.concatenate([_unplanes(x.as_buffer(), np.int64).reshape(4, -1).T for x in group["heads"]])
         around = np.concatenate([np.frombuffer(zlib.decompress(x.as_buffer()), np.uint8).reshape(-1, width) for x in group["around"]])
-        hashes, docs, at = head[:, 0].copy().view(np.uint64), head[:, 1], head[:, 2]
+        hashes, docs, times = head[:, 0].copy().view(np.uint64), head[:, 1], head[:, 2]
         before, after = head[:, 3] >> 8, head[:, 3] & 255
+        at, placed = _joined(group["places"], np.uint32).astype(np.int64), np.cumsum(times) - times
         runs, owners = [], []
 
         def remove(rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
-            runs.append(np.stack([at[rows] + first, at[rows] + last], axis=1))
-            owners.append(docs[rows])
+            """Runs relative to the anchor, at every position of the rows."""
+            places, n = at[_spread(placed[rows], times[rows])], times[rows]
+            runs.append(np.stack([places + np.repeat(first, n), places + np.repeat(last, n)], axis=1))
+            owners.append(np.repeat(docs[rows], n))
 
         key = _context_key(around, before, after, hashes)
         order = np.lexsort((docs, key))
         new = np.ones(len(order), bool)
         new[1:] = key[order][1:] != key[order][:-1]
         heads = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        gone = order[docs[order] >> VARIANT_BITS > docs[order][heads] >> VARIANT_BITS]
+        settled = docs[order] >> VARIANT_BITS > docs[order][heads] >> VARIANT_BITS
+        gone = order[settled]
         remove(gone, -before[gone], gram + after[gone])
 
         # One row for each kind of surroundings, of the least id, where an anchor has several kinds.
-        kinds = order[new]
-        kinds = kinds[np.argsort(hashes[kinds], kind="stable")]
-        _, heads = _grouped(hashes[kinds])
+        # Of what differs only in part, each of them stands for all rows of its kind and id, which follow it.
+        kinds = np.flatnonzero(new)
+        alike = np.add.reduceat(~settled, kinds, dtype=np.int64)
+        by = np.argsort(hashes[order[kinds]], kind="stable")
+        kinds, alike = kinds[by], alike[by]
+        _, heads = _grouped(hashes[order[kinds]])
         sizes = np.diff(np.append(heads, len(kinds)))
         ends = np.cumsum(sizes)
         i = 0
         while i < len(sizes):  # one block of suffixes at a time, whole anchors in each
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK, "right")))
             anchor = np.repeat(np.arange(i, j), sizes[i:j])
-            rows = kinds[(ends[i - 1] if i else 0) : ends[j - 1]][np.repeat(sizes[i:j] > 1, sizes[i:j])]
-            anchor = anchor[np.repeat(sizes[i:j] > 1, sizes[i:j])]
+            several = np.repeat(sizes[i:j] > 1, sizes[i:j])
+            block = slice(ends[i - 1] if i else 0, ends[j - 1])
+            kind, like, anchor = kinds[block][several], alike[block][several], anchor[several]
+            rows = order[kind]
             i = j
             if not len(rows):
                 continue
             equal = sort_suffixes(around[rows], length, side, gram)
             n = len(rows)
+            least_start, last_start = np.full(n, -1), np.full(n, -1)
             for start in range(side + 1):
                 # The suffix begins `side - start` bytes before the anchor, and must lie in the text.
                 valid = (side - start <= before[rows]) & (length - gram - (side - start) <= after[rows])
@@ -357,9 +380,12 @@ def _repeated(length: int, gram: int):
                 least = np.minimum.reduceat(docs[rows[some]][by], first)
                 least = np.repeat(least, np.diff(np.append(first, len(by))))
                 hit = some[by[docs[rows[some]][by] >> VARIANT_BITS > least >> VARIANT_BITS]]
-                hit = rows[hit]
-                begin = np.full(len(hit), start - side)
-                remove(hit, begin, begin + length)
+                least_start[hit] = np.where(least_start[hit] < 0, start, least_start[hit])
+                last_start[hit] = start
+            # All starts lie within ``side`` < ``length`` bytes, so their strings overlap: one run.
+            hit = np.flatnonzero(last_start >= 0)
+            begin, end = least_start[hit] - side, last_start[hit] - side + length
+            remove(order[_spread(kind[hit], like[hit])], np.repeat(begin, like[hit]), np.repeat(end, like[hit]))
         found = np.concatenate(runs)
         return pa.concat_tables([past, _by_doc(np.concatenate(owners), found.astype("<u4"))])
 
@@ -434,7 +460,7 @@ def remove_repeats(
     held = docs.join(by_doc.hint("merge"), "key").select("key", "text", "found")
     anchors_left = shared.agg(F.coalesce(F.sum(F.octet_length("found")) / 4, F.lit(0))).first()[0]
     buckets = max(1, round(anchors_left / CONTEXTS))
-    schema = "bucket long, id long, found binary, heads binary, around binary"
+    schema = "bucket long, id long, found binary, heads binary, places binary, around binary"
     around = held.mapInArrow(_send_contexts(buckets, length, gram), schema)
     runs = around.groupBy("bucket").applyInArrow(_repeated(length, gram), "id long, found binary")
     runs = runs.unionByName(copies.select(F.col("key").alias("id"), F.unhex(F.lit("00000000FFFFFFFF")).alias("found")))

@@ -205,6 +205,30 @@ def test_repeated_bytes(spark, documents, texts):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in rows)
 
 
+def test_passages_repeated_inside_a_document(spark):
+    """One document in a task: what the second document holds three times is settled in the buckets alone."""
+    rng = random.Random(12)
+    docs = {}
+    for k in range(0, 24, 4):
+        whole, near, other = (prose(rng, 40)[:200] for _ in range(3))
+        docs[k + 1] = f"{prose(rng, 3)} {whole} {prose(rng, 3)} {near[:70]}"
+        docs[k + 2] = " ".join(f"{prose(rng, 5)} {whole}" for _ in range(3)) + "".join(f" {near[:70]}" + "-" * 40 for _ in range(3))
+        docs[k + 3] = other[:7] * 60
+        docs[k + 4] = "<" + other[:7] * 50 + ">" + other[:7] * 30
+    want = brute_repeats({k: t.encode() for k, t in docs.items()}, 50)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(24)
+        rows = suffixes.remove_repeats(df).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == want
+
+
 def test_repeats_under_shared_ids(spark):
     rng = random.Random(8)
     a, b, c = (prose(rng, 20) for _ in range(3))
