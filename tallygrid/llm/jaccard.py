@@ -243,8 +243,12 @@ def near_duplicates(
         "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "h1", "h2", "n_copies", "block", "text",
     )
 
-    def verify(group: pa.Table) -> pa.Table:
+    def verify(key: tuple, group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
+        _, i, j = (x.as_py() for x in key)
+        if i != j and len(group["block"].unique()) == 1:  # the other block is empty; (i, i) counts the pairs inside
+            group = group.slice(0, 0).combine_chunks()
+            return pa.table({"h1": group["h1"], "h2": group["h2"], "links": pa.array([], pa.int64()), "to": group["h1"]})
         keys = np.stack([group["h1"].to_numpy(), group["h2"].to_numpy()], axis=1)
         _, one = np.unique(keys, axis=0, return_index=True)  # a repeated row gives its text twice
         group = group.take(pa.array(np.sort(one))).combine_chunks()

@@ -134,6 +134,23 @@ def test_links_by_any_blocks(spark, monkeypatch, block):
     assert kept == {k for k in texts if group[k] == k}
 
 
+def test_links_with_empty_blocks(spark, monkeypatch):
+    """About as many blocks as texts in a component, so many blocks get none."""
+    rng = random.Random(14)
+    texts = {}
+    for k in range(8):
+        if k % 4 == 0:
+            base = prose(rng, 80).split()
+        words = list(base)
+        words[rng.randrange(len(words))] = f"w{k}"
+        texts[k] = " ".join(words)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 80)
+    links, group = brute_links(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(df).collect()}
+    assert found == {k: (group[k], links[k]) for k in texts}
+
+
 def test_banding_reaches_its_recall():
     for recall in (0.9, 0.99, 0.9999):
         bands, rows = jaccard.banding(0.8, recall)
