@@ -42,7 +42,7 @@ from tallygrid.llm.tokens import vocabulary_path
 from tallygrid.session import store
 
 START = "▁"
-ROUNDS = 1
+ROUNDS = 3
 #: Words whose counts travel with the tasks (24 bytes each).
 HEAD = 300_000
 #: Distinct words that a task counts before it hands them on.
@@ -116,44 +116,43 @@ def lattice(words: np.ndarray, pieces: Pieces, log_p: np.ndarray, counts: np.nda
     n, size = words.shape
     forward = np.full((size + 1, n), -np.inf)
     forward[0] = 0
-    arcs = []
+    arcs = [[] for _ in range(size)]  # by start: (end, rows, pieces)
     spelled = []
     for j in range(size):  # the start mark is never spelled
         bytes_ = _bytes_of(words[:, j])
         spelled.append((bytes_, np.where(bytes_ >= 0, log_p[pieces.size + np.maximum(bytes_, 0)], 0).sum(axis=1) if j else np.full(n, -np.inf)))
-    for i in range(size):
-        value = np.zeros(n, np.uint64)
-        for j in range(i + 1, min(size, i + pieces.longest) + 1):
-            value = value * _ROLL + words[:, j - 1] + np.uint64(1)
-            ids = pieces.find(mix(value))
-            rows = np.flatnonzero(ids >= 0)
-            if len(rows):
-                arcs.append((i, j, rows, ids[rows]))
+    value = np.zeros((n, size + 1), np.uint64)
+    for width in range(1, min(size, pieces.longest) + 1):  # all starts at once
+        value = value[:, :-1] * _ROLL + words[:, width - 1 :] + np.uint64(1)
+        ids = pieces.find(mix(value)).T
+        starts, rows = np.nonzero(ids >= 0)
+        heads = np.flatnonzero(np.diff(starts, prepend=-1))
+        for i, k, stop in zip(starts[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(starts)]):
+            arcs[i].append((i + width, rows[k:stop], ids[i, rows[k:stop]]))
     for i in range(size):
         forward[i + 1] = np.logaddexp(forward[i + 1], forward[i] + spelled[i][1])
-        for a, j, rows, ids in arcs:
-            if a == i:
-                forward[j, rows] = np.logaddexp(forward[j, rows], forward[i, rows] + log_p[ids])
+        for j, rows, ids in arcs[i]:
+            forward[j, rows] = np.logaddexp(forward[j, rows], forward[i, rows] + log_p[ids])
     total = forward[size]
     if counts is None:
         return total
     backward = np.full((size + 1, n), -np.inf)
     backward[size] = 0
-    expected = np.zeros(len(log_p))
-    ends = {i: [x for x in arcs if x[0] == i] for i in range(size)}
+    used, shares = [], []
     for i in range(size - 1, -1, -1):
         bytes_, weight = spelled[i]
         backward[i] = backward[i + 1] + weight
         share = counts * np.exp(forward[i] + weight + backward[i + 1] - total)
         for k in range(4):
-            used = bytes_[:, k] >= 0
-            expected += np.bincount(pieces.size + bytes_[used, k], share[used], minlength=len(log_p))
-        for _, j, rows, ids in ends[i]:
+            some = bytes_[:, k] >= 0
+            used.append(pieces.size + bytes_[some, k])
+            shares.append(share[some])
+        for j, rows, ids in arcs[i]:
             through = log_p[ids] + backward[j, rows]
             backward[i, rows] = np.logaddexp(backward[i, rows], through)
-            share = counts[rows] * np.exp(forward[i, rows] + through - total[rows])
-            expected += np.bincount(ids, share, minlength=len(log_p))
-    return total, expected
+            used.append(ids)
+            shares.append(counts[rows] * np.exp(forward[i, rows] + through - total[rows]))
+    return total, np.bincount(np.concatenate(used), np.concatenate(shares), minlength=len(log_p))
 
 
 def word_scores(words: list[str], pieces: Pieces, log_p: np.ndarray, counts: np.ndarray | None = None):

@@ -309,6 +309,19 @@ def test_lattice_sums_all_segmentations():
         assert math.isclose(slope, uses[at], rel_tol=1e-3)
 
 
+def test_long_words_and_rounds():
+    """One unbroken string takes time in proportion to its length, and the fit runs its rounds."""
+    import time
+
+    pieces = lattice.Pieces.load()
+    log_p, times = np.log(pieces.first_weights), []
+    for n in (2_000, 16_000):
+        began = time.process_time()
+        lattice.word_scores(["thandou" * (n // 7)], pieces, log_p, np.ones(1))
+        times.append(time.process_time() - began)
+    assert times[1] < 24 * times[0] and lattice.ROUNDS == 3
+
+
 def test_base_scores(documents, texts):
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
     split = {k: [w for w in re.split(r"[\x20\x09-\x0D]+", lower(t)) if w] for k, t in texts.items()}
