@@ -7,8 +7,10 @@ linear scan finds the contiguous region with the greatest sum. Within it, sectio
 score below zero (adverts, forms, comments and the like) are left out.
 
 Sections that the labelled pages do not show score by their kind: navigation, headers, footers,
-sidebars, forms and whatever names itself as advert, notice, comments and so on score like
-boilerplate, other sections like the one around them.
+sidebars, forms, what is hidden and what a class token, id or role names as advert, notice, comments
+and so on are left out without cutting the region, other sections score like the one around them.
+A name says nothing on a body, main, article, heading or inline tag, nor where the weights learned
+for that section are positive.
 
 Text is decoded, white space inside a block becomes one space, blocks are trimmed and joined by
 one line feed in page order. Defined results: a null or empty page, or one without a positive
@@ -46,21 +48,25 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SECTIONS = frozenset("article main section div nav header footer aside form menu dialog body td table figure details ul ol".split())
 _BOILERPLATE = frozenset("nav header footer aside form menu dialog button label fieldset".split())
 _HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|comment\w*|disqus|respond|"
+    r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|comment\w*|disqus|respond|"
     r"reply|replies|sidebar|side|menu|nav\w*|breadcrumb\w*|footer|header|masthead|share|sharing|social|related|recommend\w*|"
-    r"newsletter|subscri\w*|login|signup|search|widget|pager|pagination|tags|copyright|legal|disclaimer)(?:$|[\s_-])",
-    re.I,
+    r"newsletter|subscri\w*|login|signup|search|widget|pager|pagination|tags|copyright|legal|disclaimer)\Z",
 )
+#: Words that a class token may hold beside those and still name a section as boilerplate.
+_BESIDE = frozenset("area bar block bottom box container global left links list main page primary right secondary section site top wrapper".split())
+#: Sections that hold the page's text, whatever they are called.
+_WHOLE = frozenset("html body main article".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split()
 )
 #: Tags inside a line say nothing about where a region ends.
 _INLINE = frozenset("a abbr b br cite code del em font i ins kbd mark q s small span strong sub sup time u wbr".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPACES = frozenset("br td th wbr option img input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -70,10 +76,31 @@ def _key(name: str, rest: str) -> str:
     return f"{name}.{marks}" if marks else name
 
 
+def _hidden(rest: str) -> bool:
+    for name, value in _ATTRIBUTE.findall(rest):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True
+    return False
+
+
+def _names_boilerplate(marks: str) -> bool:
+    for token in marks.split():
+        parts = [x for x in re.split("[_-]+", token) if x]
+        hints = [bool(_HINT.match(x)) for x in parts]
+        if any(hints) and all(hint or x in _BESIDE for hint, x in zip(hints, parts)):
+            return True
+    return False
+
+
 def _prior(key: str, rest: str) -> bool:
     """Whether a section names itself as boilerplate."""
     name, _, marks = key.partition(".")
-    return name in _BOILERPLATE or bool(marks and _HINT.search(marks)) or bool(_HIDDEN.search(rest))
+    if name in _WHOLE:
+        return False
+    if name in _BOILERPLATE or _hidden(rest):
+        return True
+    return name not in _INLINE and name not in _HEADINGS and _names_boilerplate(marks)
 
 
 def read_page(page: str) -> list[tuple[str, str, tuple]]:
@@ -143,17 +170,31 @@ def page_text(page: str, weights: dict[str, float]) -> str:
     """Main text of a page under weights of features."""
     tokens = read_page(page)
 
+    def learned(key: str) -> float | None:
+        known, name = weights.get("w:" + key), key.partition(".")[0]
+        return weights.get("w:" + name) if known is None and name in _WHOLE else known
+
     def word_weight(around: tuple) -> float:
         for key, _ in reversed(around):
-            known = weights.get("w:" + key)
+            known = learned(key)
             if known is not None:
                 return known
         return weights.get("w:", 1.0)
 
+    def boilerplate(around: tuple) -> bool:
+        """By the innermost section that has a name for it, or a positive weight of its own."""
+        for key, prior in reversed(around):
+            known = weights.get("w:" + key)
+            if prior:
+                return known is None or known < 0
+            if "." in key and known is not None and known > 0:
+                return False
+        return False
+
     best, best_span, total, start = 0.0, None, 0.0, 0
     scores = []
     for i, (kind, value, around) in enumerate(tokens):
-        if any(prior for _, prior in around):
+        if boilerplate(around):
             score = -1e-6  # boilerplate inside the region neither adds nor, however long, cuts it off
         elif kind == "tag":
             name = value.lstrip("/")

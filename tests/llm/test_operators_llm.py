@@ -427,6 +427,25 @@ def test_other_layouts(spark):
         assert isinstance(maintext.page_text(odd, weights), str)
 
 
+def test_names_do_not_outrank_the_text():
+    weights = {"w:article": 4.0, "w:nav": -8.0, "w:div.ad": -8.0}
+    text = "<p>Some words of the main text.</p>"
+    for page in (
+        f'<body class="has-sidebar">{text}</body>',
+        f'<body><main class="overflow-hidden">{text}</main></body>',
+        f'<body><article class="post no-comments">{text}</article></body>',
+        f'<body style="display:none"><article>{text}</article></body>',
+    ):
+        assert maintext.page_text(page, weights) == "Some words of the main text."
+    inner = '<h2 id="side-effects">One</h2><h2 id="related-work">Two</h2><p class="notice-period">Three</p><p><a title="the hidden valley">Four</a></p>'
+    assert maintext.page_text(f"<article>{text}{inner}</article>", weights) == "Some words of the main text.\nOne\nTwo\nThree\nFour"
+    left_out = '<div class="ad">Buy</div><p hidden>Gone</p><div class="sidebar-left">Side</div><div id="comments"><div>Nice</div></div>'
+    assert maintext.page_text(f"<article>{text}{left_out}{text}</article>", weights) == "Some words of the main text.\nSome words of the main text."
+    shown = f'<article>{text}<div class="related">More</div></article>'
+    assert maintext.page_text(shown, weights) == "Some words of the main text."
+    assert maintext.page_text(shown, weights | {"w:div.related": 2.0}) == "Some words of the main text.\nMore"
+
+
 # Secrets
 
 
