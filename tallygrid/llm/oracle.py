@@ -106,3 +106,37 @@ groups AS (SELECT a, min(r) AS class_id FROM reach GROUP BY a),
 copies AS (SELECT key, count(*) AS n_copies FROM n GROUP BY key)
 SELECT d.doc_id, g.class_id, coalesce((SELECT count(*) FROM links WHERE links.a = d.doc_id), 0) AS n_links, coalesce(c.n_copies, 1) AS n_copies
 FROM d JOIN groups g ON g.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN copies c ON c.key = n.key"""
+
+
+def negatives_sql() -> str:
+    """Every row scored for every anchor; lists of doubles hold the whole numbers exactly."""
+    return """WITH r AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+    CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score
+  FROM r a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+
+def chat_sql() -> str:
+    """A turn adds the 20 characters of its control strings, and one for every control string inside role or text."""
+    inside = r"(<\\*/?s>|\[\\*/?INST\])"
+    probe = "</s>[INST] ok [/INST]"
+    written = lambda c: f"length({c}) + len(regexp_extract_all({c}, '{inside}'))"
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{probe}'), (-1, 1, 'assistant', '{probe}'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text))) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, md5(text))) AS loss_sha256,
+  CAST(sum(20 + {written('role')} + {written('text')}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""

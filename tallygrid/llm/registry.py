@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrid.llm import decontaminate, jaccard, lattice, maintext, oracle, packing, quality, secrets, suffixes, tokenfile, toxicity
+from tallygrid.llm import (
+    chat, decontaminate, jaccard, lattice, maintext, negatives, oracle, packing, periodic, quality, secrets, suffixes, tokenfile, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +58,34 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, tokenfile.write_tokens(table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+def planted_runs(documents: DataFrame) -> DataFrame:
+    """doc_id and text, where the texts of one in ten ids repeat a stretch of their words from some word on."""
+    rows = documents.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    rows = rows.withColumn("n", F.size("words").cast("long")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    repeated = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("words", place(i).cast("int")))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], said.schema)
+    return chat.conversation_digests(chat.read_turns(chat.format_turns(said.unionByName(more))))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -68,6 +98,9 @@ def queries() -> dict[str, Query]:
         "op8_main_text": op8_main_text,
         "op9_toxicity": op9_toxicity,
         "op10_token_files": op10_token_files,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_chat_format": op13_chat_format,
     }
 
 
@@ -78,4 +111,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": oracle.quality_sql(),
         "op5_secret_scan": oracle.secrets_sql(),
         "op7_jaccard_join": oracle.jaccard_sql(),
+        "op11_hard_negatives": oracle.negatives_sql(),
+        "op13_chat_format": oracle.chat_sql(),
     }

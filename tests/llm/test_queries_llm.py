@@ -12,7 +12,7 @@ from conftest import SF
 import corpus_pipeline
 from tallygrid.llm import decontaminate, jaccard, lattice, maintext, packing, quality, registry, secrets, suffixes, tokenfile, tokens, toxicity
 
-TABLES = ("documents", "benchmark", "labels", "pages")
+TABLES = ("documents", "benchmark", "labels", "pages", "embeddings", "conversations")
 
 
 @pytest.mark.parametrize("name", list(registry.oracle_sql()))
