@@ -1156,6 +1156,28 @@ def _(spark, sf_dir):
     return _cells(read_delimited(spark, _written(spark, sf_dir, "Big5-HKSCS")))
 
 
+def _broken_lines(spark, sf_dir: str) -> str:
+    """Orders as files whose texts hold line breaks, separators and quotes."""
+    orders = _table(prepare(spark), sf_dir, "orders")
+    note = F.concat(
+        F.col("o_orderpriority"), F.lit('\nsaid "'), F.col("o_orderstatus"), F.lit('", twice\r\n\n'), F.col("o_custkey"), F.lit("\n,")
+    )
+    path = f"{spark.sparkContext.getCheckpointDir()}/broken-{uuid.uuid4().hex}"
+    orders.select("o_orderkey", note.alias("note"), "o_totalprice").repartition(3, "o_orderkey").write.options(
+        header=True, quote='"', escape='"'
+    ).csv(path)
+    return path
+
+
+@_register(
+    "delimited_quoted_breaks",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority || chr(10) || 'said "' || o_orderstatus || '", twice' || chr(13) || chr(10)
+  || chr(10) || o_custkey || chr(10) || ',' AS note, CAST(o_totalprice AS VARCHAR) AS o_totalprice FROM orders""",
+)
+def _(spark, sf_dir):
+    return _cells(read_delimited(spark, _broken_lines(spark, sf_dir)))
+
+
 @_register(
     "source_info",
     "SELECT 'csv' AS kind, 'Big5' AS encoding, count(*) AS row_count, CAST(3 AS INTEGER) AS column_count FROM orders",

@@ -18,6 +18,7 @@ from tallygrid.session import prepare, store
 from tallygrid.sources import encoding as enc
 from tallygrid.sources.info import Source
 from tallygrid.sources.names import dedupe_names
+from tallygrid.sources.quoted import read_quoted
 
 # Messages and labels.
 EMPTY = "檔案內容為空"
@@ -116,20 +117,30 @@ def _read(spark: SparkSession, files: Sequence[enc.TextFile], sep: str, width: i
     """Rows after the header of files that share an encoding, a separator and the kind of splitting."""
     first = files[0]
     options = {
-        "sep": sep, "quote": '"', "escape": '"', "encoding": first.charset, "mode": "PERMISSIVE",
-        "columnNameOfCorruptRecord": _BAD, "header": False, "multiLine": first.open_quotes,
-        "maxColumns": max(20480, width + 1),
+        "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": _BAD, "multiLine": first.open_quotes, "maxColumns": max(20480, width + 1),
     }
-    if not first.open_quotes and first.charset.startswith("UTF-16") and _line_break(head):
-        options["lineSep"] = _line_break(head)
-    rows = spark.read.options(**options).schema(_schema(width)).csv([f.path for f in files])
-    keyed = rows.select(
-        F.col("_metadata.file_path").alias("k0"),
-        F.col("_metadata.file_block_start").alias("k1"),
-        # Rows of one split are numbered in order by one task.
-        F.monotonically_increasing_id().alias("k2"),
-        *rows.columns,
-    ).filter(_not_blank(width, sep))
+    schema, parts, whole = _schema(width), [], [f.path for f in files]
+    if first.open_quotes and not first.charset.startswith("UTF-16"):
+        records, whole = read_quoted(spark, whole, first.charset, sep)
+        if records is not None:
+            cells = F.from_csv("record", ", ".join(f"{c} string" for c in schema.names), {k: str(v) for k, v in options.items()})
+            parts.append(records.select("k0", "k1", "k2", cells.alias("cells")).select("k0", "k1", "k2", "cells.*"))
+    if whole:
+        options |= {"encoding": first.charset, "header": False}
+        if not first.open_quotes and first.charset.startswith("UTF-16") and _line_break(head):
+            options["lineSep"] = _line_break(head)
+        rows = spark.read.options(**options).schema(schema).csv(whole)
+        parts.append(
+            rows.select(
+                F.col("_metadata.file_path").alias("k0"),
+                F.col("_metadata.file_block_start").alias("k1"),
+                # Rows of one split are numbered in order by one task.
+                F.monotonically_increasing_id().alias("k2"),
+                *rows.columns,
+            )
+        )
+    keyed = union(parts).filter(_not_blank(width, sep))
     # The first filled row of each file is its header, whatever precedes it.
     top = keyed.groupBy("k0").agg(F.min(F.struct("k1", "k2")).alias("top"))
     return keyed.join(top, "k0").filter(F.struct("k1", "k2") > F.col("top")).drop("top")
@@ -147,8 +158,8 @@ def read_delimited(
 
     Encoding and separator are found file by file unless forced. Files with another header
     than the first one are refused. Short rows are padded, cells beyond the header are
-    dropped, blank rows are skipped, files without any row are left out. Files without quoted
-    line breaks are split among tasks. The parsed rows are stored once as a columnar table.
+    dropped, blank rows are skipped, files without any row are left out. Files are split among
+    tasks, those with quoted line breaks too (:mod:`tallygrid.sources.quoted`). The parsed rows are stored once as a columnar table.
     """
     prepare(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
