@@ -15,19 +15,21 @@ matter leave first, without loss:
    bytes before it. Within a task equal surroundings are sent once, with the least id and all
    their positions in its texts.
 3. A bucket is sorted one block of suffixes at a time. Equal surroundings settle all their
-   suffixes at once. Where surroundings differ, suffixes are ordered by their first bytes, and
-   longer ties by precomputed ranks of the positions in a difference cover modulo 7: from
-   any two suffixes both reach a cover position within six bytes. So a suffix needs two
-   integers, however long the tie.
-4. Runs to remove meet their documents by key. Whole copies of a text with a smaller id are
-   found by a 128-bit hash before step 2 and go as one run.
-
-Defined results: a null text is empty; a text under ``length`` bytes keeps all; a null id comes after all
-others; rows with one id do not precede each other, and a text that repeats within itself or
-under its own id keeps it; an empty table gives an empty table. Ids are integers within 2^46 of
-zero, and one stands for at most 65,536 different texts; otherwise an error says so. Only the
-named columns are read, so other columns cannot clash. Repeated rows are each reported.
-Equal 64-bit hashes stand for equal strings where strings are not compared.
+   suffixes at once. Where surroundings of one anchor differ, all their suffixes are sorted
+   together, by anchor, start, first bytes and then by ranks of the positions in a difference cover
+   modulo 7, which are computed once for a block: every suffix reaches a cover position within
+   three bytes, so it needs two integers, however long the tie. (Equal strings have equal
+   anchors and so the same start; suffixes of other starts need no comparing.) Repeats are
+   read from neighbours in that order, whose bytes are compared.
+4. Runs to remove go to their documents' range packed in blobs, are merged there, and meet the
+   texts by key. Whole copies of a text with a smaller id are found by a 128-bit hash before step 2
+   and go as one run.
+
+Defined results: a null text is empty; a text under ``length`` bytes keeps all; a null id counts as the greatest
+64-bit id; rows with one id do not precede each other, and a text that repeats within itself or
+under its own id keeps it; an empty table gives an empty table. Only the
+named columns are read, so other columns cannot clash. Repeated rows are each reported. A very long text is one block of
+its task. Where an id stands for several texts (a null id, say), 64-bit hashes tell these apart.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallygrid.llm.links import join_sized
 from tallygrid.llm.textblock import blocks, mix, prefix_hash, span_hash, text_bytes
@@ -55,11 +57,11 @@ BUCKET = 1_500_000
 #: Surroundings sorted at a time, and about how many a bucket gets.
 BLOCK = 20_000
 CONTEXTS = 150_000
-#: Texts under ids that stand for several, up to which their list is broadcast.
-MAX_VARIANTS = 200_000
-#: A document's key is its id and, in so many low bits, which of the texts under that id it is.
-VARIANT_BITS = 16
-_LAST = 1 << 46
+#: Ids that stand for several texts, up to which their list is broadcast.
+MAX_SHARED_IDS = 200_000
+#: Bytes of runs that a range of documents gets.
+RANGE_BYTES = 16_000_000
+_NULL = np.iinfo(np.int64).max
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -101,6 +103,13 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where each group of equal keys begins, in sorted keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
 def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """first, first + 1, ... of every size, one after the other."""
     stops = np.cumsum(sizes)
@@ -125,18 +134,19 @@ def _send_anchors(buckets: int, length: int, gram: int):
     """Pass 1: per bucket, a blob of (4-byte hash, position) by document."""
 
     def out(found: list) -> Iterator[pa.RecordBatch]:
-        hashes, at, docs = (np.concatenate(c) for c in zip(*found))
+        hashes, at, ids, tags = (np.concatenate(c) for c in zip(*found))
         bucket = ((hashes >> np.uint64(34)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((at, docs, bucket))
-        bucket, docs = bucket[order], docs[order]
+        order = np.lexsort((at, tags, ids, bucket))
+        bucket, ids, tags = bucket[order], ids[order], tags[order]
         short, at = hashes[order].astype(np.uint32), at[order].astype(np.uint32)
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
         stops = np.append(edges[1:], len(bucket))
         rows = []
         for i, j in zip(edges.tolist(), stops.tolist()):
-            heads = np.flatnonzero(np.diff(docs[i:j], prepend=docs[i] - 1))
+            heads = _heads(ids[i:j], tags[i:j])
             counts = np.diff(np.append(heads, j - i)).astype(np.uint32)
-            rows.append((int(bucket[i]), _planes(docs[i:j][heads]), _planes(counts), short[i:j].tobytes(), _planes(at[i:j])))
+            docs = np.stack([ids[i:j][heads], tags[i:j][heads]])
+            rows.append((int(bucket[i]), _planes(docs.ravel()), _planes(counts), short[i:j].tobytes(), _planes(at[i:j])))
         columns = [pa.array(list(c)) for c in zip(*rows)]
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "docs", "counts", "hashes", "places"])
 
@@ -145,7 +155,7 @@ def _send_anchors(buckets: int, length: int, gram: int):
         for batch, data, offsets in blocks(batches, "text"):
             hashes, at, texts = anchors(data, offsets, length, gram)
             if len(at):
-                found.append((hashes, at - offsets[texts], _ids(batch.column(0))[texts]))
+                found.append((hashes, at - offsets[texts], _ids(batch.column(0))[texts], _ids(batch.column(1))[texts]))
                 held += len(at)
             if held >= SENT:
                 yield from out(found)
@@ -161,63 +171,106 @@ def _joined(column: pa.ChunkedArray, kind, planes: bool = True) -> np.ndarray:
     return np.concatenate([read(x.as_buffer(), kind) for x in column] or [np.zeros(0, kind)])
 
 
+def _docs(column: pa.ChunkedArray) -> np.ndarray:
+    """Ids and tags of the documents of blobs, two columns."""
+    return np.concatenate([_unplanes(x.as_buffer(), np.int64).reshape(2, -1).T for x in column] or [np.zeros((0, 2), np.int64)])
+
+
 def _shared_anchors(group: pa.Table) -> pa.Table:
-    """Of a bucket's anchors, those that more than one document has: (id, positions)."""
-    docs = np.repeat(_joined(group["docs"], np.int64), _joined(group["counts"], np.uint32))
+    """Of a bucket's anchors, those that more than one id has: (key, tag, positions)."""
+    docs = np.repeat(_docs(group["docs"]), _joined(group["counts"], np.uint32), axis=0)
     hashes, at = _joined(group["hashes"], np.uint32, False), _joined(group["places"], np.uint32)
     order, heads = _grouped(hashes)
-    least, most = np.minimum.reduceat(docs[order], heads), np.maximum.reduceat(docs[order], heads)
+    ids = docs[order, 0]
+    least, most = np.minimum.reduceat(ids, heads), np.maximum.reduceat(ids, heads)
     sizes = np.diff(np.append(heads, len(order)))
     taken = order[np.repeat(least != most, sizes)]
-    return _by_doc(docs[taken], at[taken].astype("<u4"))
+    return _by_doc(docs[taken, 0], docs[taken, 1], at[taken].astype("<u4"))
+
 
+def _numbered(ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each document and, by number, one of its places."""
+    order = np.lexsort((tags, ids))
+    heads = _heads(ids[order], tags[order])
+    number = np.empty(len(ids), np.int64)
+    number[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    return number, order[heads]
 
-def _merged(docs: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _merged(number: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of each document as maximal runs."""
-    names, number = np.unique(docs, return_inverse=True)
-    shift = number.astype(np.int64) << 33  # no run reaches into the next document's range
+    shift = number << 33  # no run reaches into the next document's range
     whole = merged_runs(runs.astype(np.int64) + shift[:, None])
     number = whole[:, 0] >> 33
-    return names[number], (whole - (number << 33)[:, None]).astype("<u4")
+    return number, (whole - (number << 33)[:, None]).astype("<u4")
 
 
-def _by_doc(docs: np.ndarray, values: np.ndarray) -> pa.Table:
-    if not len(docs):
-        return pa.table({"id": pa.array([], pa.int64()), "found": pa.array([], pa.binary())})
+def _by_doc(ids: np.ndarray, tags: np.ndarray, values: np.ndarray) -> pa.Table:
+    if not len(ids):
+        return pa.table({"key": pa.array([], pa.int64()), "tag": pa.array([], pa.int64()), "found": pa.array([], pa.binary())})
+    number, place = _numbered(ids, tags)
     if values.ndim == 2:
-        docs, values = _merged(docs, values)
-    order, heads = _grouped(docs)
-    values = values[order]
+        number, values = _merged(number, values)
+    order, heads = _grouped(number)
+    values, names = values[order], place[number[order][heads]]
     stops = np.append(heads[1:], len(order))
     found = [values[i:j].tobytes() for i, j in zip(heads.tolist(), stops.tolist())]
-    return pa.table({"id": pa.array(docs[order][heads]), "found": pa.array(found, pa.binary())})
+    return pa.table({"key": pa.array(ids[names]), "tag": pa.array(tags[names]), "found": pa.array(found, pa.binary())})
+
+
+def _by_range(ids: np.ndarray, tags: np.ndarray, runs: np.ndarray, ranges: int) -> list[tuple]:
+    """Runs packed for ranges of documents: (range, blob of ids, tags, numbers of runs and runs)."""
+    if not len(ids):
+        return []
+    number, place = _numbered(ids, tags)
+    number, runs = _merged(number, runs)
+    heads = _heads(number)
+    counts = np.diff(np.append(heads, len(number)))
+    names = place[number[heads]]
+    target = (mix(ids[names].astype(np.uint64) * np.uint64(3) + tags[names].astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+    order, edges = _grouped(target)
+    out = []
+    for i, j in zip(edges.tolist(), np.append(edges[1:], len(order)).tolist()):
+        some = order[i:j]
+        docs = np.stack([ids[names[some]], tags[names[some]], counts[some]])
+        part = runs[_spread(heads[some], counts[some])]
+        out.append((int(target[some[0]]), _planes(docs.ravel()), _planes(part.ravel())))
+    return out
+
 
+def _merge_range(group: pa.Table) -> pa.Table:
+    """All runs of the documents of a range: (key, tag, found)."""
+    heads = [_unplanes(x.as_buffer(), np.int64).reshape(3, -1) for x in group["docs"]]
+    ids, tags, counts = np.concatenate(heads, axis=1)
+    runs = np.concatenate([_unplanes(x.as_buffer(), "<u4").reshape(-1, 2) for x in group["runs"]])
+    return _by_doc(np.repeat(ids, counts), np.repeat(tags, counts), runs)
 
-def _send_contexts(buckets: int, length: int, gram: int):
-    """Pass 2: the surroundings of shared anchors, per bucket, and runs already settled (``found``), anywhere."""
+
+def _send_contexts(buckets: int, ranges: int, length: int, gram: int):
+    """Pass 2: the surroundings of shared anchors, per bucket, and runs already settled (``docs``, ``runs``), anywhere."""
     side, width = length - gram, 2 * (length - gram) + gram
 
     def out(found: list) -> Iterator[pa.RecordBatch]:
-        around, before, after, docs, at, hashes = (np.concatenate(c) for c in zip(*found))
+        around, before, after, ids, tags, at, hashes = (np.concatenate(c) for c in zip(*found))
         key = _context_key(around, before, after, hashes)
-        order = np.lexsort((docs, key))
-        same = np.zeros(len(order), bool)
-        same[1:] = key[order][1:] == key[order][:-1]
+        order = np.lexsort((tags, ids, key))
+        same = _same(key, around, order)
         heads = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        settled = docs[order] >> VARIANT_BITS > docs[order][heads] >> VARIANT_BITS  # a smaller id here has the same surroundings
+        settled = ids[order] > ids[order][heads]  # a smaller id here has the same surroundings
         gone, left = order[settled], np.flatnonzero(~settled)
-        if len(gone):
-            runs = np.stack([at[gone] - before[gone], at[gone] + gram + after[gone]], axis=1).astype("<u4")
-            table = _by_doc(docs[gone], runs)
-            n = table.num_rows
-            blank = pa.array([None] * n, pa.binary())
+        runs = np.stack([at[gone] - before[gone], at[gone] + gram + after[gone]], axis=1).astype("<u4")
+        packed = _by_range(ids[gone], tags[gone], runs, ranges)
+        if packed:
+            target, docs, runs = zip(*packed)
+            blank = pa.array([None] * len(packed), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(n) % buckets), table["id"].combine_chunks(), table["found"].combine_chunks(), blank, blank, blank],
-                names=["bucket", "id", "found", "heads", "places", "around"],
+                [pa.array([t % buckets for t in target]), pa.array(target), pa.array(docs), pa.array(runs), blank, blank, blank],
+                names=["bucket", "target", "docs", "runs", "heads", "places", "around"],
             )
         # One row for each text of the least id, with all positions that have these surroundings.
         new = ~same[left]
-        new[1:] |= docs[order[left[1:]]] != docs[order[left[:-1]]]
+        for doc in (ids, tags):
+            new[1:] |= doc[order[left[1:]]] != doc[order[left[:-1]]]
         left, first = order[left], np.flatnonzero(new)
         sent, times = left[first], np.diff(np.append(first, len(left)))
         bucket = ((hashes[sent] >> np.uint64(34)) % np.uint64(buckets)).astype(np.int64)
@@ -228,18 +281,18 @@ def _send_contexts(buckets: int, length: int, gram: int):
         rows = []
         for i, j in zip(edges.tolist(), stops.tolist()):
             some = sent[i:j]
-            head = np.stack([hashes[some].view(np.int64), docs[some], times[i:j], before[some] << 8 | after[some]])
+            head = np.stack([hashes[some].view(np.int64), ids[some], tags[some], times[i:j], before[some] << 8 | after[some]])
             places = at[left[_spread(first[i:j], times[i:j])]].astype(np.uint32)
-            rows.append((int(bucket[i]), None, None, _planes(head.ravel()), _planes(places), zlib.compress(around[some].tobytes(), 1)))
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            rows.append((int(bucket[i]), None, None, None, _planes(head.ravel()), _planes(places), zlib.compress(around[some].tobytes(), 1)))
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
         columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "found", "heads", "places", "around"])
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "target", "docs", "runs", "heads", "places", "around"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for batch, data, offsets in blocks(batches, "text"):
             padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(side + gram, np.uint8)])
-            ids = _ids(batch.column(0))
+            ids, tags = _ids(batch.column(0)), _ids(batch.column(1))
             lists = batch.column(batch.schema.get_field_index("found")).to_pylist()
             at = [np.unique(np.frombuffer(b"".join(x), "<u4")).astype(np.int64) for x in lists]
             texts = np.repeat(np.arange(len(at)), [len(x) for x in at])
@@ -255,7 +308,7 @@ def _send_contexts(buckets: int, length: int, gram: int):
                 around[(column < side - before[:, None]) | (column >= side + gram + after[:, None])] = 0
                 prefix = prefix_hash(data)
                 hashes = span_hash(prefix, place, place + gram)
-                found.append((around, before, after, ids[texts], at, hashes))
+                found.append((around, before, after, ids[texts], tags[texts], at, hashes))
                 held += len(at)
             if held >= SENT // 8:
                 yield from out(found)
@@ -278,56 +331,80 @@ def _context_key(around: np.ndarray, before: np.ndarray, after: np.ndarray, hash
     return key
 
 
+def _same(key: np.ndarray, around: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which rows, in an order by key, have the surroundings of the row before; bytes are compared where keys agree."""
+    same = np.zeros(len(order), bool)
+    at = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    for low in range(0, len(at), BLOCK):
+        some = at[low : low + BLOCK]
+        same[some + 1] = (around[order[some + 1]] == around[order[some]]).all(axis=1)
+    return same
+
+
 def _dense(values: np.ndarray) -> np.ndarray:
     """Ranks from 0 of values, equal for equal ones."""
     return np.unique(values, return_inverse=True)[1].reshape(values.shape)
 
 
-def sort_suffixes(around: np.ndarray, length: int, side: int, gram: int) -> np.ndarray:
-    """For every row and start 0..side, an integer equal just for equal strings of ``length`` bytes at equal starts.
+def cover_ranks(words: np.ndarray, places: list[int]) -> dict[int, np.ndarray]:
+    """For each of the places, the ranks of all rows by their bytes from there on.
+
+    ``words`` has the eight bytes from every position of a row as a number. A rank pairs the word at
+    its place with the rank eight bytes on, so places that are a multiple of eight apart share theirs.
+    """
+    n, width = words.shape
+    ranks: dict[int, np.ndarray] = {}
+    for p in sorted({q for p in places for q in range(p, width, 8)}, reverse=True):
+        rank = _dense(words[:, p])
+        ranks[p] = _dense(rank * (n + 1) + ranks[p + 8]) if p + 8 in ranks else rank
+    return {p: ranks[p] for p in places}
+
+
+def sort_suffixes(around: np.ndarray, anchor: np.ndarray, valid: np.ndarray, length: int):
+    """(rows, starts, new): the valid suffixes in order, and which of them begin a group of equal strings.
 
-    First bytes order the suffixes; ties are settled by ranks of the next cover position.
+    ``valid`` tells for every row and start whether a string of ``length`` bytes may begin there. Suffixes
+    are ordered by anchor, start, first bytes, and the rank of the next cover position.
     """
     n, width = around.shape
     padded = np.zeros((n, width + 8), np.uint8)
     padded[:, :width] = around
-    eight = np.zeros((n, width), np.uint64)
+    words = np.zeros((n, width), np.uint64)
     for k in range(8):
-        eight = eight << np.uint64(8) | padded[:, k : k + width].astype(np.uint64)
-    depth = length - (PERIOD - 1)  # bytes that a cover position's rank must tell apart at least
-    starts = np.arange(side + 1)
-    shift = np.array([next(s for s in range(PERIOD) if (i + s) % PERIOD in COVER) for i in starts])
-    places = np.unique(starts + shift)
-    rank = _dense(np.concatenate([eight[:, p] for p in range(width)])).reshape(width, n).T  # by 8 bytes
-    covered = {}
-    for p in places.tolist():
-        # The rank of the string from p to the end of the suffixes that reach p, eight bytes at a time.
-        for start in starts[starts + shift == p].tolist():
-            stop = start + length
-            steps = list(range(p, stop - 8, 8)) + [stop - 8]
-            value = rank[:, steps[0]]
-            for q in steps[1:]:
-                value = _dense(value * (n * width + 1) + rank[:, q])
-            covered[start] = value
-    out = np.zeros((n, side + 1), np.int64)
-    for start in starts.tolist():
-        first = eight[:, start] >> np.uint64(8 * (8 - shift[start])) if shift[start] else np.zeros(n, np.uint64)
-        out[:, start] = _dense(first.astype(np.int64) * (n + 1) + covered[start])
-    return out
-
-
-def _repeated(length: int, gram: int):
+        words = words << np.uint64(8) | padded[:, k : k + width].astype(np.uint64)
+    shift = [next(s for s in range(PERIOD) if (i + s) % PERIOD in COVER) for i in range(valid.shape[1])]
+    ranks = cover_ranks(words, sorted({i + s for i, s in enumerate(shift)}))
+    order = np.empty(valid.shape, np.int64)
+    for start, s in enumerate(shift):
+        first = (words[:, start] >> np.uint64(64 - 8 * s)).astype(np.int64) if s else 0
+        order[:, start] = first * (n + 1) + ranks[start + s]
+    rows, starts = np.nonzero(valid)
+    group = anchor[rows] * valid.shape[1] + starts
+    by = np.lexsort((order[rows, starts], group))
+    rows, starts, group = rows[by], starts[by], group[by]
+    new = np.ones(len(rows), bool)
+    head = words[rows, starts]
+    alike = np.flatnonzero((group[1:] == group[:-1]) & (head[1:] == head[:-1]))
+    column = np.arange(length)
+    for low in range(0, len(alike), BLOCK):
+        some = alike[low : low + BLOCK]
+        one, two = (around[rows[k][:, None], starts[k][:, None] + column] for k in (some, some + 1))
+        new[some + 1] = (one != two).any(axis=1)
+    return rows, starts, new
+
+
+def _repeated(ranges: int, length: int, gram: int):
     side, width = length - gram, 2 * (length - gram) + gram
 
     def work(group: pa.Table) -> pa.Table:
-        past = group.filter(pc.is_valid(group["found"])).select(["id", "found"])
-        group = group.filter(pc.is_null(group["found"]))
+        past = group.filter(pc.is_valid(group["docs"])).select(["target", "docs", "runs"])
+        group = group.filter(pc.is_null(group["docs"]))
         if not group.num_rows:
             return past
-        head = np.concatenate([_unplanes(x.as_buffer(), np.int64).reshape(4, -1).T for x in group["heads"]])
+        head = np.concatenate([_unplanes(x.as_buffer(), np.int64).reshape(5, -1).T for x in group["heads"]])
         around = np.concatenate([np.frombuffer(zlib.decompress(x.as_buffer()), np.uint8).reshape(-1, width) for x in group["around"]])
-        hashes, docs, times = head[:, 0].copy().view(np.uint64), head[:, 1], head[:, 2]
-        before, after = head[:, 3] >> 8, head[:, 3] & 255
+        hashes, ids, tags, times = head[:, 0].copy().view(np.uint64), head[:, 1], head[:, 2], head[:, 3]
+        before, after = head[:, 4] >> 8, head[:, 4] & 255
         at, placed = _joined(group["places"], np.uint32).astype(np.int64), np.cumsum(times) - times
         runs, owners = [], []
 
@@ -335,14 +412,13 @@ def _repeated(length: int, gram: int):
             """Runs relative to the anchor, at every position of the rows."""
             places, n = at[_spread(placed[rows], times[rows])], times[rows]
             runs.append(np.stack([places + np.repeat(first, n), places + np.repeat(last, n)], axis=1))
-            owners.append(np.repeat(docs[rows], n))
+            owners.append(np.repeat(rows, n))
 
         key = _context_key(around, before, after, hashes)
-        order = np.lexsort((docs, key))
-        new = np.ones(len(order), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
+        order = np.lexsort((tags, ids, key))
+        new = ~_same(key, around, order)
         heads = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        settled = docs[order] >> VARIANT_BITS > docs[order][heads] >> VARIANT_BITS
+        settled = ids[order] > ids[order][heads]
         gone = order[settled]
         remove(gone, -before[gone], gram + after[gone])
 
@@ -366,28 +442,28 @@ def _repeated(length: int, gram: int):
             i = j
             if not len(rows):
                 continue
-            equal = sort_suffixes(around[rows], length, side, gram)
-            n = len(rows)
-            least_start, last_start = np.full(n, -1), np.full(n, -1)
-            for start in range(side + 1):
-                # The suffix begins `side - start` bytes before the anchor, and must lie in the text.
-                valid = (side - start <= before[rows]) & (length - gram - (side - start) <= after[rows])
-                some = np.flatnonzero(valid)
-                if not len(some):
-                    continue
-                tie = anchor[some] * (n + 1) + equal[some, start]
-                by, first = _grouped(tie)
-                least = np.minimum.reduceat(docs[rows[some]][by], first)
-                least = np.repeat(least, np.diff(np.append(first, len(by))))
-                hit = some[by[docs[rows[some]][by] >> VARIANT_BITS > least >> VARIANT_BITS]]
-                least_start[hit] = np.where(least_start[hit] < 0, start, least_start[hit])
-                last_start[hit] = start
+            # The suffix begins `side - start` bytes before the anchor, and must lie in the text.
+            start = np.arange(side + 1)
+            valid = (side - start <= before[rows][:, None]) & (length - gram - (side - start) <= after[rows][:, None])
+            place, start, new = sort_suffixes(around[rows], anchor, valid, length)
+            if not len(place):
+                continue
+            first = np.flatnonzero(new)
+            owner = ids[rows[place]]
+            least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(place))))
+            hit = owner > least
+            least_start, last_start = np.full(len(rows), side + 1), np.full(len(rows), -1)
+            np.minimum.at(least_start, place[hit], start[hit])
+            np.maximum.at(last_start, place[hit], start[hit])
             # All starts lie within ``side`` < ``length`` bytes, so their strings overlap: one run.
             hit = np.flatnonzero(last_start >= 0)
             begin, end = least_start[hit] - side, last_start[hit] - side + length
             remove(order[_spread(kind[hit], like[hit])], np.repeat(begin, like[hit]), np.repeat(end, like[hit]))
-        found = np.concatenate(runs)
-        return pa.concat_tables([past, _by_doc(np.concatenate(owners), found.astype("<u4"))])
+        owners = np.concatenate(owners)
+        packed = _by_range(ids[owners], tags[owners], np.concatenate(runs).astype("<u4"), ranges)
+        kinds_out = (pa.int64(), pa.binary(), pa.binary())
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*packed), kinds_out)] if packed else [pa.array([], t) for t in kinds_out]
+        return pa.concat_tables([past, pa.table(columns, names=["target", "docs", "runs"])])
 
     return work
 
@@ -436,62 +512,51 @@ def remove_repeats(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     hashes = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")]
-    rows = store(docs.select("id", *hashes, F.octet_length("text").alias("n")))
-    count, total, low, high = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.min("id"), F.max("id")).first()
-    if count and max(-(low or 0), high or 0) >= _LAST:
-        raise ValueError(f"ids must lie within {_LAST} of zero")
-    with_key = _keys(rows)
-    docs, rows = with_key(docs.select("*", *hashes)).select("id", "key", "text"), store(with_key(rows))
+    key = F.coalesce("id", F.lit(int(_NULL)))
+    rows = store(docs.select(key.alias("key"), *hashes, F.octet_length("text").alias("n")))
+    count, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tagged = _tags(rows)
+    docs = tagged(docs.select("id", key.alias("key"), hashes[0], "text")).select("key", "tag", "id", "text")
 
     # Whole texts that a smaller id has too go as one run, and need no sorting.
     first = rows.groupBy("t1", "t2").agg(F.min("key").alias("first"), F.count("*").alias("m")).filter("m > 1")
-    copies = join_sized(rows.filter(F.col("n") >= length), first, ["t1", "t2"], "m", count, "inner")
-    copies = store(copies.filter(F.shiftright("key", VARIANT_BITS) > F.shiftright("first", VARIANT_BITS)).select("key").distinct())
+    copies = join_sized(tagged(rows.filter(F.col("n") >= length)), first, ["t1", "t2"], "m", count, "inner")
+    copies = store(copies.filter("key > first").select("key", "tag").distinct())
 
     density = 2 / (length - gram + 2)
     buckets = max(1, round(total * density / BUCKET))
     schema = "bucket long, docs binary, counts binary, hashes binary, places binary"
-    sent = docs.select("key", "text").mapInArrow(_send_anchors(buckets, length, gram), schema)
-    shared = store(sent.groupBy("bucket").applyInArrow(_shared_anchors, "id long, found binary"))
+    sent = docs.select("key", "tag", "text").mapInArrow(_send_anchors(buckets, length, gram), schema)
+    shared = store(sent.groupBy("bucket").applyInArrow(_shared_anchors, "key long, tag long, found binary"))
 
     # Lists of one document are no longer than its text.
-    by_doc = shared.groupBy(F.col("id").alias("key")).agg(F.collect_list("found").alias("found"))
-    by_doc = by_doc.join(copies, "key", "left_anti")
-    held = docs.join(by_doc.hint("merge"), "key").select("key", "text", "found")
+    by_doc = shared.groupBy("key", "tag").agg(F.collect_list("found").alias("found"))
+    by_doc = by_doc.join(copies, ["key", "tag"], "left_anti")
+    held = docs.join(by_doc.hint("merge"), ["key", "tag"]).select("key", "tag", "text", "found")
     anchors_left = shared.agg(F.coalesce(F.sum(F.octet_length("found")) / 4, F.lit(0))).first()[0]
     buckets = max(1, round(anchors_left / CONTEXTS))
-    schema = "bucket long, id long, found binary, heads binary, places binary, around binary"
-    around = held.mapInArrow(_send_contexts(buckets, length, gram), schema)
-    runs = around.groupBy("bucket").applyInArrow(_repeated(length, gram), "id long, found binary")
-    runs = runs.unionByName(copies.select(F.col("key").alias("id"), F.unhex(F.lit("00000000FFFFFFFF")).alias("found")))
-    runs = runs.groupBy(F.col("id").alias("key")).agg(F.collect_list("found").alias("found"))
-    joined = docs.join(runs.hint("merge"), "key", "left").select("id", "text", "found")
+    ranges = max(1, round(anchors_left * 8 / RANGE_BYTES))
+    schema = "bucket long, target long, docs binary, runs binary, heads binary, places binary, around binary"
+    around = held.mapInArrow(_send_contexts(buckets, ranges, length, gram), schema)
+    runs = around.groupBy("bucket").applyInArrow(_repeated(ranges, length, gram), "target long, docs binary, runs binary")
+    runs = runs.groupBy("target").applyInArrow(_merge_range, "key long, tag long, found binary")
+    runs = runs.unionByName(copies.select("key", "tag", F.unhex(F.lit("00000000FFFFFFFF")).alias("found")))
+    runs = runs.groupBy("key", "tag").agg(F.collect_list("found").alias("found"))
+    joined = docs.join(runs.hint("merge"), ["key", "tag"], "left").select("id", "text", "found")
     out = joined.mapInArrow(_apply(keep_bytes), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return (out if keep_bytes else out.drop("kept")).withColumnRenamed("id", id_col)
 
 
-def _keys(rows: DataFrame):
-    """A function that adds ``key`` to rows of id, t1, t2: the id, and which of its texts it is.
+def _tags(rows: DataFrame):
+    """A function that adds ``tag`` to rows of key and t1: 0, or the text's hash where an id stands for several texts.
 
-    Nearly always an id stands for one text. Others are numbered, and their list is broadcast
-    up to MAX_VARIANTS rows and joined beyond that.
+    The list of these ids is broadcast up to MAX_SHARED_IDS of them; beyond that all texts are tagged.
     """
-    several = rows.groupBy("id").agg(F.min(F.struct("t1", "t2")).alias("a"), F.max(F.struct("t1", "t2")).alias("b")).filter("a <> b")
-    several = store(several.select(F.col("id").alias("vid")))
-    whole = F.shiftleft(F.coalesce("id", F.lit(_LAST).cast("long")), VARIANT_BITS)
-    if several.isEmpty():
-        return lambda df: df.withColumn("key", whole)
-    variants = rows.join(several, rows["id"].eqNullSafe(F.col("vid")), "left_semi").select("id", "t1", "t2").distinct()
-    number = F.row_number().over(Window.partitionBy("id").orderBy("t1", "t2")) - 1
-    variants = store(variants.select(F.col("id").alias("vid"), F.col("t1").alias("v1"), F.col("t2").alias("v2"), number.alias("variant")))
-    n, most = variants.agg(F.count("*"), F.max("variant")).first()
-    if most >= 1 << VARIANT_BITS:
-        raise ValueError(f"an id stands for more than {1 << VARIANT_BITS} different texts")
-    small = F.broadcast(variants) if n <= MAX_VARIANTS else variants
-
-    def add(df: DataFrame) -> DataFrame:
-        same = df["id"].eqNullSafe(F.col("vid")) & (F.col("t1") == F.col("v1")) & (F.col("t2") == F.col("v2"))
-        found = df.join(small, same, "left").withColumn("key", whole + F.coalesce("variant", F.lit(0)))
-        return found.drop("vid", "v1", "v2", "variant")
-
-    return add
+    several = rows.groupBy("key").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).filter("a <> b")
+    several = store(several.select("key", F.lit(True).alias("several")))
+    n = several.count()
+    if not n:
+        return lambda df: df.withColumn("tag", F.lit(0).cast("long"))
+    if n > MAX_SHARED_IDS:
+        return lambda df: df.withColumn("tag", F.col("t1"))
+    return lambda df: df.join(F.broadcast(several), "key", "left").withColumn("tag", F.when(F.col("several"), F.col("t1")).otherwise(0)).drop("several")

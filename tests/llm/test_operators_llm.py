@@ -264,16 +264,39 @@ def test_repeats_under_shared_ids(spark):
     assert found == Counter((d, len(t), want(d, t)) for d, t in rows)
 
 
-def test_suffix_classes_equal_strings():
+def test_suffixes_are_sorted_and_equal_ones_grouped():
     rng = np.random.default_rng(4)
     around = rng.integers(97, 99, (60, 80)).astype(np.uint8)
     around[30:] = around[:30]
     around[45:, 40:] = 99
-    equal = suffixes.sort_suffixes(around, 50, 30, 20)
-    for start in range(31):
-        strings = [bytes(row[start : start + 50]) for row in around]
-        for i in range(60):
-            assert {j for j in range(60) if equal[j, start] == equal[i, start]} == {j for j in range(60) if strings[j] == strings[i]}
+    around[50:, 2] = 98  # long ties from the fourth byte on
+    anchor, valid = np.arange(60) % 2, rng.random((60, 31)) < 0.9
+    rows, starts, new = suffixes.sort_suffixes(around, anchor, valid, 50)
+    assert sorted(zip(rows, starts)) == sorted(zip(*np.nonzero(valid)))
+    strings = [(anchor[r], s, bytes(around[r, s:])) for r, s in zip(rows, starts)]
+    assert strings == sorted(strings)
+    heads = [(a, s, t[:50]) for a, s, t in strings]
+    assert new.tolist() == [True] + [x != y for x, y in zip(heads, heads[1:])]
+
+
+def test_surroundings_are_compared_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "_context_key", lambda around, *_: np.zeros(len(around), np.uint64))
+    around = np.array([[1, 2], [1, 2], [3, 4], [1, 2]], np.uint8)
+    assert suffixes._same(np.zeros(4, np.uint64), around, np.arange(4)).tolist() == [False, True, False, False]
+
+
+def test_any_ids(spark):
+    """Very many texts of no id, ids at both ends, and a passage in half of all documents."""
+    rng = random.Random(2)
+    passage = prose(rng, 30)[:120]
+    rows = [(None, f"row {i}") for i in range(70_000)] + [(None, f"{i:05d} {passage} {i * 7:05d}") for i in range(300)]
+    rows += [(2**62 + 5, passage + "!"), (-(2**63), passage), (2**63 - 1, "max " + passage), (-(2**62), "x" + passage[5:80])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = suffixes.remove_repeats(df).select("doc_id", "n_bytes", "n_removed").collect()
+    assert len(found) == len(rows)
+    gone = Counter((r["doc_id"], r["n_removed"]) for r in found)
+    assert gone[None, 0] == 70_000 and gone[None, len(passage)] == 300
+    assert gone[2**62 + 5, len(passage)] == gone[-(2**63), 0] == gone[2**63 - 1, len(passage)] == gone[-(2**62), 75] == 1
 
 
 # Language model
