@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallygrid.llm.links import components, join_sized
-from tallygrid.llm.textblock import blocks, mix, of_text, prefix_hash, rolling, runs, spaces, span_hash, text_bytes
+from tallygrid.llm.textblock import blocks, mix, of_text, prefix_hash, release, rolling, runs, spaces, span_hash, text_bytes
 from tallygrid.session import store
 
 WORDS = 5
@@ -38,10 +38,11 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_BANDS = 32
 #: Shingles and texts in one block of a component; a task holds two blocks.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
 BLOCK_TEXTS = 1_000
 #: Shingles in more texts than this are counted by matrix products, the others pair by pair.
 DENSE_ABOVE = 12
+_ROWS = 256
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, max_bands: int = MAX_BANDS) -> tuple[int, int]:
@@ -124,7 +125,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int, bands: int,
 
 
 def shared_counts(hashes: np.ndarray, texts: np.ndarray, n: int, split: int) -> np.ndarray:
-    """How many shingles texts i < split and j >= split share; with split = n, all i and j."""
+    """How many shingles texts i < split and j >= split share; with split = n, all i < j. Other entries may be 0."""
     order = np.argsort(hashes, kind="stable")
     ranked, owner = hashes[order], texts[order]
     new = np.ones(len(ranked), bool)
@@ -154,7 +155,7 @@ def shared_counts(hashes: np.ndarray, texts: np.ndarray, n: int, split: int) ->
             shared[:split, split:] += (table[:split] @ table[split:].T).astype(np.int32)
         else:
             shared += np.triu(table @ table.T, 1).astype(np.int32)
-    return shared + shared.T
+    return shared
 
 
 def verify_block(data: np.ndarray, offsets: np.ndarray, block: np.ndarray, copies: np.ndarray, size: int, threshold: float):
@@ -172,17 +173,24 @@ def verify_block(data: np.ndarray, offsets: np.ndarray, block: np.ndarray, copie
     count = np.bincount(texts, minlength=n)
     split = int(np.sum(block == block.min())) if n else 0
     shared = shared_counts(hashes, texts, n, split)
-    either = count[:, None] + count[None, :] - shared
-    linked = shared >= threshold * either - 1e-9
-    np.fill_diagonal(linked, False)
+    del hashes, texts
+    linked = np.zeros((n, n), bool)
+    for low in range(0, n, _ROWS):  # a few rows of the table at a time, as numbers of eight bytes
+        some = slice(low, low + _ROWS)
+        either = count[some, None] + count[None, :] - shared[some]
+        linked[some] = shared[some] >= threshold * either - 1e-9
+    del shared
+    linked = np.triu(linked, 1)
     if split < n:
         linked[:split, :split] = False
         linked[split:, split:] = False
-    links = linked @ copies[order].astype(np.int64)
+    linked |= linked.T
+    weight = copies[order].astype(np.int64)
+    links = np.concatenate([linked[low : low + _ROWS] @ weight for low in range(0, n, _ROWS)] or [np.zeros(0, np.int64)])
     root = np.arange(n)
     while True:  # least label among neighbours, then of labels, until nothing changes
-        near = np.where(linked, root[None, :], n).min(axis=1, initial=n)
-        new = np.minimum(root, near)
+        near = [np.where(linked[low : low + _ROWS], root[None, :], n).min(axis=1, initial=n) for low in range(0, n, _ROWS)]
+        new = np.minimum(root, np.concatenate(near)) if near else root
         new = new[new]
         if np.array_equal(new, root):
             break
@@ -210,14 +218,13 @@ def near_duplicates(
     classes = store(
         signed.filter("n > 0")
         .groupBy("h1", "h2")
-        .agg(F.count("*").alias("n_copies"), F.min("id").alias("least_id"), F.min(F.struct("id", "thash")).alias("rep"), F.first("n").alias("n"))
-    )
-
-    reps = signed.join(
-        classes.select("h1", "h2", F.col("rep.id").alias("rid"), F.col("rep.thash").alias("rthash")), ["h1", "h2"]
-    ).filter("id <=> rid AND thash = rthash")
-    banded = reps.dropDuplicates(["h1", "h2"]).select(F.col("h1").alias("node"), F.posexplode("keys").alias("band", "key"))
-    banded = store(banded)
+        .agg(
+            F.count("*").alias("n_copies"), F.min("id").alias("least_id"), F.min(F.struct("id", "thash")).alias("rep"),
+            F.first("n").alias("n"), F.first("keys").alias("keys"),  # equal for equal sets
+        )
+    )
+    banded = store(classes.select(F.col("h1").alias("node"), F.posexplode("keys").alias("band", "key")))
+    classes = classes.drop("keys")
     hubs = banded.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).filter("m > 1")
     edges = banded.join(hubs, ["band", "key"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     candidates = components(edges)
@@ -257,6 +264,8 @@ def near_duplicates(
             data, offsets, group["block"].to_numpy(), group["n_copies"].to_numpy(), size, threshold
         )
         h1 = group["h1"].to_numpy()
+        del data, offsets
+        release()
         return pa.table({"h1": group["h1"], "h2": group["h2"], "links": pa.array(links.astype(np.int64)), "to": pa.array(h1[root])})
 
     verified = paired.groupBy("root", "i", "j").applyInArrow(verify, "h1 long, h2 long, links long, to long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrid.llm.links import join_sized
-from tallygrid.llm.textblock import BLOCK_BYTES
+from tallygrid.llm.textblock import BLOCK_BYTES, blocks
 from tallygrid.session import prepare
 
 # The base kinds, their patterns and least lengths.
@@ -85,7 +85,7 @@ def _written(spans: list) -> str:
 def _scan(version: str, rules: dict):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch, _, _ in blocks(batches, "text"):
             rows, held = [], 0
             for blob, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
