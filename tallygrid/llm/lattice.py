@@ -23,7 +23,8 @@ number, travel with the tasks; all others are joined by 64-bit word hash.
 Defined results: a null or empty text is one end; a null id counts as the empty text when the
 fold is drawn, so it trains; repeated rows are scored one by one and each trains; without
 training rows all counts are 0 and the pieces keep their first weights; an empty table gives
-an empty table. Only the named id and text columns are read, so other columns cannot clash.
+an empty table. The lattice of a word takes time in proportion to its characters, however long
+it is, and a very long text is one block of its task. Only the named id and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -52,6 +53,9 @@ SMOOTH = 0.1
 DISCOUNT = 0.7
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_BITS = (1 << 21) - 1
+#: Words of at least so many characters go through the lattice one by one.
+LONG = 64
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +68,7 @@ class Pieces:
     longest: int
     size: int
     first_weights: np.ndarray
+    maybe: np.ndarray  # by low bits of a hash: whether any piece has them
 
     @classmethod
     def load(cls, path: str | None = None) -> Pieces:
@@ -76,13 +81,19 @@ class Pieces:
         weights = np.array([1 / (1 + max(0.0, -model.get_score(i))) for i in plain] + [1e-3 / len(plain)] * 256)
         hashes = np.array([_hash_points(np.array([ord(c) for c in t], np.uint64)[None, :])[0] for t in texts], np.uint64)
         order = np.argsort(hashes)
-        return cls(hashes[order], order.astype(np.int64), max(map(len, texts)), len(texts), weights / weights.sum())
+        maybe = np.zeros(_BITS + 1, bool)
+        maybe[hashes & np.uint64(_BITS)] = True
+        return cls(hashes[order], order.astype(np.int64), max(map(len, texts)), len(texts), weights / weights.sum(), maybe)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where there is none."""
-        at = np.searchsorted(self.hashes, hashes)
+        out = np.full(hashes.shape, -1, np.int64)
+        likely = np.nonzero(self.maybe[hashes & np.uint64(_BITS)])
+        some = hashes[likely]
+        at = np.searchsorted(self.hashes, some)
         at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == hashes, self.ids[at], -1)
+        out[likely] = np.where(self.hashes[at] == some, self.ids[at], -1)
+        return out
 
 
 def _hash_points(points: np.ndarray) -> np.ndarray:
@@ -155,6 +166,51 @@ def lattice(words: np.ndarray, pieces: Pieces, log_p: np.ndarray, counts: np.nda
     return total, np.bincount(np.concatenate(used), np.concatenate(shares), minlength=len(log_p))
 
 
+def _plus(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))."""
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
+def long_lattice(points: np.ndarray, pieces: Pieces, log_p: np.ndarray, count: float | None = None):
+    """:func:`lattice` for one long word: a numpy call at every character would cost more than the sums."""
+    size = len(points)
+    value, starts, ends, ids = np.zeros(size + 1, np.uint64), [], [], []
+    for width in range(1, min(size, pieces.longest) + 1):
+        value = value[:-1] * _ROLL + points[width - 1 :] + np.uint64(1)
+        found = pieces.find(mix(value))
+        at = np.flatnonzero(found >= 0)
+        starts.append(at)
+        ends.append(at + width)
+        ids.append(found[at])
+    spelled = _bytes_of(points)
+    weight = np.where(spelled >= 0, log_p[pieces.size + np.maximum(spelled, 0)], 0).sum(axis=1)
+    weight[0] = -np.inf  # the start mark is never spelled
+    starts, ends, ids = (np.concatenate(x) for x in (starts, ends, ids))
+    n_arcs = len(starts)
+    starts, ends = np.concatenate([starts, np.arange(size)]), np.concatenate([ends, np.arange(1, size + 1)])
+    costs = np.concatenate([log_p[ids], weight])
+    order = np.argsort(starts, kind="stable")
+    arcs = list(zip(starts[order].tolist(), ends[order].tolist(), costs[order].tolist()))
+    forward = [-math.inf] * (size + 1)
+    forward[0] = 0.0
+    for i, j, cost in arcs:
+        forward[j] = _plus(forward[j], forward[i] + cost)
+    if count is None:
+        return forward[size]
+    backward = [-math.inf] * (size + 1)
+    backward[size] = 0.0
+    for i, j, cost in reversed(arcs):
+        backward[i] = _plus(backward[i], backward[j] + cost)
+    share = count * np.exp(np.array(forward)[starts] + costs + np.array(backward)[ends] - forward[size])
+    uses = np.bincount(ids, share[:n_arcs], minlength=len(log_p))
+    for k in range(4):
+        some = spelled[:, k] >= 0
+        uses += np.bincount(pieces.size + spelled[some, k], share[n_arcs:][some], minlength=len(log_p))
+    return forward[size], uses
+
+
 def word_scores(words: list[str], pieces: Pieces, log_p: np.ndarray, counts: np.ndarray | None = None):
     """:func:`lattice` over words of any lengths: log probabilities, and expected uses with ``counts``."""
     out, expected = np.zeros(len(words)), np.zeros(len(log_p))
@@ -163,6 +219,15 @@ def word_scores(words: list[str], pieces: Pieces, log_p: np.ndarray, counts: np.
     at = np.concatenate(([0], np.cumsum(sizes)))
     for size in np.unique(sizes):
         rows = np.flatnonzero(sizes == size)
+        if size >= LONG:
+            for i in rows.tolist():
+                one = np.concatenate(([ord(START)], points[at[i] : at[i + 1]])).astype(np.uint64)
+                if counts is None:
+                    out[i] = long_lattice(one, pieces, log_p)
+                else:
+                    out[i], uses = long_lattice(one, pieces, log_p, counts[i])
+                    expected += uses
+            continue
         step = max(1, 400_000 // (int(size) + 1))
         for k in range(0, len(rows), step):
             some = rows[k : k + step]
