@@ -22,7 +22,8 @@ similarity, sum of the lesser weights over sum of the greater, is 0.8 or more.
    and practically all above 0.85.
 
 Defined results: null or empty texts and items, and items of fewer than five words, hold no
-shingle and match nothing. Null ids are kept as ids. Items with equal texts are each
+shingle and match nothing. Very long texts and items are compared whole; what a passage costs grows with the square
+of the length of the item it may hold, since it begins a window at each of its words. Null ids are kept as ids. Items with equal texts are each
 reported. Repeated rows of one id give one result. Empty tables give an empty table. Only
 the named columns are read, so other columns cannot clash.
 """
@@ -43,6 +44,8 @@ RADIUS = 2 * BLOCKS - 1
 MAX_BITMAP_WORDS = 1 << 19
 #: Tables made from the benchmark are broadcast up to this many rows, and shuffled beyond.
 MAX_BROADCAST_ROWS = 500_000
+#: Shingles of all items are broadcast up to so many bytes, and shuffled beyond.
+MAX_BROADCAST_BYTES = 32_000_000
 
 
 def _words(df: DataFrame, text: Column) -> DataFrame:
@@ -99,11 +102,8 @@ def _block(high: Column, low: Column, b: Column) -> Column:
 
 
 def _counted(shingles: Column) -> Column:
-    """Each shingle with its occurrence number, so that weights become set sizes."""
-    return F.transform(
-        shingles,
-        lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(shingles, F.lit(1), i), lambda x: x == h))),
-    )
+    """Each shingle with its occurrence number, so that weights become set sizes; ``shingles`` are sorted."""
+    return F.transform(shingles, lambda h, i: F.xxhash64(h, i - F.array_position(shingles, h)))
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -149,16 +149,13 @@ def benchmark_leaks(
     hashed = hashed.withColumn(
         "hits", F.filter(F.sequence(F.lit(1), F.size("sh")), lambda i: likely(F.element_at("sh", i)))
     )
-    around = F.transform(
-        "hits",
-        lambda at, k: F.struct(
-            at.alias("at"),
-            F.slice("sh", at, longest).alias("sh"),
-            F.transform(F.slice("hits", k + 1, longest), lambda other: other - at).alias("near"),
-        ),
-    )
-    hits = hashed.select("id", F.explode(around).alias("x")).select("id", "x.at", "x.sh", "x.near")
-    hits = hits.withColumn("h", F.element_at("sh", 1)).join(_sized(shingles, n_shingles), "h")
+    # A row per hit, made one at a time: what it holds is no longer than the longest item.
+    hits = hashed.select("id", "sh", "hits", F.posexplode("hits").alias("k", "at"))
+    hits = hits.select(
+        "id", "at", F.element_at("sh", F.col("at")).alias("h"), F.slice("sh", F.col("at"), F.lit(longest)).alias("sh"),
+        F.transform(F.slice("hits", F.col("k") + 1, F.lit(longest)), lambda other: other - F.col("at")).alias("near"),
+    )
+    hits = hits.join(_sized(shingles, n_shingles), "h")
     windows = hits.select("id", "at", "m", "near", F.slice("sh", F.lit(1), F.col("m")).alias("sh"))
     enough = F.size(F.filter("near", lambda d: d < F.col("m"))) >= threshold / (1 + threshold) * (F.size("sh") + F.col("m")) - 1e-9
     windows = windows.filter(enough)
@@ -170,8 +167,10 @@ def benchmark_leaks(
     keyed = prints(items.withColumn("m", F.size("sh"))).select("*", F.explode(numbers).alias("block"))
     value = _block(F.col("high"), F.col("low"), F.col("block"))
     near = F.array(value, *[value.bitwiseXOR(F.lit(1 << k)) for k in range(8)])
-    index = store(keyed.select("item", "m", "high", "low", "block", F.explode(near).alias("value"), F.col("sh").alias("item_sh")))
+    index = store(keyed.select("item", "m", "high", "low", "block", F.explode(near).alias("value")))
     n_index = index.count()
+    weighted = store(items.select("item", F.array_sort("sh").alias("item_sh")).withColumn("weights", _counted(F.col("item_sh"))).drop("item_sh"))
+    item_bytes = 8 * weighted.agg(F.coalesce(F.sum(F.size("weights")), F.lit(0))).first()[0]
 
     probes = prints(windows).select("*", F.explode(numbers).alias("block"))
     probes = probes.withColumn("value", _block(F.col("high"), F.col("low"), F.col("block")))
@@ -182,8 +181,14 @@ def benchmark_leaks(
     first = F.array_position(F.transform(numbers, lambda b: F.bit_count(_block(high, low, b)) <= 1), F.lit(True)) - 1
     met = met.filter(F.col("block") == first)
 
-    shared = F.size(F.array_intersect(_counted(F.col("sh")), _counted(F.col("item_sh"))))
-    similarity = shared / (F.size("sh") + F.size("item_sh") - shared)
+    met = met.withColumn("sh", F.array_sort("sh")).withColumn("window", _counted(F.col("sh")))
+    # Several items may have one id, or none; a text is then compared with each of them of the length it met.
+    met = met.join(
+        F.broadcast(weighted) if item_bytes <= MAX_BROADCAST_BYTES else weighted,
+        met["item"].eqNullSafe(weighted["item"]) & (F.size("weights") == F.col("m")),
+    ).drop(weighted["item"])
+    shared = F.size(F.array_intersect("window", "weights"))
+    similarity = shared / (F.size("window") + F.size("weights") - shared)
     found = met.select("id", "item", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
     found = found.groupBy("id", "item").agg(F.max("similarity").alias("similarity"))
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "similarity")
