@@ -16,7 +16,8 @@ words has one shingle of all its words.
 Defined results: a null or blank text has no shingle and no link; it is its own group. Two
 rows with equal sets are copies, whatever their ids. A null id is kept; if all ids of a group
 are null its group id is null. Repeated rows count as copies. An empty table gives an empty
-table. Only the named id and text columns are read, so other columns cannot clash.
+table. A very long text is one block of its task, and of the pair of blocks that verifies it. Only the
+named id and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ A name says nothing on a body, main, article, heading or inline tag, nor where t
 for that section are positive.
 
 Text is decoded, white space inside a block becomes one space, blocks are trimmed and joined by
-one line feed in page order. Defined results: a null or empty page, or one without a positive
+one line feed in page order. Pages are read in linear time, however long, nested or broken. Defined results: a null or empty page, or one without a positive
 region, has the empty text; null ids and urls are kept; unclosed tags, comments and references
 are read as far as they go; repeated rows are extracted one by one; an empty table gives an
 empty table. Only the named columns are read, so other columns cannot clash. Pages are read whole.
@@ -39,14 +39,23 @@ MOST, LEAST = 8.0, -8.0
 #: A tag scores at most this.
 TAG = -0.05
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|head|textarea|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_QUOTED = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+
+
+def _tokens(inside: str) -> re.Pattern:
+    """The pattern of a page's parts; ``inside`` is what a tag may hold before its end."""
+    return re.compile(
+        r"<!--.*?(?:-->|\Z)"
+        rf"|<(?P<raw>script|style|noscript|template|svg|iframe|object|head|textarea|select)\b{inside}>.*?(?:</(?P=raw)\s*+>|\Z)"
+        r"|<[!?][^>]*+(?:>|\Z)"
+        rf"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{inside})>"
+        r"|(?P<text>[^<]++|<)",
+        re.S | re.I,
+    )
+
+
+_TOKEN, _UNQUOTED = _tokens(_QUOTED), _tokens("[^>]*+")
+_OPENS = re.compile(r"<[a-zA-Z/]")
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SECTIONS = frozenset("article main section div nav header footer aside form menu dialog body td table figure details ul ol".split())
@@ -103,45 +112,68 @@ def _prior(key: str, rest: str) -> bool:
     return name not in _INLINE and name not in _HEADINGS and _names_boilerplate(marks)
 
 
-def read_page(page: str) -> list[tuple[str, str, tuple]]:
-    """Tokens of a page: kind ("tag" or "text"), name or text, and the sections around it, outermost first.
+def _parts(page: str) -> Iterator[re.Match]:
+    """Tags, texts and what is passed over, in order and in linear time.
 
-    A section is its key and whether it names itself as boilerplate; a section's own tags stand outside it.
+    A tag whose quotes are never closed ends at the next ``>``; from there on quotes mean nothing, so
+    that no more than one look goes to the end of the page in vain. After the last ``>`` there is only text.
     """
-    out: list[tuple[str, str, tuple]] = []
-    stack: list[str] = []
-    around: list[tuple[str, bool]] = []
-    held: list[tuple[str, int]] = []  # open sections, and how many stood around before them
-    for m in _TOKEN.finditer(page):
+    pattern, at, last = _TOKEN, 0, page.rfind(">")
+    while at < len(page):
+        m = pattern.match(page, at)
+        if m["text"] == "<" and at < last and pattern is _TOKEN and _OPENS.match(page, at):
+            pattern = _UNQUOTED
+            m = pattern.match(page, at)
+        if m["text"] is not None and at > last:
+            yield _REST.match(page, at)
+            return
+        yield m
+        at = m.end()
+
+
+_REST = re.compile(r"(?P<raw>(?!))?(?P<close>(?!))?(?P<name>(?!))?(?P<rest>(?!))?(?P<text>.+)", re.S)
+
+
+def read_page(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, bool, int]]]:
+    """(tokens, sections) of a page. A token has a kind ("tag" or "text"), name or text, and its section's number.
+
+    A section is its key, whether it names itself as boilerplate, and the section around it; number 0 is
+    the page. A section's own tags stand outside it.
+    """
+    out: list[tuple[str, str, int]] = []
+    sections: list[tuple[str, bool, int]] = [("", False, 0)]
+    around = 0
+    stack: list[tuple[str, int]] = []  # open tags, and the section outside each
+    opened: Counter = Counter()
+    for m in _parts(page):
         text = m["text"]
         if text is not None:
-            out.append(("text", text, tuple(around)))
+            out.append(("text", text, around))
             continue
         name = m["name"]
         if name is None:
             continue
         name = name.lower()
-        place = len(out)
-        out.append(("tag", ("/" if m["close"] else "") + name, tuple(around)))
         if m["close"]:
-            if name in stack:
+            if opened[name]:
                 while stack:
-                    top = stack.pop()
-                    if held and held[-1][1] == len(stack):
-                        held.pop()
-                        around.pop()
+                    top, around = stack.pop()
+                    opened[top] -= 1
                     if top == name:
                         break
-                out[place] = ("tag", "/" + name, tuple(around))
-        elif name not in _VOID and not m["rest"].endswith("/"):
+            out.append(("tag", "/" + name, around))
+            continue
+        out.append(("tag", name, around))
+        if name not in _VOID and not m["rest"].endswith("/"):
             key = _key(name, m["rest"])
             prior = _prior(key, m["rest"])
-            if name in _SECTIONS or prior:
-                held.append((name, len(stack)))
-                around.append((key, prior))
             if name in _SECTIONS or prior or name in _BLOCKS:
-                stack.append(name)
-    return out
+                stack.append((name, around))
+                opened[name] += 1
+            if name in _SECTIONS or prior:
+                sections.append((key, prior, around))
+                around = len(sections) - 1
+    return out, sections
 
 
 def _labels(tokens: list) -> tuple[int, int] | None:
@@ -153,7 +185,7 @@ def _labels(tokens: list) -> tuple[int, int] | None:
 
 def count_page(page: str) -> Counter:
     """(feature, inside the article): how often. Features are tags, and sections by their words."""
-    tokens = read_page(page)
+    tokens, sections = read_page(page)
     bounds = _labels(tokens)
     out: Counter = Counter()
     if bounds:
@@ -162,39 +194,30 @@ def count_page(page: str) -> Counter:
             if kind == "tag":
                 out["t:" + value, inside] += 1
             elif n := len(value.split()):
-                out["w:" + (around[-1][0] if around else ""), inside] += n
+                out["w:" + sections[around][0], inside] += n
     return out
 
 
 def page_text(page: str, weights: dict[str, float]) -> str:
     """Main text of a page under weights of features."""
-    tokens = read_page(page)
-
-    def learned(key: str) -> float | None:
+    tokens, sections = read_page(page)
+    # By section: the weight of its words, and whether it is boilerplate, which the innermost section decides
+    # that has a name for it, or a positive weight of its own.
+    word_weight, boilerplate = [weights.get("w:", 1.0)], [False]
+    for key, prior, outer in sections[1:]:
         known, name = weights.get("w:" + key), key.partition(".")[0]
-        return weights.get("w:" + name) if known is None and name in _WHOLE else known
-
-    def word_weight(around: tuple) -> float:
-        for key, _ in reversed(around):
-            known = learned(key)
-            if known is not None:
-                return known
-        return weights.get("w:", 1.0)
-
-    def boilerplate(around: tuple) -> bool:
-        """By the innermost section that has a name for it, or a positive weight of its own."""
-        for key, prior in reversed(around):
-            known = weights.get("w:" + key)
-            if prior:
-                return known is None or known < 0
-            if "." in key and known is not None and known > 0:
-                return False
-        return False
+        if prior:
+            boilerplate.append(known is None or known < 0)
+        else:
+            boilerplate.append(boilerplate[outer] and not ("." in key and known is not None and known > 0))
+        if known is None and name in _WHOLE:
+            known = weights.get("w:" + name)
+        word_weight.append(word_weight[outer] if known is None else known)
 
     best, best_span, total, start = 0.0, None, 0.0, 0
     scores = []
     for i, (kind, value, around) in enumerate(tokens):
-        if boilerplate(around):
+        if boilerplate[around]:
             score = -1e-6  # boilerplate inside the region neither adds nor, however long, cuts it off
         elif kind == "tag":
             name = value.lstrip("/")
@@ -204,7 +227,7 @@ def page_text(page: str, weights: dict[str, float]) -> str:
                 score = min(TAG, weights.get("t:" + value, LEAST / 8 if name in _BOILERPLATE else TAG))
         else:
             n = len(value.split())
-            score = n * word_weight(around) if n else 0.0
+            score = n * word_weight[around] if n else 0.0
         scores.append(score)
         total += score
         if total <= 0:
@@ -254,7 +277,7 @@ def fit_weights(pages: DataFrame, page_col: str = "html", sample: int = SAMPLE)
     rows = counts.groupBy("feature").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("o")
     )
-    rows = rows.orderBy(F.desc(F.col("i") + F.col("o")), "feature").limit(10_000).collect()
+    rows = rows.collect()  # features of the sampled pages alone
     # Tags alone at the article's edge decide where it ends, so a feature seen on one side only is firm.
     return {
         r["feature"]: (LEAST if r["i"] == 0 else MOST if r["o"] == 0 and r["feature"][0] == "w" else max(LEAST, min(MOST, math.log((r["i"] + 1) / (r["o"] + 1)))))

@@ -14,7 +14,8 @@ ones are memory-mapped.
 
 Defined results: a null or empty text has only the end token; null ids come first; rows that
 repeat an id stay separate documents, in the order of their texts' hashes; an id that many
-rows share is spread over parts; an empty table gives no part and no row. Only the named id
+rows share is spread over parts; an empty table gives no part and no row; a very long
+text is encoded as one block. Only the named id
 and text columns are read, so other columns cannot clash.
 """
 
