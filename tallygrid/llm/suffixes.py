@@ -176,8 +176,8 @@ def _docs(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([_unplanes(x.as_buffer(), np.int64).reshape(2, -1).T for x in column] or [np.zeros((0, 2), np.int64)])
 
 
-def _shared_anchors(group: pa.Table) -> pa.Table:
-    """Of a bucket's anchors, those that more than one id has: (key, tag, positions)."""
+def _shared_anchors(group: pa.Table, ranges: int) -> pa.Table:
+    """Of a bucket's anchors, those that more than one id has: positions, packed by range of documents."""
     docs = np.repeat(_docs(group["docs"]), _joined(group["counts"], np.uint32), axis=0)
     hashes, at = _joined(group["hashes"], np.uint32, False), _joined(group["places"], np.uint32)
     order, heads = _grouped(hashes)
@@ -185,7 +185,7 @@ def _shared_anchors(group: pa.Table) -> pa.Table:
     least, most = np.minimum.reduceat(ids, heads), np.maximum.reduceat(ids, heads)
     sizes = np.diff(np.append(heads, len(order)))
     taken = order[np.repeat(least != most, sizes)]
-    return _by_doc(docs[taken, 0], docs[taken, 1], at[taken].astype("<u4"))
+    return _packed(_by_range(docs[taken, 0], docs[taken, 1], at[taken].astype("<u4"), ranges))
 
 
 def _numbered(ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,12 +218,16 @@ def _by_doc(ids: np.ndarray, tags: np.ndarray, values: np.ndarray) -> pa.Table:
     return pa.table({"key": pa.array(ids[names]), "tag": pa.array(tags[names]), "found": pa.array(found, pa.binary())})
 
 
-def _by_range(ids: np.ndarray, tags: np.ndarray, runs: np.ndarray, ranges: int) -> list[tuple]:
-    """Runs packed for ranges of documents: (range, blob of ids, tags, numbers of runs and runs)."""
+def _by_range(ids: np.ndarray, tags: np.ndarray, values: np.ndarray, ranges: int) -> list[tuple]:
+    """Positions, or runs as maximal runs, packed for ranges of documents: (range, ids with tags and counts, values)."""
     if not len(ids):
         return []
     number, place = _numbered(ids, tags)
-    number, runs = _merged(number, runs)
+    if values.ndim == 2:
+        number, values = _merged(number, values)
+    else:
+        order = np.argsort(number, kind="stable")
+        number, values = number[order], values[order]
     heads = _heads(number)
     counts = np.diff(np.append(heads, len(number)))
     names = place[number[heads]]
@@ -233,17 +237,27 @@ def _by_range(ids: np.ndarray, tags: np.ndarray, runs: np.ndarray, ranges: int)
     for i, j in zip(edges.tolist(), np.append(edges[1:], len(order)).tolist()):
         some = order[i:j]
         docs = np.stack([ids[names[some]], tags[names[some]], counts[some]])
-        part = runs[_spread(heads[some], counts[some])]
+        part = values[_spread(heads[some], counts[some])]
         out.append((int(target[some[0]]), _planes(docs.ravel()), _planes(part.ravel())))
     return out
 
 
-def _merge_range(group: pa.Table) -> pa.Table:
-    """All runs of the documents of a range: (key, tag, found)."""
-    heads = [_unplanes(x.as_buffer(), np.int64).reshape(3, -1) for x in group["docs"]]
-    ids, tags, counts = np.concatenate(heads, axis=1)
-    runs = np.concatenate([_unplanes(x.as_buffer(), "<u4").reshape(-1, 2) for x in group["runs"]])
-    return _by_doc(np.repeat(ids, counts), np.repeat(tags, counts), runs)
+def _packed(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.binary(), pa.binary())
+    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
+    return pa.table(columns, names=["target", "docs", "runs"])
+
+
+def _gather(width: int):
+    """All values of each document of a range, of ``width`` integers each: (key, tag, found)."""
+
+    def work(group: pa.Table) -> pa.Table:
+        heads = [_unplanes(x.as_buffer(), np.int64).reshape(3, -1) for x in group["docs"]]
+        ids, tags, counts = np.concatenate(heads, axis=1)
+        values = np.concatenate([_unplanes(x.as_buffer(), "<u4") for x in group["runs"]])
+        return _by_doc(np.repeat(ids, counts), np.repeat(tags, counts), values.reshape(-1, 2) if width == 2 else values)
+
+    return work
 
 
 def _send_contexts(buckets: int, ranges: int, length: int, gram: int):
@@ -294,7 +308,7 @@ def _send_contexts(buckets: int, ranges: int, length: int, gram: int):
             padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(side + gram, np.uint8)])
             ids, tags = _ids(batch.column(0)), _ids(batch.column(1))
             lists = batch.column(batch.schema.get_field_index("found")).to_pylist()
-            at = [np.unique(np.frombuffer(b"".join(x), "<u4")).astype(np.int64) for x in lists]
+            at = [np.unique(np.frombuffer(x, "<u4")).astype(np.int64) for x in lists]
             texts = np.repeat(np.arange(len(at)), [len(x) for x in at])
             at = np.concatenate(at) if at else np.zeros(0, np.int64)
             sizes = np.diff(offsets)
@@ -460,10 +474,8 @@ def _repeated(ranges: int, length: int, gram: int):
             begin, end = least_start[hit] - side, last_start[hit] - side + length
             remove(order[_spread(kind[hit], like[hit])], np.repeat(begin, like[hit]), np.repeat(end, like[hit]))
         owners = np.concatenate(owners)
-        packed = _by_range(ids[owners], tags[owners], np.concatenate(runs).astype("<u4"), ranges)
-        kinds_out = (pa.int64(), pa.binary(), pa.binary())
-        columns = [pa.array(list(c), t) for c, t in zip(zip(*packed), kinds_out)] if packed else [pa.array([], t) for t in kinds_out]
-        return pa.concat_tables([past, pa.table(columns, names=["target", "docs", "runs"])])
+        packed = _packed(_by_range(ids[owners], tags[owners], np.concatenate(runs).astype("<u4"), ranges))
+        return pa.concat_tables([past, packed])
 
     return work
 
@@ -527,19 +539,20 @@ def remove_repeats(
     buckets = max(1, round(total * density / BUCKET))
     schema = "bucket long, docs binary, counts binary, hashes binary, places binary"
     sent = docs.select("key", "tag", "text").mapInArrow(_send_anchors(buckets, length, gram), schema)
-    shared = store(sent.groupBy("bucket").applyInArrow(_shared_anchors, "key long, tag long, found binary"))
-
+    ranges = max(1, round(total * density * 4 / RANGE_BYTES))
+    packed = "target long, docs binary, runs binary"
+    shared = sent.groupBy("bucket").applyInArrow(lambda group: _shared_anchors(group, ranges), packed)
     # Lists of one document are no longer than its text.
-    by_doc = shared.groupBy("key", "tag").agg(F.collect_list("found").alias("found"))
+    by_doc = store(shared.groupBy("target").applyInArrow(_gather(1), "key long, tag long, found binary"))
+    anchors_left = by_doc.agg(F.coalesce(F.sum(F.octet_length("found")) / 4, F.lit(0))).first()[0]
     by_doc = by_doc.join(copies, ["key", "tag"], "left_anti")
     held = docs.join(by_doc.hint("merge"), ["key", "tag"]).select("key", "tag", "text", "found")
-    anchors_left = shared.agg(F.coalesce(F.sum(F.octet_length("found")) / 4, F.lit(0))).first()[0]
     buckets = max(1, round(anchors_left / CONTEXTS))
     ranges = max(1, round(anchors_left * 8 / RANGE_BYTES))
     schema = "bucket long, target long, docs binary, runs binary, heads binary, places binary, around binary"
     around = held.mapInArrow(_send_contexts(buckets, ranges, length, gram), schema)
-    runs = around.groupBy("bucket").applyInArrow(_repeated(ranges, length, gram), "target long, docs binary, runs binary")
-    runs = runs.groupBy("target").applyInArrow(_merge_range, "key long, tag long, found binary")
+    runs = around.groupBy("bucket").applyInArrow(_repeated(ranges, length, gram), packed)
+    runs = runs.groupBy("target").applyInArrow(_gather(2), "key long, tag long, found binary")
     runs = runs.unionByName(copies.select("key", "tag", F.unhex(F.lit("00000000FFFFFFFF")).alias("found")))
     runs = runs.groupBy("key", "tag").agg(F.collect_list("found").alias("found"))
     joined = docs.join(runs.hint("merge"), ["key", "tag"], "left").select("id", "text", "found")
