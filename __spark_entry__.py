@@ -21,6 +21,8 @@ from tallygrid.functions.display import fmt_datetime, fmt_number, strength
 from tallygrid.functions.parse import parse_boolean, parse_date, parse_integer, parse_number
 from tallygrid.functions.text import render_cell
 from tallygrid.operators import categories, correlation, dates, histogram, infer, missing, numeric, paging
+from tallygrid.grid import union
+from tallygrid.operators.value_index import value_index
 from tallygrid.options import BLANKS, DEFAULT_MISSING_TOKENS, ProfileOptions, token_set
 from tallygrid.plans import report
 from tallygrid.session import prepare
@@ -541,6 +543,50 @@ def _(spark, sf_dir):
     return _histogram_result(histogram.histogram(_dirty(spark, sf_dir), [_col("price"), _col("qty")]))
 
 
+@_register("numeric_profile_sketched", _profile_rows(_numbers_of("lineitem", LINEITEM_NUMBERS)))
+def _(spark, sf_dir):
+    return _numeric_result(numeric.numeric_profile(_grid(spark, sf_dir, "lineitem"), range(8), sketches=True))
+
+
+# The same from one ordered index of the values
+
+
+# Sums over counted values round otherwise in the last place, so means have four digits here.
+@_register(
+    "value_index_profile",
+    f"SELECT * REPLACE (round(mean, 4) AS mean) FROM ({_profile_rows(_numbers_of('lineitem', LINEITEM_NUMBERS))}) p",
+)
+def _(spark, sf_dir):
+    index = value_index(_grid(spark, sf_dir, "lineitem"), range(8))
+    return _numeric_result(index.numeric_profile()).withColumn("mean", F.round("mean", 4))
+
+
+_REBINS = (7, 25, 80)
+
+
+@_register(
+    "value_index_rebins",
+    _union(
+        f"SELECT {k} AS bins, * FROM ({_histogram_rows({'l_extendedprice': (5, 'l_extendedprice', 'lineitem')}, str(k))}) h{k}"
+        for k in _REBINS
+    ),
+)
+def _(spark, sf_dir):
+    index = value_index(_grid(spark, sf_dir, "lineitem"), [5])
+    return union([_histogram_result(index.histogram(5, k)).withColumn("bins", F.lit(k)) for k in _REBINS])
+
+
+@_register(
+    "value_index_ranks",
+    """SELECT CAST(c AS INTEGER) AS pos, v, count(*) AS n, avg(r) AS rank FROM (
+  SELECT 4 AS c, l_quantity AS v, row_number() OVER (ORDER BY l_quantity) AS r FROM lineitem
+  UNION ALL SELECT 6, l_discount, row_number() OVER (ORDER BY l_discount) FROM lineitem) t GROUP BY c, v""",
+)
+def _(spark, sf_dir):
+    index = value_index(_grid(spark, sf_dir, "lineitem"), [4, 6])
+    return union([index.average_ranks(p).select(F.lit(p).alias("pos"), "v", "n", "rank") for p in (4, 6)])
+
+
 # Distinct values and categories
 
 

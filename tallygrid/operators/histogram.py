@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallygrid.functions.display import range_label
 from tallygrid.grid import Grid, union
-from tallygrid.operators.numeric import NumericSummary, spans
+from tallygrid.operators.numeric import NumericSummary, sketched_spans, spans, worth_sketching
 from tallygrid.operators.quantiles import quantiles
 from tallygrid.options import DEFAULT, ProfileOptions
 
@@ -103,12 +103,13 @@ def histogram(g: Grid, positions, bins: float | None = None, options: ProfileOpt
         if not 0 <= p < g.width:
             raise ValueError("欄位不存在")
     numbers = g.numbers(positions, None if options is None else options.tokens)
-    span = spans(numbers, positions)
     if bins is not None and bins >= 1:
+        span = spans(numbers, positions)
         given = max(1, min(int(bins), MAX_BINS))
         plan = [_bins(p, low, high, given) for p, (_, low, high, _) in span.items()]
     else:
-        quartiles = quantiles(numbers, {p: s[:3] for p, s in span.items()}, (0.25, 0.75)) if span else {}
+        span, cuts = sketched_spans(numbers, positions, (0.25, 0.75) if worth_sketching(numbers) else ())
+        quartiles = quantiles(numbers, {p: s[:3] for p, s in span.items()}, (0.25, 0.75), cuts) if span else {}
         plan = [
             _bins(p, low, high, auto_bin_count(n, low, high, *quartiles[p])) for p, (n, low, high, _) in span.items()
         ]

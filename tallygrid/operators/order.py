@@ -18,11 +18,14 @@ _IN_PARTITION = (1 << 33) - 1
 MAX_BROADCAST = 50_000
 
 
-def running_total(df: DataFrame, group: list[str], keys: list[str], weight: str, name: str = "before") -> DataFrame:
+def running_total(
+    df: DataFrame, group: list[str], keys: list[str], weight: str, name: str = "before", part: str | None = None
+) -> DataFrame:
     """Add ``name``: the sum of ``weight`` over earlier rows of the same ``group`` in ``keys`` order.
 
     ``(group, keys)`` must be distinct rows, as after a group-by, so a value that fills a
-    third of the table is one row here and no partition is hot.
+    third of the table is one row here and no partition is hot. ``part`` names a column for the
+    number of the piece of the order that a row is in.
     """
     # Range partitioning cuts between rows, so pieces are even whatever the group sizes are.
     ordered = freeze(df.sort(*group, *keys).withColumn("_part", F.spark_partition_id()))
@@ -32,12 +35,13 @@ def running_total(df: DataFrame, group: list[str], keys: list[str], weight: str,
     base = sums.select("_part", *group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_part", *group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum(weight).over(inside), F.lit(0))
-    return (
+    out = (
         ordered.withColumn("_local", local)
         .join(F.broadcast(base), ["_part", *group])
         .withColumn(name, F.col("_base") + F.col("_local"))
-        .drop("_part", "_base", "_local")
+        .drop("_base", "_local")
     )
+    return out.withColumnRenamed("_part", part) if part else out.drop("_part")
 
 
 def keyed(g: Grid) -> tuple[DataFrame, list[str]]:

@@ -1,11 +1,16 @@
-"""Exact order statistics of many columns without sorting them.
-
-Each target position starts in the bracket ``[min, max]`` of its column. One scan counts
-the bracket's values in equal-width bins; the bin that holds the position becomes the next
-bracket. Once a bracket is small its distinct values are counted and the position is read
-off. Scans reduce to a few thousand counts per task, so nothing is sorted or shuffled at
-table size; values so uneven that bins do not separate them fall back to a distributed sort
-of the distinct values in the bracket.
+"""Exact order statistics of many columns in two scans, without sorting the columns.
+
+The scan that finds each column's count and extremes also feeds a mergeable quantile sketch
+(KLL, Spark's own aggregate). Its quantiles a little below and above each wanted position bracket it. The
+second scan counts what lies below each bracket and the distinct values inside, a fixed small
+share of the column, and the position is read off: by a window where they are few, by a
+distributed running total where they are many.
+
+A sketch errs by more than :data:`SKETCH_ERROR` only rarely, but it can. The second scan's counts
+prove whether a position lies in its bracket. One that does not lies in a gap between brackets, whose
+extremes and count are known as well, and is searched there by bins: a scan counts the bracket's values in equal-width
+bins, and the bin that holds the position becomes the next bracket. Values so uneven that bins
+do not separate them fall back to a distributed sort of the distinct values in the bracket.
 """
 
 from __future__ import annotations
@@ -22,6 +27,16 @@ BINS = 2048
 SMALL_BRACKET = 20_000
 MAX_ZOOMS = 5
 QUARTILES = (0.25, 0.5, 0.75)
+#: Size of a sketch, about 25 KB a column, and the rank error that a bracket allows for on either
+#: side: more than twice the sketch's at 99 percent confidence.
+SKETCH_K = 1024
+SKETCH_ERROR = 0.008
+#: So many small brackets' values of a column are few enough for a window.
+SKETCHED_BRACKETS = 20
+#: Columns counted in one scan.
+SKETCHED_AT_ONCE = 15
+#: Sketches of so many groups of tasks are merged apart before the last merge.
+SKETCH_GROUPS = 256
 
 
 @dataclass(frozen=True)
@@ -114,24 +129,97 @@ def order_statistics(
     return found
 
 
+def sketch_ranks(probabilities: tuple[float, ...]) -> list[float]:
+    """Ranks of a sketch that bracket the probabilities: a lower and an upper one for each."""
+    return [r for p in probabilities for r in (max(0.0, p - SKETCH_ERROR), min(1.0, p + SKETCH_ERROR))]
+
+
+def _merged(edges: list[float]) -> list[tuple[float, float]]:
+    """Disjoint intervals in order, from pairs of edges in order of their lower ones."""
+    out: list[tuple[float, float]] = []
+    for low, high in zip(edges[::2], edges[1::2]):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _region(value: Column, intervals: list[tuple[float, float]]) -> Column:
+    """2 i + 1 inside the interval i, 2 i in the gap before it, the next even number above the last one."""
+    out = F.when(value < F.lit(intervals[0][0]), F.lit(0))
+    for i, (low, high) in enumerate(intervals):
+        if i:
+            out = out.when(value < F.lit(low), F.lit(2 * i))
+        out = out.when(value <= F.lit(high), F.lit(2 * i + 1))
+    return out.otherwise(F.lit(2 * len(intervals)))
+
+
+def _sketched(
+    numbers: DataFrame, wanted: dict[int, tuple[list[tuple[float, float]], int, tuple[int, ...]]], small: int
+) -> tuple[dict[tuple[int, int], float], list[Bracket]]:
+    """Positions found inside sketch brackets in one scan, and brackets of those that lie between them.
+
+    ``wanted`` maps a column to its intervals, its count and its positions. Values between intervals are
+    counted as one group each, so a task hands on little more than the values inside.
+    """
+    columns = list(wanted)
+    cells = [x for p in columns for x in (F.lit(p), F.col(f"n{p}"), _region(F.col(f"n{p}"), wanted[p][0]))]
+    stacked = numbers.select(F.stack(F.lit(len(columns)), *cells).alias("pos", "v", "region")).filter(F.col("v").isNotNull())
+    inside = F.when(F.col("region") % 2 == 1, F.col("v"))
+    counted = (
+        stacked.groupBy("pos", "region", inside.alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    )
+    if any(n * 2.5 * SKETCH_ERROR * len(intervals) > SKETCHED_BRACKETS * small for intervals, n, _ in wanted.values()):
+        total = running_total(counted, ["pos"], ["region", "value"], "n")
+    else:
+        earlier = Window.partitionBy("pos").orderBy("region", "value").rowsBetween(Window.unboundedPreceding, -1)
+        total = counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    ranks = F.create_map(*(x for p in columns for x in (F.lit(p), F.array(*(F.lit(r).cast("bigint") for r in wanted[p][2])))))
+    covered = F.filter(
+        F.element_at(ranks, F.col("pos")), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n"))
+    )
+    found: dict[tuple[int, int], float] = {}
+    outside = []
+    for row in total.withColumn("covered", covered).filter(F.size("covered") > 0).collect():
+        if row["value"] is not None:
+            found.update({(row["pos"], r): row["value"] for r in row["covered"]})
+        else:
+            outside.append(Bracket(row["pos"], row["low"], row["high"], row["before"], row["n"], tuple(row["covered"])))
+    return found, outside
+
+
 def quantiles(
     numbers: DataFrame,
     spans: dict[int, tuple[int, float, float]],
     probabilities: tuple[float, ...] = QUARTILES,
+    cuts: dict[int, list[float]] | None = None,
     **limits,
 ) -> dict[int, list[float]]:
     """Linearly interpolated quantiles per column.
 
-    ``spans`` maps a column to ``(count, min, max)`` of its values in ``numbers``.
+    ``spans`` maps a column to ``(count, min, max)`` of its values in ``numbers``, ``cuts`` to its sketch's
+    values at :func:`sketch_ranks`. Without cuts the whole search goes by bins.
     """
-    places = {}
-    brackets = []
+    places, brackets, sketched, value = {}, [], {}, {}
     for pos, (n, low, high) in spans.items():
         at = [(n - 1) * p for p in probabilities]
         places[pos] = at
-        ranks = sorted({int(f(x)) for x in at for f in (math.floor, math.ceil)})
-        brackets.append(Bracket(pos, low, high, 0, n, tuple(ranks)))
-    value = order_statistics(numbers, brackets, **limits)
+        ranks = tuple(sorted({int(f(x)) for x in at for f in (math.floor, math.ceil)}))
+        if low == high:
+            value.update({(pos, r): low for r in ranks})
+        elif cuts and pos in cuts:
+            sketched[pos] = (_merged(cuts[pos]), n, ranks)
+        else:
+            brackets.append(Bracket(pos, low, high, 0, n, ranks))
+    every = list(sketched)
+    for start in range(0, len(every), SKETCHED_AT_ONCE):
+        some = {pos: sketched[pos] for pos in every[start : start + SKETCHED_AT_ONCE]}
+        found, outside = _sketched(numbers, some, limits.get("small", SMALL_BRACKET))
+        value |= found
+        brackets += outside
+    value |= order_statistics(numbers, brackets, **limits)
     out = {}
     for pos, at in places.items():
         out[pos] = []

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallygrid.grid import STRING, Grid, grid as as_grid
 from tallygrid.operators import categories, correlation, dates, histogram, infer, missing, numeric, paging
+from tallygrid.operators.value_index import ValueIndex, value_index
 from tallygrid.options import DEFAULT, ProfileOptions
 
 
@@ -72,6 +73,11 @@ class Profile:
     def summaries(self) -> dict[int, numeric.NumericSummary]:
         return numeric.summarize(self.numbers, self.numeric_columns) if self.numeric_columns else {}
 
+    @cached_property
+    def values(self) -> ValueIndex:
+        """An ordered index of the numeric columns, for any number of bins, positions and thresholds."""
+        return value_index(self.grid, self.numeric_columns, self.options)
+
     @cached_property
     def _parsed_uniques(self) -> dict[int, tuple[int, bool]]:
         """Distinct counts of numeric and date columns; other columns get theirs from the

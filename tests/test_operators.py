@@ -291,6 +291,43 @@ def test_quantiles_by_every_route(spark, small, zooms):
             assert found == low + (high - low) * (at - math.floor(at))
 
 
+@pytest.mark.parametrize("small", [20_000, 3])
+@pytest.mark.parametrize("shift", [None, "low", "high"])
+def test_quantiles_from_sketches(spark, small, shift):
+    """Brackets from sketches, read by a window or a running total; wrong ones are noticed and searched on."""
+    rng = random.Random(9)
+    columns = {
+        0: [rng.random() for _ in range(4_001)],
+        1: [float(rng.choice([1, 1, 1, 2, 50])) for _ in range(4_001)],  # ties
+        2: [10.0 ** rng.randint(-300, 300) for _ in range(4_001)],
+        3: [-2.5] * 4_001,
+        4: [None] * 4_001,
+        5: [float(i) if i % 7 == 0 else None for i in range(4_001)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"n{i} double" for i in columns)).repartition(6)
+    span, cuts = numeric.sketched_spans(df, columns)
+    assert set(span) == set(cuts) == {0, 1, 2, 3, 5}
+    if shift:
+        at = {"low": 1, "high": 2}[shift]
+        cuts = {p: [span[p][at]] * 6 for p in cuts}
+    got = quantiles.quantiles(df, {p: s[:3] for p, s in span.items()}, cuts=cuts, small=small)
+    for p in span:
+        v = sorted(x for x in columns[p] if x is not None)
+        for q, found in zip((0.25, 0.5, 0.75), got[p]):
+            at = (len(v) - 1) * q
+            low, high = v[math.floor(at)], v[math.ceil(at)]
+            assert found == low + (high - low) * (at - math.floor(at))
+
+
+def test_two_scans_find_the_quartiles(spark, monkeypatch):
+    """The bins are never needed where sketches keep their promise."""
+    monkeypatch.setattr(quantiles, "_zoom", None)
+    df = spark.range(30_000).select(F.sqrt(F.col("id") + 0.5).alias("n0"), (F.col("id") % 3).cast("double").alias("n1"))
+    span, cuts = numeric.sketched_spans(df, [0, 1])
+    found = quantiles.quantiles(df, {p: s[:3] for p, s in span.items()}, cuts=cuts, small=100)
+    assert found[1] == [0.0, 1.0, 2.0] and found[0][1] == (math.sqrt(14_999.5) + math.sqrt(15_000.5)) / 2
+
+
 # Histograms
 
 
