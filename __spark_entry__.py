@@ -1160,6 +1160,22 @@ def _(spark, sf_dir):
     return _pair_result(correlation.pair_table(g, range(17), "pearson"))
 
 
+_MANY = "SELECT " + ", ".join(
+    f"CASE WHEN (l_orderkey + {k}) % {7 + k} = 0 THEN NULL ELSE CAST((l_orderkey * {2 * k + 1} + l_partkey * {k % 7} + l_linenumber * {k}) % {31 + 3 * k} AS DOUBLE) END AS a{k}"
+    for k in range(40)
+) + " FROM lineitem"
+_MANY_NUMBERS = [f"a{k}" for k in range(40)]
+
+
+@_register(
+    "correlation_many",
+    f"WITH many AS ({_MANY}), {_pairs(_numbers_of('many', _MANY_NUMBERS, lambda c: c), False, '')} SELECT i, j, a, b, round(r, 6) AS r, n FROM pairs",
+)
+def _(spark, sf_dir):
+    g = query(_views(prepare(spark), sf_dir), _MANY).grid()
+    return _pair_result(correlation.pair_table(g, range(40), "pearson"))
+
+
 # Delimited records and files, written from every row of orders
 
 

@@ -1,7 +1,7 @@
 """Pearson and Spearman matrices over pairwise complete rows.
 
 Pearson needs sums of products only: one pass over a narrow frame of centred values, 30 sums
-per aggregate. Spearman is Pearson on average ranks. Ranks come from value counts (one row
+per aggregate, or, for many columns, one scan of blocked matrix products. Spearman is Pearson on average ranks. Ranks come from value counts (one row
 per distinct value, so ties are free) and a distributed running total.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrid.functions.display import strength
 from tallygrid.grid import Grid, union
+from tallygrid.operators.gram import pair_coefficients
 from tallygrid.operators.numeric import spans
 from tallygrid.operators.order import running_total
 from tallygrid.options import DEFAULT, ProfileOptions
@@ -28,6 +29,8 @@ _SUMS = 60
 SMALL_RANKS = 100_000
 #: A value is hot above ``rows / HOT_SHARE`` occurrences, so a column has at most HOT_SHARE hot values.
 HOT_SHARE = 1_000
+#: From so many columns on, all pairs come from blocked matrix products in one scan.
+GRAM_FROM = 24
 
 MATRIX_SCHEMA = "i int, j int, r double, n bigint"
 
@@ -183,13 +186,14 @@ def pair_table(g: Grid, positions, method: str = "pearson", options: ProfileOpti
     """
     positions = list(positions)
     numbers = g.numbers(positions, options.tokens) if numbers is None else numbers
-    if method == "pearson":
-        triangle = _upper_triangle(numbers, positions, "n")
-    elif method == "spearman":
-        triangle = _upper_triangle(store(rank_frame(numbers, positions)), positions, "r")
-    else:
+    if method not in ("pearson", "spearman"):
         raise ValueError(f"unknown method {method!r}")
-    return _matrix(g, positions, method, triangle).select(
+    frame, prefix = (numbers, "n") if method == "pearson" else (store(rank_frame(numbers, positions)), "r")
+    if len(positions) >= GRAM_FROM:
+        matrix = pair_coefficients(frame, positions, prefix).withColumn("method", F.lit(method))
+    else:
+        matrix = _matrix(g, positions, method, _upper_triangle(frame, positions, prefix))
+    return matrix.select(
         "method", "i", "j", g.name_of(F.col("i")).alias("a"), g.name_of(F.col("j")).alias("b"), "r", "n"
     )
 
