@@ -25,6 +25,7 @@ from tallygrid.grid import union
 from tallygrid.operators.value_index import value_index
 from tallygrid.options import BLANKS, DEFAULT_MISSING_TOKENS, ProfileOptions, token_set
 from tallygrid.plans import report
+from tallygrid.plans.state import ProfileState
 from tallygrid.session import prepare
 from tallygrid.sources.delimited import parse_records, read_delimited
 from tallygrid.sources.encoding import java_charsets
@@ -548,6 +549,41 @@ def _(spark, sf_dir):
     return _numeric_result(numeric.numeric_profile(_grid(spark, sf_dir, "lineitem"), range(8), sketches=True))
 
 
+# The same from a state that grew file by file
+
+
+def _grown(spark, sf_dir: str, tokens=DEFAULT_MISSING_TOKENS):
+    """What a state knows of the orders as text, of which a third was added after the rest."""
+    g = _dirty(spark, sf_dir)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/state-{uuid.uuid4().hex}"
+    g.frame.withColumn("part", F.col(g.order[0]) % 3).write.partitionBy("part").parquet(f"{folder}/files")
+    state = ProfileState.create(g, f"{folder}/state")
+    for files in ([f"{folder}/files/part=0", f"{folder}/files/part=1"], [f"{folder}/files/part=2"]):
+        state.update(g.with_frame(spark.read.parquet(*files)))
+    return state.profile(ProfileOptions(missing_tokens=tokens, tie="binary"))
+
+
+@_register(
+    "state_missing",
+    f"{_WITH_DIRTY} SELECT pos, name, n_rows, missing, round(missing / n_rows, 6) AS missing_pct FROM ({_missing_rows()}) m",
+)
+def _(spark, sf_dir):
+    return _grown(spark, sf_dir).missing.withColumn("missing_pct", F.round("missing_pct", 6))
+
+
+@_register(
+    "state_missing_other_tokens",
+    f"{_WITH_DIRTY} SELECT pos, name, n_rows, missing, round(missing / n_rows, 6) AS missing_pct FROM ({_missing_rows(('', '?', 'NA'))}) m",
+)
+def _(spark, sf_dir):
+    return _grown(spark, sf_dir, ("", "?", "NA")).missing.withColumn("missing_pct", F.round("missing_pct", 6))
+
+
+@_register("state_numeric", f"{_WITH_DIRTY} {_profile_rows(_dirty_numbers())}")
+def _(spark, sf_dir):
+    return _numeric_result(_grown(spark, sf_dir).numeric).filter(F.col("pos").isin(_col("price"), _col("qty")))
+
+
 # The same from one ordered index of the values
 
 

@@ -74,8 +74,13 @@ class ValueIndex:
             parts.append(numbers.select(F.stack(F.lit(len(group)), *cells).alias("pos", "v")).filter(F.col("v").isNotNull()))
         # Both zeros are one number.
         counted = union(parts).groupBy("pos", (F.col("v") + 0.0).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        return cls.from_counts(counted, g.names)
+
+    @classmethod
+    def from_counts(cls, counted: DataFrame, names: tuple[str, ...]) -> ValueIndex:
+        """An index of ``pos, v, n`` rows, one for each finite value of a column."""
         ranked = running_total(counted, ["pos"], ["v"], "n", part="zone")
-        return cls(store(ranked.select("pos", "v", "n", "before", "zone"), "zone"), g.names)
+        return cls(store(ranked.select("pos", "v", "n", "before", "zone"), "zone"), names)
 
     def _rows(self, zones: Iterable[Zone]) -> DataFrame:
         """The index rows of some zones; files and row groups without them are not read."""
