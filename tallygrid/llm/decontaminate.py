@@ -149,13 +149,16 @@ def benchmark_leaks(
     hashed = hashed.withColumn(
         "hits", F.filter(F.sequence(F.lit(1), F.size("sh")), lambda i: likely(F.element_at("sh", i)))
     )
-    # A row per hit, made one at a time: what it holds is no longer than the longest item.
-    hits = hashed.select("id", "sh", "hits", F.posexplode("hits").alias("k", "at"))
-    hits = hits.select(
-        "id", "at", F.element_at("sh", F.col("at")).alias("h"), F.slice("sh", F.col("at"), F.lit(longest)).alias("sh"),
-        F.transform(F.slice("hits", F.col("k") + 1, F.lit(longest)), lambda other: other - F.col("at")).alias("near"),
-    )
-    hits = hits.join(_sized(shingles, n_shingles), "h")
+    around = F.transform(
+        "hits",
+        lambda at, k: F.struct(
+            at.alias("at"),
+            F.slice("sh", at, longest).alias("sh"),
+            F.transform(F.slice("hits", k + 1, longest), lambda other: other - at).alias("near"),
+        ),
+    )
+    hits = hashed.select("id", F.explode(around).alias("x")).select("id", "x.at", "x.sh", "x.near")
+    hits = hits.withColumn("h", F.element_at("sh", 1)).join(_sized(shingles, n_shingles), "h")
     windows = hits.select("id", "at", "m", "near", F.slice("sh", F.lit(1), F.col("m")).alias("sh"))
     enough = F.size(F.filter("near", lambda d: d < F.col("m"))) >= threshold / (1 + threshold) * (F.size("sh") + F.col("m")) - 1e-9
     windows = windows.filter(enough)
