@@ -199,7 +199,7 @@ def _backward(p: dict, vectors: np.ndarray, index: np.ndarray, keep: dict, d_log
 
 
 def _pooled(logits: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smooth maximum of window logits per text, and each window's share in it."""
+    """Mean of window logits per text, weighted towards the greatest, and each window's share in it."""
     top = np.full(n, -np.inf)
     np.maximum.at(top, owner, logits)
     weight = np.exp(SHARP * (logits - top[owner]))
@@ -269,7 +269,10 @@ def score_block(p: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         index = _index(number, begin[some], sizes[some], len(word_rows))
         used, index = np.unique(index, return_inverse=True)
         logits[some] = _forward(p, vectors[used], index.reshape(len(some), WINDOW), sizes[some])
-    return _sigmoid(_pooled(logits, owner, n)[0])
+    # The greatest window decides, however many others the text has. (Training weights the windows, so that all learn.)
+    top = np.full(n, -np.inf)
+    np.maximum.at(top, owner, logits)
+    return _sigmoid(top)
 
 
 def toxicity_scores(

@@ -5,9 +5,11 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallygrid.llm import decontaminate, lattice, maintext, secrets
+from tallygrid.llm import decontaminate, lattice, maintext, secrets, toxicity
+from tallygrid.llm.textblock import text_bytes
 
 #: Far above what a linear pass takes, far below what a quadratic one does.
 SECONDS = 30
@@ -67,3 +69,15 @@ def test_a_long_item(spark):
     items = spark.createDataFrame([(1, item), (None, item + " z"), (None, "one two three four five six")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.benchmark_leaks(docs, items).collect()}
     assert found == {(1, 1): 1.0, (1, None): pytest.approx(596 / 597)}
+
+
+def test_one_toxic_window_decides_however_long_the_text(monkeypatch):
+    """The score of a text is that of its greatest window; all others add nothing."""
+    params, rng = toxicity.initial(), random.Random(4)
+    params = {k: v + np.random.default_rng(1).normal(0, 0.3, v.shape).astype(v.dtype) for k, v in params.items()}
+    parts = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) + str(rng.randrange(50)) for _ in range(60)) for _ in range(40)]
+    score = lambda texts: toxicity.score_block(params, *text_bytes(pa.array(texts, pa.string())))
+    worst = max(parts, key=lambda t: score([t])[0])
+    clean = " ".join(min(parts, key=lambda t: score([t])[0]) for _ in range(1_700))
+    long = clean[:300_000] + " " + worst + " " + clean[:300_000]
+    assert score([long])[0] >= score([worst])[0] - 1e-6 > score([clean])[0] - 1e-6
