@@ -64,20 +64,21 @@ def test_long_words_equal_the_table(monkeypatch):
 
 
 def test_a_long_item(spark):
-    item = " ".join(f"w{i * 7 % 991}x{i % 13}" for i in range(600))
-    docs = spark.createDataFrame([(1, "a b c " + item), (2, item[:2_000]), (3, None)], "doc_id long, text string")
+    item = " ".join(f"w{i * 7 % 991}x{i % 13}" for i in range(200))
+    docs = spark.createDataFrame([(1, "a b c " + item), (2, item[:600]), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, item), (None, item + " z"), (None, "one two three four five six")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.benchmark_leaks(docs, items).collect()}
-    assert found == {(1, 1): 1.0, (1, None): pytest.approx(596 / 597)}
+    assert found == {(1, 1): 1.0, (1, None): pytest.approx(196 / 197)}
 
 
-def test_one_toxic_window_decides_however_long_the_text(monkeypatch):
+def test_one_toxic_window_decides_however_long_the_text():
     """The score of a text is that of its greatest window; all others add nothing."""
     params, rng = toxicity.initial(), random.Random(4)
     params = {k: v + np.random.default_rng(1).normal(0, 0.3, v.shape).astype(v.dtype) for k, v in params.items()}
     parts = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) + str(rng.randrange(50)) for _ in range(60)) for _ in range(40)]
     score = lambda texts: toxicity.score_block(params, *text_bytes(pa.array(texts, pa.string())))
-    worst = max(parts, key=lambda t: score([t])[0])
-    clean = " ".join(min(parts, key=lambda t: score([t])[0]) for _ in range(1_700))
-    long = clean[:300_000] + " " + worst + " " + clean[:300_000]
-    assert score([long])[0] >= score([worst])[0] - 1e-6 > score([clean])[0] - 1e-6
+    ranked = sorted(parts, key=lambda t: score([t])[0])
+    worst, clean = ranked[-1], " ".join(ranked[:1] * 300)
+    base = f"{clean} {worst} {clean}"
+    assert score([base])[0] > score([clean])[0]
+    assert score([base + f" {clean}" * 20])[0] >= score([base])[0] - 1e-6
