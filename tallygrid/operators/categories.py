@@ -117,6 +117,8 @@ class Frequencies:
 
     def top(self, top: int) -> DataFrame:
         """``pos, rank, value, n`` of the most frequent values per column."""
+        if not self.short and not self.long:
+            return self.grid.frame.sparkSession.createDataFrame([], "pos int, rank int, value string, n long")
         parts = [] if self._values is None else [_first_by_count(self._values, self.options.tie, top)]
         if self._digests is not None:
             parts.append(_first_by_count(self._texts(top), self.options.tie, top))
