@@ -7,8 +7,10 @@ import io
 import itertools
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tallygrid.functions.text import trim_cell
@@ -59,6 +61,31 @@ def _first_line(text: Column) -> Column:
     return trim_cell(F.translate(text, "".join(SEPARATORS) + '"', "")) != ""
 
 
+def _range_heads(lines: DataFrame) -> DataFrame:
+    """The first HEAD_LINES lines of each range of a file (``path, block, row, line``).
+
+    A task reads its ranges in file order, so it passes on the first lines of each and holds none.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, seen = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes, blocks = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy()
+            new = np.flatnonzero((codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            cuts = [0, *new.tolist(), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:]):
+                at = (batch.column(0)[low].as_py(), blocks[low])
+                place, seen = at, seen if at == place else 0
+                kept = min(high - low, HEAD_LINES - seen)
+                if kept > 0:
+                    yield batch.slice(low, kept)
+                    seen += kept
+
+    return lines.mapInArrow(first, "path string, block long, row long, line binary")
+
+
 def _heads(spark: SparkSession, files: Sequence[enc.TextFile]) -> dict[str, str]:
     """Text of the first filled lines of each file, found in one distributed pass.
 
@@ -70,13 +97,16 @@ def _heads(spark: SparkSession, files: Sequence[enc.TextFile]) -> dict[str, str]
     if plain:
         lines = spark.read.text([f.path for f in plain]).select(
             F.col("_metadata.file_path").alias("path"),
-            F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
             "value",
         )
-        place = F.row_number().over(Window.partitionBy("path").orderBy("at"))
-        first = lines.filter(_first_line(F.col("value"))).withColumn("place", place).filter(F.col("place") <= HEAD_LINES)
+        filled = lines.filter(_first_line(F.col("value"))).select("path", "block", "row", F.col("value").cast("binary").alias("line"))
+        # At most HEAD_LINES rows per range are ordered.
+        place = F.row_number().over(Window.partitionBy("path").orderBy("block", "row"))
+        first = _range_heads(filled).withColumn("place", place).filter(F.col("place") <= HEAD_LINES)
         found: dict[str, list] = {}
-        for r in first.select("path", "place", F.col("value").cast("binary").alias("line")).collect():
+        for r in first.select("path", "place", "line").collect():
             found.setdefault(r["path"], []).append((r["place"], bytes(r["line"])))
         for f in plain:
             lines_of = b"\n".join(line for _, line in sorted(found.get(f.path, [])))
@@ -143,7 +173,8 @@ def _read(spark: SparkSession, files: Sequence[enc.TextFile], sep: str, width: i
     keyed = union(parts).filter(_not_blank(width, sep))
     # The first filled row of each file is its header, whatever precedes it.
     top = keyed.groupBy("k0").agg(F.min(F.struct("k1", "k2")).alias("top"))
-    return keyed.join(top, "k0").filter(F.struct("k1", "k2") > F.col("top")).drop("top")
+    # One row per file: a shuffle by file would give each file's rows to one task.
+    return keyed.join(F.broadcast(top), "k0").filter(F.struct("k1", "k2") > F.col("top")).drop("top")
 
 
 def read_delimited(

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pyarrow as pa
 import pytest
 
-from tallygrid.sources import quoted
+from tallygrid.sources import delimited, quoted
 from tallygrid.sources.delimited import read_delimited
 
 
@@ -107,3 +107,22 @@ def test_files_that_one_task_must_read(spark, tmp_path, small_ranges):
     counts = read_delimited(spark, str(tmp_path)).grid.frame.groupBy("k0").count().collect()
     found = {r["k0"].rsplit("/", 1)[-1]: r["count"] for r in counts}
     assert found["good.csv"] == found["return.csv"] == 102 and found["open.csv"] >= 101
+
+
+def test_no_task_sorts_a_file(spark, tmp_path):
+    """Heads are the first lines of each range, and the header's place is broadcast."""
+    path = tmp_path / "a.csv"
+    path.write_text("k,note\n" + "".join(f'{i},"x\ny"\n' for i in range(50)))
+    lines = spark.createDataFrame([("a", 0, i, b"l%d" % i) for i in range(40)] + [("a", 64, 40, b"m"), ("b", 0, 41, b"n")], "path string, block long, row long, line binary")
+    heads = delimited._range_heads(lines.coalesce(1))
+    assert [r["row"] for r in heads.collect()] == [*range(delimited.HEAD_LINES), 40, 41]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = delimited.enc.inspect(spark, delimited.enc.list_files(spark, [str(path)]), None)
+        rows = delimited._read(spark, files, ",", 2, "k,note")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert rows.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
