@@ -29,8 +29,10 @@ _SUMS = 60
 SMALL_RANKS = 100_000
 #: A value is hot above ``rows / HOT_SHARE`` occurrences, so a column has at most HOT_SHARE hot values.
 HOT_SHARE = 1_000
-#: From so many columns on, all pairs come from blocked matrix products in one scan.
-GRAM_FROM = 24
+#: From so many columns on, all pairs come from blocked matrix products in one scan; sums of fewer take three or four.
+GRAM_FROM = 10
+#: Matrices of fewer columns are held on the driver, so that a result read twice costs one scan.
+SMALL_MATRIX = 24
 
 MATRIX_SCHEMA = "i int, j int, r double, n bigint"
 
@@ -189,8 +191,12 @@ def pair_table(g: Grid, positions, method: str = "pearson", options: ProfileOpti
     if method not in ("pearson", "spearman"):
         raise ValueError(f"unknown method {method!r}")
     frame, prefix = (numbers, "n") if method == "pearson" else (store(rank_frame(numbers, positions)), "r")
-    if len(positions) >= GRAM_FROM:
+    if len(positions) >= SMALL_MATRIX:
         matrix = pair_coefficients(frame, positions, prefix).withColumn("method", F.lit(method))
+    elif len(positions) >= GRAM_FROM:
+        every = {(i, j): (None, 0) for a, i in enumerate(positions) for j in positions[a + 1 :]}
+        found = {(r["i"], r["j"]): (r["r"], r["n"]) for r in pair_coefficients(frame, positions, prefix).collect()}
+        matrix = _matrix(g, positions, method, every | found)
     else:
         matrix = _matrix(g, positions, method, _upper_triangle(frame, positions, prefix))
     return matrix.select(

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+import tallygrid as tg
 from tallygrid.operators import correlation, gram
 
 
@@ -78,3 +79,23 @@ def test_both_ways_agree(spark, table, monkeypatch):
 def test_tables_without_rows(spark):
     empty = frame(spark, np.zeros((1, 3))).limit(0)
     assert set(found(gram.pair_coefficients(empty, range(3))).values()) <= {(None, 0)}
+
+
+def test_seventeen_columns_are_read_once(spark, table):
+    """A frame that shuffles to be made is made once; tasks of very different offsets meet in one shift."""
+    reads = spark.sparkContext.accumulator(0)
+    rows = np.where(np.arange(400)[:, None] < 40, table[:, :17] + 5e7, table[:, :17])
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    plain = frame(spark, rows, 4).repartitionByRange(4, "n0")
+    names = [f"n{i}" for i in range(17)]
+    watched = plain.mapInArrow(counted, plain.schema)
+    g = tg.grid(watched, names=names)
+    pairs = correlation.pair_table(g, range(17), numbers=watched)
+    got = found(pairs)
+    assert found(pairs) == got and reads.value == 400
+    same(got, brute(rows))
