@@ -140,9 +140,9 @@ def rank_frame(
     """Average ranks ``r<pos>`` of the columns ``n<pos>``, row by row; NULL stays NULL.
 
     Columns with few distinct values look their ranks up in a broadcast table and never
-    move. The others are joined on the value and brought back together by row; values that
-    occur too often for one task, at most ``hot_share`` per column, are looked up by
-    broadcast as well.
+    move. The others are joined on the value, column after column, with the rows kept whole;
+    values that occur too often for one task, at most ``hot_share`` per column, are looked up
+    by broadcast as well.
     """
     positions = list(positions)
     rows = numbers.count()
@@ -157,22 +157,19 @@ def rank_frame(
     for p in few:
         table = ranks.filter(F.col("pos") == p).select(F.col("v").alias(f"n{p}"), F.col("rank").alias(f"r{p}"))
         wide = wide.join(F.broadcast(table), f"n{p}", "left")
-    wide = wide.select("row", *(f"r{p}" for p in few))
-    if not many:
-        return wide
-
+    wide = wide.select("row", *(f"r{p}" for p in few), *(f"n{p}" for p in many))
     hot_at = max(1, rows // hot_share)
-    hot = ranks.filter(F.col("pos").isin(*many) & (F.col("n") > hot_at)).select("pos", "v", F.col("rank").alias("hot"))
-    rest = ranks.filter(F.col("pos").isin(*many) & (F.col("n") <= hot_at)).select("pos", "v", "rank")
-    looked_up = _unpivot(narrow, many, ["row"]).join(F.broadcast(hot), ["pos", "v"], "left")
-    done = looked_up.filter(F.col("hot").isNotNull()).select("row", "pos", F.col("hot").alias("rank"))
-    moved = looked_up.filter(F.col("hot").isNull()).drop("hot").join(rest, ["pos", "v"]).select("row", "pos", "rank")
-    by_row = (
-        done.unionByName(moved)
-        .groupBy("row")
-        .agg(*(F.max(F.when(F.col("pos") == p, F.col("rank"))).alias(f"r{p}") for p in many))
-    )
-    return wide.join(by_row, "row", "left").select("row", *(f"r{p}" for p in positions))
+    for p in many:
+        of = ranks.filter(F.col("pos") == p)
+        hot = of.filter(F.col("n") > hot_at).select(F.col("v").alias(f"n{p}"), F.col("rank").alias("hot"))
+        rest = of.filter(F.col("n") <= hot_at).select(F.col("v").alias("key"), F.lit(False).alias("apart"), F.col("rank").alias("cold"))
+        found = wide.join(F.broadcast(hot), f"n{p}", "left")
+        # Rows that need no look-up, with hot values or none, spread over the tasks by their numbers.
+        apart = F.col("hot").isNotNull() | F.col(f"n{p}").isNull()
+        key = F.when(apart, F.col("row").cast("double")).otherwise(F.col(f"n{p}"))
+        found = found.withColumns({"apart": apart, "key": key}).drop(f"n{p}").join(rest, ["key", "apart"], "left")
+        wide = found.withColumn(f"r{p}", F.coalesce("hot", "cold")).drop("key", "apart", "hot", "cold")
+    return wide.select("row", *(f"r{p}" for p in positions))
 
 
 def _matrix(g: Grid, positions, method: str, triangle: dict) -> DataFrame:

@@ -541,3 +541,13 @@ def test_order_is_required(spark):
     g = tg.grid(spark.range(3))
     with pytest.raises(ValueError, match="order_by"):
         infer.infer_types(g)
+
+
+def test_rows_stay_whole_while_ranks_are_looked_up(spark):
+    """No unpivot and no grouping by row; rows without a value or with a hot one spread over the tasks."""
+    df = spark.createDataFrame([(None if i % 4 else float(i), float(i % 2)) for i in range(200)], "n0 double, n1 double")
+    got = correlation.rank_frame(df, [0, 1], small=0, hot_share=10)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan and plan.count("Join") == 4
+    assert sorted(r["r1"] for r in got.collect()) == [50.5] * 100 + [150.5] * 100
+    assert sorted(r["r0"] for r in got.collect() if r["r0"] is not None) == list(range(1, 51))
