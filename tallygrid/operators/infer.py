@@ -12,6 +12,8 @@ from tallygrid.options import DEFAULT, TYPE_SAMPLE, TYPE_THRESHOLD, ProfileOptio
 from tallygrid.session import freeze
 
 NUMERIC = ("integer", "number")
+#: Labels of columns whose values are counted as they stand.
+OTHER = ("text", "boolean")
 _TESTS = (("is_bool", "bools"), ("is_int", "ints"), ("is_num", "nums"), ("is_date", "dates"))
 
 
@@ -74,21 +76,16 @@ def _one_row_per_column(g: Grid) -> DataFrame:
     return columns.select(F.col("id").cast("int").alias("pos"), g.name_of(F.col("id").cast("int")).alias("name"))
 
 
-def sampled_types(g: Grid, options: ProfileOptions = DEFAULT, rows: int | None = None) -> tuple[list[str], list[int]]:
-    """The labels on the driver, one string per column, and the columns without a present cell in the sample."""
-    found = {r["pos"]: r for r in infer_types(g, options, rows).select("pos", "type", "sampled").collect()}
-    return [found[p]["type"] for p in range(g.width)], [p for p in range(g.width) if not found[p]["sampled"]]
-
-
 def column_types(g: Grid, options: ProfileOptions = DEFAULT, rows: int | None = None) -> list[str]:
     """The labels on the driver (one string per column)."""
-    return sampled_types(g, options, rows)[0]
+    found = {r["pos"]: r["type"] for r in infer_types(g, options, rows).select("pos", "type").collect()}
+    return [found[p] for p in range(g.width)]
 
 
 def whole_types(g: Grid, positions: Sequence[int], options: ProfileOptions = DEFAULT) -> dict[int, str]:
-    """The types of columns by all their present cells, in one scan: for those that the sample says nothing of.
+    """The types of columns by all their present cells, in one scan: for those in which the sample finds no numbers or dates.
 
-    Missing cells at equal distances can fall on every sampled row.
+    Missing or malformed cells at equal distances can fall on every sampled row.
     """
     counted = (
         g.long(positions, _tests(options))

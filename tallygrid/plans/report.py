@@ -17,7 +17,7 @@ from tallygrid.functions.display import (
     type_label,
 )
 from tallygrid.functions.text import csv_quote, shorten
-from tallygrid.operators import correlation, missing
+from tallygrid.operators import correlation, infer, missing
 from tallygrid.plans.profile import Profile
 
 # The export header and the limits of the report.
@@ -41,8 +41,8 @@ def _shapes(p: Profile) -> dict[int, str]:
 
 def distributions(p: Profile) -> DataFrame:
     """``pos, name, type, shape``: the columns that have a distribution to show, with the shape of their type's label."""
-    # A column that the sample says nothing of is labelled a text, whatever it is drawn as.
-    shapes = {pos: "category" if p.types[pos] == "text" else shape for pos, shape in _shapes(p).items()}
+    # The label is the sample's, whatever the column is drawn as.
+    shapes = {pos: "category" if p.types[pos] in infer.OTHER else shape for pos, shape in _shapes(p).items()}
     listed = p.grid.frame.sparkSession.range(p.grid.width, numPartitions=1).select(F.col("id").cast("int").alias("pos"))
     pos = F.col("pos")
     return listed.filter(pos.isin(*shapes)).select(
